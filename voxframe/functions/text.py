@@ -22,15 +22,15 @@ CLIP_PLACEHOLDER = "(indistinguishable speech)"
 
 # Every character Unicode counts as white space (Spark's trim and Java's \s know fewer).
 WHITESPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE_CLASS = "[" + WHITESPACE_CHARS + "]"
 
 # Ideograph ranges counted for repetition, and the wider set that loses inner spaces.
-IDEOGRAPH_CLASS = "[一-鿿㐀-䶿]"
-CJK_WIDE_CLASS = "[一-鿿㐀-䶿豈-﫿　-〿＀-￯]"
+IDEOGRAPH_CLASS = "[\u4e00-\u9fff\u3400-\u4dbf]"
+CJK_WIDE_CLASS = "[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u3000-\u303f\uff00-\uffef]"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
