@@ -133,9 +133,10 @@ def resample_series(chunks: DataFrame, source_rate: int, target_rate: int) -> Da
 
     low = first_output(start)
     high = F.least(first_output(F.col("_end")), outputs) - 1
-    return padded.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high").select(
-        "stream_id", F.col("_low").alias("start_sample"),
-        F.transform(F.sequence("_low", "_high"), value).alias("samples"),
+    return (
+        padded.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
+        .withColumn("_out", F.transform(F.sequence("_low", "_high"), value))
+        .select("stream_id", F.col("_low").alias("start_sample"), F.col("_out").alias("samples"))
     )
 
 

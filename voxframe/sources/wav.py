@@ -192,10 +192,12 @@ def decode_pcm(
             "raw", F.expr("substring(content, cast(_from as int) + 1, cast(_len as int))")
         ).drop("content")
 
+    by_path = files is None
+
     def decode(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if files is None:
+                if by_path:
                     with _open(row.path) as f:
                         f.seek(row[5])
                         raw = f.read(row[6])
