@@ -56,12 +56,28 @@ GLM_MLX_LANGUAGES = ("zh", "en", "yue")
 URL_PREFIXES = ("http://", "https://", "rtmp://", "rtsp://")
 
 
+def listed(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of literal rows, planned as a local relation."""
+
+    def literal(value):
+        if value is None:
+            return "NULL"
+        if isinstance(value, bool):
+            return str(value).lower()
+        if isinstance(value, float):
+            return f"{value}D"
+        return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def backend_limits(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BACKEND_LIMITS, "backend string, mode string, hard_s int, soft_s double")
+    return listed(spark, BACKEND_LIMITS, "backend, mode, hard_s, soft_s")
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LANGUAGES, "code string, name string")
+    return listed(spark, LANGUAGES, "code, name")
 
 
 def model_registry(spark: SparkSession) -> DataFrame:
@@ -74,10 +90,8 @@ def model_registry(spark: SparkSession) -> DataFrame:
         hard, soft = limits["streaming" if streaming else "non_streaming"]
         rows.append((language, scoped, full, arch, streaming, url, hard, soft,
                      DEFAULT_SMALL_MODEL[language] == scoped))
-    return spark.createDataFrame(
-        rows,
-        "language string, scoped string, model_name string, arch int, streaming boolean, url string, "
-        "hard_s int, soft_s double, is_default boolean",
+    return listed(
+        spark, rows, "language, scoped, model_name, arch, streaming, url, hard_s, soft_s, is_default"
     )
 
 

@@ -43,11 +43,12 @@ def resolve_models(jobs: DataFrame) -> DataFrame:
     spark = jobs.sparkSession
     registry = dims.model_registry(spark).withColumnRenamed("language", "_lang")
     default = registry.filter("is_default").select("_lang", F.col("scoped").alias("_default"))
-    known = spark.createDataFrame(
+    known = dims.listed(
+        spark,
         [(code, dims.listed_models(code)) for code in dict.fromkeys(c for c, _, _ in dims.SMALL_MODELS)],
-        "_lang string, _choices string",
+        "_lang, _choices",
     )
-    family = spark.createDataFrame(dims.DEFAULT_MODELS, "backend string, _family_default string")
+    family = dims.listed(spark, dims.DEFAULT_MODELS, "backend, _family_default")
     small = F.col("backend") == "moonshine"
     entries = registry.select(
         "_lang", F.col("scoped").alias("_wanted"), "model_name", "arch", "streaming", "url"
@@ -86,9 +87,7 @@ def map_languages(jobs: DataFrame) -> DataFrame:
     """
     spark = jobs.sparkSession
     names = dims.languages(spark).select(F.col("code").alias("language"), F.col("name").alias("_name"))
-    override = spark.createDataFrame(
-        dims.LANGUAGE_OVERRIDES, "model string, language string, _override string"
-    )
+    override = dims.listed(spark, dims.LANGUAGE_OVERRIDES, "model, language, _override")
     backend, language = F.col("backend"), F.col("language")
     given = F.when(language != "", language)
     by_name = backend.isin("qwen-asr-rs", "qwen-asr-mlx", "glm-asr")

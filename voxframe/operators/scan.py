@@ -1,7 +1,7 @@
 """Ordered transcript scans: prior state, conditioning prompts, retry plans and splicing.
 
 The rows of one segment are bounded by its hard limit, so windows and lists over
-(stream, segment) stay small. Whatever crosses segments goes through ``carry_forward``.
+(stream, segment) stay small. Whatever crosses segments is scanned block by block.
 """
 
 from __future__ import annotations
@@ -12,40 +12,82 @@ from pyspark.sql import functions as F
 from voxframe.functions.text import (
     NEAR_DUPLICATE_RATIO, conditioning_context, convert_script, is_near_duplicate, strip,
 )
-from voxframe.operators.ordering import carry_forward
+from voxframe.operators.ordering import CARRY_BLOCK
 
 RATE = 16000
 _SEGMENT = ["stream_id", "segment_idx"]
 
 
-def segment_line(chunks: DataFrame, separator: str = " ") -> DataFrame:
-    """Texts of a segment's chunks in order, and the stripped last one."""
+def _blocked(df: DataFrame, block_size: int) -> DataFrame:
+    """One partitioning for everything below: blocks of adjacent segments of a stream."""
+    return df.withColumn("block", F.floor(F.col("segment_idx") / block_size)).repartition("stream_id", "block")
+
+
+def segment_line(chunks: DataFrame, separator: str = " ", block_size: int = CARRY_BLOCK) -> DataFrame:
+    """Texts of a segment's chunks in order, and the stripped last one.
+
+    ``block`` names the partition group, which the scans over segments use again.
+    """
     return (
-        chunks.groupBy(*_SEGMENT)
+        _blocked(chunks, block_size).groupBy("stream_id", "block", "segment_idx")
         .agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.coalesce("text", F.lit("")).alias("text")))).alias("_c"))
         .select(
-            *_SEGMENT,
+            "stream_id", "block", "segment_idx",
             F.array_join(F.transform("_c", lambda c: c["text"]), separator).alias("line"),
             strip(F.element_at("_c", -1)["text"]).alias("last_chunk"),
         )
     )
 
 
-def prior_state(lines: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+def prior_state(
+    lines: DataFrame, segments: DataFrame | None = None, block_size: int = CARRY_BLOCK
+) -> DataFrame:
     """``prior_line`` and ``prior_last_chunk`` as each segment finds them.
 
     ``segments`` may list further segments that have no chunks: they get the state but do
-    not change it.
+    not change it. ``before_line`` is the unstripped line of the latest earlier segment with
+    text and ``before_prior`` what that segment itself found as its prior line.
+
+    Inside a block this is a window; what enters a block comes from a table of one row per
+    block. Both are fed by the same shuffle.
     """
     if segments is not None:
-        lines = segments.select(*_SEGMENT).join(lines, _SEGMENT, "left")
-    kept = lines.withColumn("_line", strip(F.col("line")))
-    return carry_forward(
-        kept, "stream_id", "segment_idx", {"_line": "prior_line", "last_chunk": "prior_last_chunk"}
-    ).select(
+        lines = segments.select(*_SEGMENT).join(lines.drop("block"), _SEGMENT, "left")
+    if "block" not in lines.columns:
+        lines = _blocked(lines, block_size)
+    inner = Window.partitionBy("stream_id", "block").orderBy("segment_idx").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def latest(column, window):
+        return F.last(column, ignorenulls=True).over(window)
+
+    def pair(line, prior):
+        return F.when(F.col(line).isNotNull(), F.struct(F.col(line).alias("line"), F.col(prior).alias("prior")))
+
+    inside = lines.withColumn("_own", latest("line", inner)).withColumn("_own_chunk", latest("last_chunk", inner))
+    filled = F.when(F.col("line").isNotNull(), F.col("segment_idx"))
+    ends = inside.groupBy("stream_id", "block").agg(
+        F.max_by("line", filled).alias("_end"), F.max_by("_own", filled).alias("_end_prior"),
+        F.max_by("last_chunk", filled).alias("_end_chunk"),
+    )
+    entering = (
+        ends.withColumn("_in", latest("_end", outer)).withColumn("_in_chunk", latest("_end_chunk", outer))
+        .withColumn("_end_prior", F.coalesce("_end_prior", "_in"))
+        .withColumn("_in_pair", latest(pair("_end", "_end_prior"), outer))
+        .select("stream_id", "block", "_in", "_in_chunk", "_in_pair")
+    )
+    own_pair = latest(pair("line", "_own"), inner)
+    joined = inside.withColumn("_own_pair", own_pair).join(entering, ["stream_id", "block"])
+    before_prior = F.when(
+        F.col("_own_pair").isNotNull(), F.coalesce("_own_pair.prior", "_in")
+    ).otherwise(F.col("_in_pair.prior"))
+    empty = F.lit("")
+    return joined.select(
         *_SEGMENT, "line", "last_chunk",
-        F.coalesce("prior_line", F.lit("")).alias("prior_line"),
-        F.coalesce("prior_last_chunk", F.lit("")).alias("prior_last_chunk"),
+        F.coalesce(strip(F.coalesce("_own", "_in")), empty).alias("prior_line"),
+        F.coalesce("_own_chunk", "_in_chunk", empty).alias("prior_last_chunk"),
+        F.coalesce("_own_pair.line", "_in_pair.line").alias("before_line"),
+        F.coalesce(strip(before_prior), empty).alias("before_prior"),
     )
 
 
@@ -55,17 +97,13 @@ def conditioning_prompts(
     """Add ``prompt``: what the recognizer is fed with each segment ("" for none).
 
     The prompt of a segment is the conditioning context of the latest earlier segment that
-    had text, which depends on that segment's own prior line. Carrying both lines makes it
-    a row-local expression, so each text is compared once.
+    had text. ``prior_state`` delivers that segment's line and prior line, so the prompt is
+    a row-local expression and each text is compared once.
     """
-    if not condition:
-        return state.select("*", F.lit("").alias("prompt"))
-    pair = state.withColumn("_pair", F.when(
-        F.col("line").isNotNull(), F.struct("line", "prior_line")
-    ))
-    carried = carry_forward(pair, "stream_id", "segment_idx", {"_pair": "_before"})
-    prompt = conditioning_context(F.col("_before.line"), F.col("_before.prior_line"), threshold)
-    return carried.withColumn("prompt", F.coalesce(prompt, F.lit(""))).drop("_pair", "_before")
+    prompt = F.lit("")
+    if condition:
+        prompt = conditioning_context(F.col("before_line"), F.col("before_prior"), threshold)
+    return state.select(*_SEGMENT, "line", "last_chunk", "prior_line", "prior_last_chunk", prompt.alias("prompt"))
 
 
 def plan_retries_single(prompted: DataFrame, threshold: float = NEAR_DUPLICATE_RATIO) -> DataFrame:

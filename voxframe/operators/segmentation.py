@@ -26,6 +26,8 @@ from voxframe.session import materialize
 BLOCK = 32768
 # At most this many adjacent blocks of pure speech become one row.
 SOLID_BLOCKS = 1024
+# Rows per output batch of the per-window state.
+LIVE_ROWS = 20000
 
 _KEY = ["stream_id", "block"]
 _SEGMENT_DDL = "struct<start_sample:bigint,n_samples:bigint,shift:bigint,end_reason:string>"
@@ -183,38 +185,31 @@ def _fold_blocks(options: SegmentOptions, block_windows: int):
 
 
 def _live_blocks(options: SegmentOptions, block_windows: int):
+    names = ["stream_id", "window_idx", "in_speech", "segment_seconds", "pending_window_s"]
+
     def run(batches):
         for pdf in batches:
+            rows = []
             for row in pdf.itertuples(index=False):
                 fold = SegmentFold(options, _state_of(row.entry))
                 fold.feed(row.prev_end, row.first - row.prev_end, False)
                 for first, n, speech in _runs(
                     row.first, row.end, np.asarray(row.offsets, dtype=np.int64), block_windows
                 ):
-                    for low in range(first, first + n, block_windows):
-                        yield _live_rows(fold, row.stream_id, low, min(block_windows, first + n - low), speech)
+                    for i in range(first, first + n):
+                        idle = not fold.in_speech and not speech
+                        fold.feed(i, 1, speech)
+                        fold.out.clear()
+                        rows.append((row.stream_id, i, fold.in_speech, fold.seconds,
+                                     options.window_s if idle else np.nan))
+                        if len(rows) >= LIVE_ROWS:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
-def _live_rows(fold: SegmentFold, stream_id, first: int, n: int, speech: bool) -> pd.DataFrame:
-    active, seconds, pending = [], [], []
-    for i in range(first, first + n):
-        idle = not fold.in_speech and not speech
-        fold.feed(i, 1, speech)
-        fold.out.clear()
-        active.append(fold.in_speech)
-        seconds.append(fold.seconds)
-        pending.append(fold.o.window_s if idle else None)
-    return pd.DataFrame({
-        "stream_id": stream_id,
-        "window_idx": np.arange(first, first + n),
-        "in_speech": active,
-        "segment_seconds": seconds,
-        "pending_window_s": pd.Series(pending, dtype="float64"),
-    })
-
-
 def _with_entry(blocks: DataFrame, states: DataFrame) -> DataFrame:
     before = states.select(
         "stream_id", F.col("block").alias("prev_block"), F.col("exit").alias("entry")
@@ -303,7 +298,7 @@ def live_state(
         _live_blocks(options, block_windows),
         f"stream_id {stream_type}, window_idx bigint, in_speech boolean, segment_seconds double, "
         "pending_window_s double",
-    )
+    ).withColumn("pending_window_s", F.nanvl("pending_window_s", F.lit(None).cast("double")))
 
 
 def activity_runs(

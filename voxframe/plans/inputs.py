@@ -96,7 +96,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document as the segments of a stream."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "\n")).alias("_i", "text")
     ).select("stream_id", F.col("_i").cast("long").alias("segment_idx"), "text")
 

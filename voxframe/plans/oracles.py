@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from voxframe import dims
-from voxframe.functions.text import CJK_WIDE_CLASS, WHITESPACE_CHARS
+from voxframe.functions.text import CJK_WIDE_CLASS, IDEOGRAPH_CLASS, WHITESPACE_CHARS
 from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS
 from voxframe.plans.queries import SCRIPT_SOURCE, SCRIPT_TARGET
 
@@ -21,7 +21,7 @@ def _strip(x: str) -> str:
 
 
 def _few_distinct(items: str) -> str:
-    return f"(len({items}) >= 4 AND len(list_distinct({items})) / len({items}) < 0.3)"
+    return f"coalesce(len({items}) >= 4 AND len(list_distinct({items})) / len({items}) < 0.3, false)"
 
 
 def _words(x: str) -> str:
@@ -455,7 +455,7 @@ ORACLES: dict[str, str] = {
                CAST(grouping(stream_id, pattern) AS INTEGER) AS level
         FROM r GROUP BY ROLLUP (stream_id, pattern)""",
     "repetitive_docs": f"""SELECT doc_id, {_few_distinct(_words("text"))} AS by_words,
-        {_few_distinct(_words("text"))} AS repetitive FROM documents""",
+        {_few_distinct("regexp_extract_all(text, " + _quoted(IDEOGRAPH_CLASS) + ")")} AS by_ideographs FROM documents""",
     "repetitive_ideographs": f"""WITH {LINES}, m AS (
           SELECT stream_id, segment_idx,
             regexp_extract_all(translate(text, '{SCRIPT_SOURCE}', '{SCRIPT_TARGET}'), '[{SCRIPT_TARGET}]') AS c FROM lines)

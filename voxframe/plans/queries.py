@@ -20,6 +20,8 @@ QUERIES: dict[str, Query] = {}
 
 # A fixed time for identifiers, so that queries repeat exactly.
 EPOCH_MS = 1_700_000_000_000
+# Columns of the prior-state queries.
+STATE_COLUMNS = ("stream_id", "segment_idx", "line", "last_chunk", "prior_line", "prior_last_chunk")
 # A small test mapping for the script conversion query.
 SCRIPT_SOURCE, SCRIPT_TARGET = "aeiou", "一二三四五"
 
@@ -253,18 +255,18 @@ def detokenize(spark, sf_dir):
 
 @query
 def segment_line(spark, sf_dir):
-    return scan.segment_line(inputs.doc_chunks(spark, sf_dir))
+    return scan.segment_line(inputs.doc_chunks(spark, sf_dir)).drop("block")
 
 
 @query
 def prior_state(spark, sf_dir):
-    return scan.prior_state(scan.segment_line(inputs.doc_chunks(spark, sf_dir)))
+    return scan.prior_state(scan.segment_line(inputs.doc_chunks(spark, sf_dir))).select(*STATE_COLUMNS)
 
 
 @query
 def prior_state_with_silent_segments(spark, sf_dir):
     chunks = inputs.doc_chunks(spark, sf_dir).filter(F.length("text") > 40)
-    return scan.prior_state(scan.segment_line(chunks), inputs.doc_segments(spark, sf_dir))
+    return scan.prior_state(scan.segment_line(chunks), inputs.doc_segments(spark, sf_dir)).select(*STATE_COLUMNS)
 
 
 def _prompted(spark, sf_dir, threshold):
@@ -411,9 +413,9 @@ def transcribe_segments_unconditioned(spark, sf_dir):
 
 @query
 def repetitive_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         "doc_id", text.is_repetitive_words(F.col("text")).alias("by_words"),
-        text.is_repetitive(F.col("text")).alias("repetitive"),
+        text.is_repetitive_cjk(F.col("text")).alias("by_ideographs"),
     )
 
 
@@ -447,14 +449,14 @@ def near_dup_lines_equal(spark, sf_dir):
 @query
 def clip_docs(spark, sf_dir):
     clipped = text.clip_repetitions(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", clipped.alias("c")).select(
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", clipped.alias("c")).select(
         "doc_id", F.col("c.text").alias("text"), F.coalesce(F.get("c.patterns", F.lit(0)), F.lit("")).alias("pattern")
     )
 
 
 @query
 def convert_script(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         "doc_id", text.convert_script(F.col("text"), SCRIPT_SOURCE, SCRIPT_TARGET, "simplified").alias("text")
     )
 
@@ -462,7 +464,7 @@ def convert_script(spark, sf_dir):
 @query
 def strip_cjk_spaces(spark, sf_dir):
     marked = F.translate("text", SCRIPT_SOURCE, SCRIPT_TARGET)
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip_cjk_spaces(marked).alias("text"))
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", text.strip_cjk_spaces(marked).alias("text"))
 
 
 def _seconds(spark, sf_dir):
