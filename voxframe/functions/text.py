@@ -85,6 +85,33 @@ def _similar(threshold: float):
     return similar
 
 
+def folded(text: Column) -> Column:
+    """The form in which two texts are compared."""
+    return F.lower(strip(text))
+
+
+def _tests(a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
+    """For folded texts: whether they are equal, and whether their lengths allow the ratio."""
+    la, lb = F.length(a), F.length(b)
+    filled = (la > 0) & (lb > 0)
+    equal = F.coalesce(filled & (a == b), F.lit(False))
+    possible = filled & (2.0 * F.least(la, lb) / (la + lb) >= threshold) & (a != b)
+    return equal, F.coalesce(possible, F.lit(False))
+
+
+def may_be_near_duplicate(a: Column, b: Column, threshold: float = NEAR_DUPLICATE_RATIO) -> Column:
+    """Cheap necessary test on folded texts: a filter on it keeps most rows from Python altogether."""
+    equal, possible = _tests(a, b, threshold)
+    return equal if threshold >= 1.0 else equal | possible
+
+
+def is_near_duplicate_folded(a: Column, b: Column, threshold: float = NEAR_DUPLICATE_RATIO) -> Column:
+    equal, possible = _tests(a, b, threshold)
+    if threshold >= 1.0:
+        return equal
+    return equal | _similar(threshold)(F.when(possible, a), F.when(possible, b))
+
+
 def is_near_duplicate(
     current: Column, prior: Column, threshold: float = NEAR_DUPLICATE_RATIO
 ) -> Column:
@@ -94,15 +121,7 @@ def is_near_duplicate(
     threshold travel to Python (the others go as nulls). With ``threshold=1.0`` the
     ratio equals plain equality and no Python stage is planned.
     """
-    a, b = F.lower(strip(current)), F.lower(strip(prior))
-    filled = (F.length(a) > 0) & (F.length(b) > 0)
-    equal = filled & (a == b)
-    if threshold >= 1.0:
-        return F.coalesce(equal, F.lit(False))
-    la, lb = F.length(a), F.length(b)
-    possible = filled & (a != b) & (2.0 * F.least(la, lb) / (la + lb) >= threshold)
-    ratio = _similar(threshold)(F.when(possible, a), F.when(possible, b))
-    return F.coalesce(equal, F.lit(False)) | ratio
+    return is_near_duplicate_folded(folded(current), folded(prior), threshold)
 
 
 def conditioning_context(

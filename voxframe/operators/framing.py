@@ -124,10 +124,10 @@ def resample_series(chunks: DataFrame, source_rate: int, target_rate: int) -> Da
     def value(j: Column) -> Column:
         at = F.floor(j * source_rate / target_rate)
         part = (j * source_rate - at * target_rate) / target_rate
-        k = (at - start).cast("int") + 1
-        left = F.element_at("samples", k).cast("double")
-        right = F.when(k < F.size("samples"), F.get("samples", k)).otherwise(
-            F.coalesce("_next", F.element_at("samples", k))
+        k = (at - start).cast("int")
+        left = F.get("samples", k).cast("double")
+        right = F.when(k + 1 < F.size("samples"), F.get("samples", k + 1)).otherwise(
+            F.coalesce("_next", F.get("samples", k))
         ).cast("double")
         return (left + (right - left) * part).cast("float")
 
@@ -135,7 +135,8 @@ def resample_series(chunks: DataFrame, source_rate: int, target_rate: int) -> Da
     high = F.least(first_output(F.col("_end")), outputs) - 1
     return (
         padded.withColumn("_low", low).withColumn("_high", high).filter("_low <= _high")
-        .withColumn("_out", F.transform(F.sequence("_low", "_high"), value))
+        # The planner may test the array before the filter above, so a range must never run backwards.
+        .withColumn("_out", F.transform(F.sequence("_low", F.greatest("_low", "_high")), value))
         .select("stream_id", F.col("_low").alias("start_sample"), F.col("_out").alias("samples"))
     )
 

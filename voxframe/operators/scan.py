@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import (
-    NEAR_DUPLICATE_RATIO, conditioning_context, convert_script, is_near_duplicate, strip,
+    NEAR_DUPLICATE_RATIO, conditioning_context, convert_script, folded, is_near_duplicate_folded,
+    may_be_near_duplicate, strip,
 )
 from voxframe.operators.ordering import CARRY_BLOCK
 
@@ -106,20 +107,37 @@ def conditioning_prompts(
     return state.select(*_SEGMENT, "line", "last_chunk", "prior_line", "prior_last_chunk", prompt.alias("prompt"))
 
 
-def plan_retries_single(prompted: DataFrame, threshold: float = NEAR_DUPLICATE_RATIO) -> DataFrame:
-    """Segments to recognize again without their prompt: one text each, echoing the prior line."""
-    used = prompted.withColumn("_used", F.col("prompt") != "")
-    text = F.when(F.col("_used"), F.col("line"))
+def _near_duplicates(df: DataFrame, current: str, prior: str, threshold: float) -> DataFrame:
+    """Rows whose two folded texts are near duplicates; only possible pairs reach Python."""
+    a, b = F.col(current), F.col(prior)
+    return df.filter(may_be_near_duplicate(a, b, threshold)).filter(is_near_duplicate_folded(a, b, threshold))
+
+
+def _echoing_lines(state: DataFrame, threshold: float) -> DataFrame:
+    folds = state.withColumn("_a", folded(F.col("line"))).withColumn("_b", folded(F.col("prior_line")))
+    return _near_duplicates(folds, "_a", "_b", threshold)
+
+
+def near_duplicate_lines(state: DataFrame, threshold: float = NEAR_DUPLICATE_RATIO) -> DataFrame:
+    return _echoing_lines(state, threshold).select(*_SEGMENT, "line", "prior_line")
+
+
+def plan_retries_single(state: DataFrame, threshold: float = NEAR_DUPLICATE_RATIO) -> DataFrame:
+    """Segments to recognize again without their prompt: one text each, echoing the prior line.
+
+    Echoes are rare, so they are found first and prompts are derived for them only.
+    """
+    echoes = _echoing_lines(state, threshold)
+    prompt = conditioning_context(F.col("before_line"), F.col("before_prior"), threshold)
     return (
-        used.withColumn("_echo", is_near_duplicate(text, F.col("prior_line"), threshold))
-        .filter("_used and _echo")
-        .select(*_SEGMENT, "line", "prior_line", "prompt")
+        echoes.select(*_SEGMENT, "line", "prior_line", prompt.alias("prompt")).filter("prompt != ''")
     )
 
 
 def plan_retries_chunks(
     chunks: DataFrame,
-    prompted: DataFrame,
+    state: DataFrame,
+    condition: bool = True,
     threshold: float = NEAR_DUPLICATE_RATIO,
     rate: int = RATE,
 ) -> DataFrame:
@@ -127,23 +145,28 @@ def plan_retries_chunks(
 
     Chunk 0 is compared with the last chunk of the prior segment and counts only if a
     prompt was used; later chunks always count. No plan is made without a start time.
+    Prompts are derived for the segments found, not for all.
     """
     order = Window.partitionBy(*_SEGMENT).orderBy("chunk_idx")
-    before = prompted.select(*_SEGMENT, "prior_last_chunk", (F.col("prompt") != "").alias("used_prompt"))
+    before = state.select(*_SEGMENT, *[
+        F.col(c) if condition else F.lit("").alias(c) for c in ("prior_last_chunk", "before_line", "before_prior")
+    ])
     compared = (
-        chunks.join(before, _SEGMENT)
-        .withColumn("_before", F.coalesce(F.lag("text").over(order), F.col("prior_last_chunk")))
-        .withColumn("_echo", is_near_duplicate(F.col("text"), F.col("_before"), threshold))
+        chunks.select(*_SEGMENT, "chunk_idx", "t0", folded(F.col("text")).alias("_a"))
+        .join(before, _SEGMENT)
+        .withColumn("_b", F.coalesce(F.lag("_a").over(order), folded(F.col("prior_last_chunk"))))
+    )
+    found = _near_duplicates(compared, "_a", "_b", threshold).groupBy(*_SEGMENT).agg(
+        F.min("chunk_idx").alias("repeat_idx"),
+        F.min_by("t0", "chunk_idx").alias("trim_start_s"),
+        F.first("before_line").alias("before_line"),
+        F.first("before_prior").alias("before_prior"),
     )
+    prompt = conditioning_context(F.col("before_line"), F.col("before_prior"), threshold)
     return (
-        compared.filter("_echo")
-        .groupBy(*_SEGMENT)
-        .agg(
-            F.min("chunk_idx").alias("repeat_idx"),
-            F.min_by("t0", "chunk_idx").alias("trim_start_s"),
-            F.first("used_prompt").alias("used_prompt"),
-        )
-        .filter(((F.col("repeat_idx") >= 1) | F.col("used_prompt")) & F.col("trim_start_s").isNotNull())
+        found.filter("trim_start_s is not null")
+        .withColumn("prompt", prompt)
+        .filter("repeat_idx >= 1 or prompt != ''")
         .select(
             *_SEGMENT, "repeat_idx", "trim_start_s",
             (F.col("trim_start_s") * rate).cast("long").alias("trim_start_samples"),
@@ -209,11 +232,15 @@ def flag_retried(chunks: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def concat_results(results: DataFrame) -> DataFrame:
-    """First alternative of each result in order, joined without separator and stripped."""
+    """First alternative of each result in order, joined without separator and stripped.
+
+    A segment whose results are all empty keeps its row, with blank text.
+    """
     return (
-        results.filter(F.size("alternatives") > 0)
-        .groupBy(*_SEGMENT)
-        .agg(F.array_sort(F.collect_list(F.struct("result_idx", F.col("alternatives")[0].alias("t")))).alias("_r"))
+        results.groupBy(*_SEGMENT)
+        .agg(F.array_sort(F.collect_list(F.when(
+            F.size("alternatives") > 0, F.struct("result_idx", F.get("alternatives", F.lit(0)).alias("t"))
+        ))).alias("_r"))
         .select(*_SEGMENT, strip(F.array_join(F.transform("_r", lambda r: r["t"]), "")).alias("text"))
     )
 

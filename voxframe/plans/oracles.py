@@ -436,8 +436,8 @@ ORACLES: dict[str, str] = {
                segment_idx * 30.0::DOUBLE + 30 AS end_s FROM joined""",
     "retried_flags": f"WITH {SPLICED} SELECT stream_id, segment_idx, chunk_idx, prompt_retry FROM spliced",
     "concat_results": f"""SELECT conv_id AS stream_id, CAST(0 AS BIGINT) AS segment_idx,
-        {_strip("string_agg(text, '' ORDER BY turn)")} AS text
-        FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
+        coalesce({_strip("string_agg(text, '' ORDER BY turn) FILTER (role <> 'system')")}, '') AS text
+        FROM conversations GROUP BY conv_id""",
     "token_budget": """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
             CAST(floor(l_extendedprice * 8) AS BIGINT) AS n_samples,
             CASE l_returnflag WHEN 'A' THEN 'streaming' WHEN 'N' THEN 'non_streaming' ELSE 'fixed' END AS family
@@ -498,6 +498,20 @@ ORACLES: dict[str, str] = {
                ELSE '{{"type":"' || type || '","timestamp_ms":' || timestamp_ms || ',"timestamp_formatted":"'
                     || timestamp_formatted || '"}}' END AS value
         FROM log""",
+    "transcript_log": f"""WITH {_CLIPPED_LINES},
+        t AS (SELECT *, CAST(segment_idx * 30.0 AS DOUBLE) AS a, CAST(segment_idx * 30.0 + 29.9995 AS DOUBLE) AS b,
+                     CAST(segment_idx * 30.0 + 30 AS DOUBLE) AS c FROM clipped),
+        log(stream_id, type, start_ms, start_formatted, text, end_ms, end_formatted, prompt_retry,
+            repetition_patterns_clipped, timestamp_ms, timestamp_formatted, phase, segment_idx, kind, chunk_idx) AS (
+          SELECT stream_id, 'transcript', {_ms("a")}, {_fmt(_ms("a"))}, text, {_ms("b")}, {_fmt(_ms("b"))}, prompt_retry,
+                 coalesce(pattern, ''), NULL, NULL, 1, segment_idx, 1, 0 FROM t
+          UNION ALL SELECT stream_id, 'segment_start', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+                 {_ms("a")}, {_fmt(_ms("a"))}, 1, segment_idx, 0, 0 FROM t
+          UNION ALL SELECT stream_id, 'segment_end', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+                 {_ms("c")}, {_fmt(_ms("c"))}, 1, segment_idx, 2, 0 FROM t
+          UNION ALL SELECT stream_id, kind, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, phase, 0, 0, 0
+          FROM (SELECT DISTINCT stream_id FROM t), (VALUES ('stream_start', 0), ('stream_end', 2)) m(kind, phase))
+        SELECT * FROM log""",
     "segment_names": f"WITH {MACHINE} SELECT stream_id, segment_idx, {_NAMES} AS name FROM segments",
     "base_names": f"""WITH {JOBS}, n AS (SELECT job_id, regexp_extract(source, '[^/]*$') AS f FROM jobs)
         SELECT job_id, CASE WHEN f LIKE '_%.%' THEN regexp_replace(f, '\\.[^.]*$', '') ELSE f END AS folder FROM n""",

@@ -269,34 +269,35 @@ def prior_state_with_silent_segments(spark, sf_dir):
     return scan.prior_state(scan.segment_line(chunks), inputs.doc_segments(spark, sf_dir)).select(*STATE_COLUMNS)
 
 
-def _prompted(spark, sf_dir, threshold):
-    state = scan.prior_state(scan.segment_line(inputs.doc_chunks(spark, sf_dir)))
-    return scan.conditioning_prompts(state, threshold=threshold)
+def _state(spark, sf_dir):
+    return scan.prior_state(scan.segment_line(inputs.doc_chunks(spark, sf_dir)))
 
 
 @query
 def conditioning_prompts(spark, sf_dir):
-    return _prompted(spark, sf_dir, text.NEAR_DUPLICATE_RATIO).select("stream_id", "segment_idx", "prior_line", "prompt")
+    return scan.conditioning_prompts(_state(spark, sf_dir)).select("stream_id", "segment_idx", "prior_line", "prompt")
 
 
 @query
 def conditioning_prompts_equal(spark, sf_dir):
-    return _prompted(spark, sf_dir, 1.0).select("stream_id", "segment_idx", "prior_line", "prompt")
+    return scan.conditioning_prompts(_state(spark, sf_dir), threshold=1.0).select(
+        "stream_id", "segment_idx", "prior_line", "prompt"
+    )
 
 
 @query
 def retry_plan_single(spark, sf_dir):
-    return scan.plan_retries_single(_prompted(spark, sf_dir, text.NEAR_DUPLICATE_RATIO))
+    return scan.plan_retries_single(_state(spark, sf_dir))
 
 
 @query
 def retry_plan_single_equal(spark, sf_dir):
-    return scan.plan_retries_single(_prompted(spark, sf_dir, 1.0), 1.0)
+    return scan.plan_retries_single(_state(spark, sf_dir), 1.0)
 
 
 def _chunk_plans(spark, sf_dir, threshold):
     return scan.plan_retries_chunks(
-        inputs.doc_chunks(spark, sf_dir), _prompted(spark, sf_dir, threshold), threshold
+        inputs.doc_chunks(spark, sf_dir), _state(spark, sf_dir), threshold=threshold
     )
 
 
@@ -434,16 +435,12 @@ def _line_pairs(spark, sf_dir):
 
 @query
 def near_dup_lines(spark, sf_dir):
-    return _line_pairs(spark, sf_dir).filter(
-        text.is_near_duplicate(F.col("line"), F.col("prior_line"))
-    ).select("stream_id", "segment_idx", "line", "prior_line")
+    return scan.near_duplicate_lines(_line_pairs(spark, sf_dir))
 
 
 @query
 def near_dup_lines_equal(spark, sf_dir):
-    return _line_pairs(spark, sf_dir).filter(
-        text.is_near_duplicate(F.col("line"), F.col("prior_line"), 1.0)
-    ).select("stream_id", "segment_idx", "line", "prior_line")
+    return scan.near_duplicate_lines(_line_pairs(spark, sf_dir), 1.0)
 
 
 @query
@@ -534,11 +531,14 @@ def event_log(spark, sf_dir):
 
 @query
 def transcript_log(spark, sf_dir):
-    """Whole log of the documents, with repetition clipped."""
+    """Whole log of the documents, with repetition clipped; ids are checked by ``event_ids``."""
     return events.event_log(
         inputs.doc_lines(spark, sf_dir), inputs.doc_segments(spark, sf_dir),
         inputs.doc_transcripts(spark, sf_dir), clip=True, epoch_ms=F.lit(EPOCH_MS),
-    ).withColumn("repetition_patterns_clipped", F.to_json("repetition_patterns_clipped"))
+    ).drop("id").withColumn(
+        "repetition_patterns_clipped",
+        F.when(F.col("type") == "transcript", F.array_join("repetition_patterns_clipped", "|")),
+    )
 
 
 @query
