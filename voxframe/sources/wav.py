@@ -89,19 +89,33 @@ def _as_frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def wav_headers(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
-    """One row per file: header fields, or the first error."""
+    """One row per file of a folder: header fields, or the first error.
+
+    Spark's listing leaves out files of zero bytes; ``wav_headers_at`` reports them.
+    """
     listing = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true").load(path).select("path", "length")
+        .option("recursiveFileLookup", "true").load(path).select("path")
     )
+    return wav_headers_at(listing)
+
+
+def wav_headers_at(paths: DataFrame) -> DataFrame:
+    """The same for a manifest of paths; a path that cannot be opened is an error row."""
 
     def read(batches):
         for pdf in batches:
-            yield _as_frame([
-                _header_row(p, lambda p=p: _open(p), n) for p, n in zip(pdf["path"], pdf["length"])
-            ])
+            rows = []
+            for path in pdf["path"]:
+                try:
+                    with _open(path) as f:
+                        size = f.size()
+                        rows.append(_header_row(path, lambda: f, size))
+                except (OSError, ValueError) as e:
+                    rows.append({"path": path, **dict.fromkeys(["file_size", *_HEADER_FIELDS]), "error": str(e)})
+            yield _as_frame(rows)
 
-    return listing.mapInPandas(read, WAV_HEADER)
+    return paths.select("path").mapInPandas(read, WAV_HEADER)
 
 
 def wav_headers_of(files: DataFrame) -> DataFrame:
@@ -178,7 +192,7 @@ def decode_pcm(
     step = F.greatest(F.floor(F.lit(range_bytes) / (width * chunk_samples)), F.lit(1)) * width * chunk_samples
     ranges = (
         good.withColumn("_bytes", _data_bytes()).withColumn("_step", step).filter("_bytes > 0")
-        .withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bytes") - 1, F.col("_step"))))
+        .withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_bytes") - 1, F.lit(0)), F.col("_step"))))
         .select(
             "path", "audio_format", "bits_per_sample", "sample_rate", "_at",
             (F.col("data_offset") + F.col("_at")).alias("_from"),
