@@ -172,5 +172,15 @@ def test_transcribe_on_spark(spark):
                 end = c["t1"] if c["t1"] is not None else 0.1
                 want.append((s, i, k, c["text"], start + c["t0"], start + end, retried))
     assert got == want
+    for size in (1, 2, 4):
+        parallel = recognize.transcribe_segments(df, build, block_segments=size).collect()
+        assert sorted(tuple(r) for r in parallel) == want
     free = recognize.transcribe_segments(df, build, condition=False).collect()
     assert all("nothing" in r.text for r in free if r.chunk_idx == 0)
+
+
+def test_raw_or_converted_memory():
+    for raw, want in ((False, "UPPER"), (True, "upper")):
+        memory = recognize.Conversation()
+        one(Staged([("upper", 0.0, None)]), memory, convert=str.upper, raw_memory=raw)
+        assert memory.prior_line == want and memory.prior_last_chunk == "upper"

@@ -119,3 +119,22 @@ def test_sink_and_listener(spark, tmp_path):
         t for s, n, *_ in segs for t in (round(s / 16), round((s + n) / 16)))
     assert {r["type"] for r in lines} == {"segment_start", "segment_end"}
     assert len(windows(spark, {"a": flags}).filter(F.col("is_speech")).collect()) == 5
+
+
+def test_idle_stream_is_closed_by_timer(spark, tmp_path):
+    import time
+    o = SegmentOptions(min_speech_s=0.032, soft_limit_s=None, hard_limit_s=3.0, min_silence_ms=640, look_back_s=0)
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", i, True, False) for i in range(5)], SCHEMA).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    q = (
+        processors.segment_activity_stream(stream, o, idle_timeout_ms=1500).writeStream.outputMode("append")
+        .format("memory").queryName("idle1").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(processingTime="1 second").start()
+    )
+    rows, deadline = [], time.time() + 60
+    while not rows and time.time() < deadline:
+        time.sleep(1)
+        rows = spark.sql("select * from idle1").collect()
+    q.stop()
+    assert [(r.start_sample, r.n_samples, r.end_reason) for r in rows] == [(0, 5 * 512, "flush")]

@@ -70,17 +70,28 @@ def is_repetitive(text: Column) -> Column:
     return is_repetitive_words(text) | is_repetitive_cjk(text)
 
 
+def reaches_ratio(a: str, b: str, threshold: float) -> bool:
+    m = SequenceMatcher(None, a, b)
+    # quick_ratio is an upper bound of ratio, so it never loses a match.
+    return m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+
+def similar_texts(threshold: float) -> Callable[[str | None, str | None], bool]:
+    """The whole near-duplicate test on two Python strings."""
+
+    def test(current, prior):
+        a, b = (current or "").strip().lower(), (prior or "").strip().lower()
+        return bool(a and b) and (a == b or reaches_ratio(a, b, threshold))
+
+    return test
+
+
 def _similar(threshold: float):
     @F.pandas_udf(T.BooleanType())
     def similar(current: pd.Series, prior: pd.Series) -> pd.Series:
-        def test(a, b):
-            if a is None or b is None:
-                return False
-            m = SequenceMatcher(None, a, b)
-            # quick_ratio is an upper bound of ratio, so it never loses a match.
-            return m.quick_ratio() >= threshold and m.ratio() >= threshold
-
-        return pd.Series([test(a, b) for a, b in zip(current, prior)], dtype="bool")
+        return pd.Series([
+            a is not None and b is not None and reaches_ratio(a, b, threshold) for a, b in zip(current, prior)
+        ], dtype="bool")
 
     return similar
 
@@ -193,6 +204,16 @@ def _groups(texts, limit: int = CLIP_GROUP_CHARS):
     yield rows, chosen
 
 
+def clip_text(text: str | None) -> tuple[str | None, list[str]]:
+    """The default clipping of one Python string."""
+    long_enough = [text] if text is not None and len(text) >= CLIP_MIN_TEXT_LEN else []
+    run = periodic_runs(long_enough, CLIP_MIN_REPEATS, CLIP_MAX_PERIOD).get(0)
+    if run is None:
+        return text, []
+    period, start, end = run
+    return text[:start + period] + CLIP_PLACEHOLDER + text[end:], [text[start:start + period]]
+
+
 def clip_repetitions(
     text: Column,
     min_repeats: int = CLIP_MIN_REPEATS,

@@ -3,24 +3,29 @@
 Without conditioning, segments are independent rows. With it, the prompt of a segment is
 the result of the one before, so a stream is walked in order; the walk is a pass over
 sorted rows that keeps three short strings per stream, never a collected group. Where that
-chain is too long, recognize everything once without prompts and use the two-pass plan of
-``voxframe.operators.scan`` (plan, recognize the planned rows again, splice).
+chain is too long, ``block_segments`` runs blocks of a stream side by side, or recognize
+everything once without prompts and use the two-pass plan of ``voxframe.operators.scan``
+(plan, recognize the planned rows again, splice).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.functions.text import NEAR_DUPLICATE_RATIO, REPETITION_MIN_ITEMS, REPETITION_RATIO
+from voxframe.functions.text import (
+    NEAR_DUPLICATE_RATIO, REPETITION_MIN_ITEMS, REPETITION_RATIO, similar_texts,
+)
 from voxframe.schemas import TRANSCRIPTS
+from voxframe.session import materialize
 
 RATE = 16000
+_MEMORY = "array<string>"
 
 # fn(samples, prompt or None) -> list of {"text", "t0", "t1"}; t1 may be None.
 Recognizer = Callable[[np.ndarray, str | None], list[dict]]
@@ -30,11 +35,7 @@ def _few_distinct(items: list[str]) -> bool:
     return len(items) >= REPETITION_MIN_ITEMS and len(set(items)) / len(items) < REPETITION_RATIO
 
 
-def _echoes(text: str, prior: str) -> bool:
-    a, b = text.strip().lower(), prior.strip().lower()
-    if not a or not b:
-        return False
-    return a == b or SequenceMatcher(None, a, b).ratio() >= NEAR_DUPLICATE_RATIO
+_echoes = similar_texts(NEAR_DUPLICATE_RATIO)
 
 
 def _ideograph(c: str) -> bool:
@@ -60,6 +61,9 @@ class Conversation:
                 return i
         return None
 
+    def lines(self) -> list[str]:
+        return [self.prior_line, self.prior_last_chunk, self.prompt]
+
     def remember(self, texts: list[str], last: str | None = None):
         if texts:
             line = " ".join(texts)
@@ -70,7 +74,7 @@ class Conversation:
 
 def recognize_one(
     fn: Recognizer, samples: np.ndarray, memory: Conversation, sub_timestamps: bool,
-    convert: Callable[[str], str] | None = None, condition: bool = True,
+    convert: Callable[[str], str] | None = None, condition: bool = True, raw_memory: bool = False,
 ) -> list[tuple[dict, bool]]:
     """Chunks of one segment with their retry flag; at most one second call."""
     prompt = memory.prompt or None
@@ -87,11 +91,11 @@ def recognize_one(
             chunks, first_retried = chunks[:i] + later, i
     elif prompt and texts and _echoes(" ".join(texts), memory.prior_line):
         chunks, first_retried = list(fn(samples, None)), 0
-    raw_last = chunks[-1]["text"] if chunks else None
+    raw = [c["text"] for c in chunks]
     if convert is not None:
         chunks = [{**c, "text": convert(c["text"])} for c in chunks]
     if condition:
-        memory.remember([c["text"] for c in chunks], raw_last)
+        memory.remember(raw if raw_memory else [c["text"] for c in chunks], raw[-1] if raw else None)
     return [(c, first_retried is not None and k >= first_retried) for k, c in enumerate(chunks)]
 
 
@@ -101,34 +105,101 @@ def transcribe_segments(
     condition: bool = True,
     sub_timestamps: bool = True,
     convert: Callable[[str], str] | None = None,
+    prior_text: str = "converted",
+    block_segments: int | None = None,
 ) -> DataFrame:
     """Transcript rows of ``stream_id, segment_idx, start_s, samples``.
 
     ``recognizer`` builds the recognizing function once per task. Chunk times count from
     the segment's start; a missing end, or a family without chunk times, means the whole
-    segment. ``convert`` is the script conversion; it applies before the text is remembered.
+    segment. ``convert`` is the script conversion; ``prior_text`` says whether the memory
+    keeps converted or raw text.
+
+    ``block_segments`` spreads a long conditioned stream over many tasks: blocks of that many
+    segments run at the same time, and a block runs again if the memory it started from is
+    not the one its predecessor ended with. The first block is right at once and every round
+    settles at least one more, so the outcome is that of one walk over the stream.
     """
+    if prior_text not in ("converted", "raw"):
+        raise ValueError(f"prior_text must be 'converted' or 'raw', got {prior_text}")
     schema = T.StructType([segments.schema["stream_id"], *TRANSCRIPTS.fields[1:]])
-    names = schema.fieldNames()
+    job = _Job(recognizer, condition, sub_timestamps, convert, prior_text)
     rows = segments.select("stream_id", "segment_idx", "start_s", "samples")
-    if condition:
-        rows = rows.repartition("stream_id").sortWithinPartitions("stream_id", "segment_idx")
-
-    def run(batches):
-        fn, current, memory = recognizer(), None, Conversation()
+    if not condition or block_segments is None:
+        if condition:
+            rows = rows.repartition("stream_id").sortWithinPartitions("stream_id", "segment_idx")
+        plain = rows.select("stream_id", F.lit(0).alias("block"), "segment_idx", "start_s", "samples",
+                            F.lit(None).cast(_MEMORY).alias("entry"))
+        return plain.mapInPandas(job.transcripts, schema)
+
+    blocked = rows.withColumn("block", F.floor(F.col("segment_idx") / block_segments))
+    out = T.StructType([
+        schema.fields[0], T.StructField("block", T.LongType()), *schema.fields[1:],
+        T.StructField("exit", T.ArrayType(T.StringType())),
+    ])
+
+    def run(todo: DataFrame) -> DataFrame:
+        placed = todo.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", "segment_idx")
+        return materialize(
+            placed.select("stream_id", "block", "segment_idx", "start_s", "samples", "entry")
+            .mapInPandas(job.with_exits, out)
+        )
+
+    key = ["stream_id", "block"]
+    order = Window.partitionBy("stream_id").orderBy("block")
+    blank = F.array(F.lit(""), F.lit(""), F.lit(""))
+    results = run(blocked.withColumn("entry", F.lit(None).cast(_MEMORY)))
+    used = blocked.select(*key).distinct().withColumn("_used", blank)
+    while True:
+        wanted = results.filter("exit is not null").select(
+            *key, F.coalesce(F.lag("exit").over(order), blank).alias("entry")
+        )
+        state = materialize(wanted.join(used, key))
+        stale = state.filter("entry != _used").select(*key, "entry")
+        if stale.isEmpty():
+            return results.filter("exit is null").select(*schema.fieldNames())
+        again = run(blocked.join(stale, key))
+        results = materialize(results.join(stale, key, "left_anti").unionByName(again))
+        used = state.select(*key, F.col("entry").alias("_used"))
+
+
+class _Job:
+    """One pass over sorted rows, for one task."""
+
+    def __init__(self, recognizer, condition, sub_timestamps, convert, prior_text):
+        self.recognizer, self.condition, self.sub_timestamps = recognizer, condition, sub_timestamps
+        self.convert, self.raw_memory = convert, prior_text == "raw"
+
+    def transcripts(self, batches):
+        for rows, _ in self._walk(batches):
+            yield pd.DataFrame([r[:1] + r[2:] for r in rows], columns=TRANSCRIPTS.fieldNames())
+
+    def with_exits(self, batches):
+        names = ["stream_id", "block", *TRANSCRIPTS.fieldNames()[1:], "exit"]
+        for rows, exits in self._walk(batches):
+            data = [(*r, None) for r in rows] + [(s, b, *[None] * 6, memory) for s, b, memory in exits]
+            frame = pd.DataFrame(data, columns=names)
+            yield frame.astype({"segment_idx": "Int64", "chunk_idx": "Int32", "prompt_retry": "boolean"})
+
+    def _walk(self, batches):
+        """Per batch: transcript rows, and the memory of each block that ended."""
+        fn, current, memory = self.recognizer(), None, Conversation()
         for pdf in batches:
-            result = []
-            for stream, segment, start, samples in pdf.itertuples(index=False, name=None):
-                if not condition or stream != current:
-                    current, memory = stream, Conversation()
+            rows, exits = [], []
+            for stream, block, segment, start, samples, entry in pdf.itertuples(index=False, name=None):
+                if not self.condition or (stream, block) != current:
+                    if current is not None:
+                        exits.append((*current, memory.lines()))
+                    current = (stream, block)
+                    memory = Conversation(*(entry if entry is not None else ()))
                 audio = np.asarray(samples, dtype=np.float32)
                 length = len(audio) / RATE
-                for k, (c, retried) in enumerate(
-                    recognize_one(fn, audio, memory, sub_timestamps, convert, condition)
-                ):
-                    t0 = c["t0"] if sub_timestamps else 0.0
-                    t1 = c["t1"] if sub_timestamps and c["t1"] is not None else length
-                    result.append((stream, segment, k, c["text"], start + t0, start + t1, retried))
-            yield pd.DataFrame(result, columns=names)
-
-    return rows.mapInPandas(run, schema)
+                for k, (c, retried) in enumerate(recognize_one(
+                    fn, audio, memory, self.sub_timestamps, self.convert, self.condition, self.raw_memory
+                )):
+                    t0 = c["t0"] if self.sub_timestamps else 0.0
+                    t1 = c["t1"] if self.sub_timestamps and c["t1"] is not None else length
+                    rows.append((stream, block, segment, k, c["text"], start + t0, start + t1, retried))
+            yield rows, exits
+        if current is not None:
+            yield [], [(*current, memory.lines())]

@@ -35,12 +35,12 @@ class _Stored(StatefulProcessor):
     def load(self):
         return json.loads(self.value.get()[0]) if self.value.exists() else None
 
-    def store(self, doc, timer_values):
+    def store(self, doc, timerValues):
         self.value.update((json.dumps(doc),))
         if self.idle_timeout_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_timeout_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_timeout_ms)
 
     def close(self) -> None:
         pass
@@ -55,7 +55,7 @@ class SegmentProcessor(_Stored):
     def __init__(self, options: SegmentOptions, reorder: int, idle_timeout_ms: int | None):
         self.options, self.reorder, self.idle_timeout_ms = options, reorder, idle_timeout_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         doc = self.load() or {"fold": None, "next": 0, "waiting": {}, "late": 0, "segments": 0, "end": False}
         fold = SegmentFold(self.options, tuple(doc["fold"]) if doc["fold"] else None)
         waiting = {int(k): v for k, v in doc["waiting"].items()}
@@ -75,10 +75,10 @@ class SegmentProcessor(_Stored):
             self.value.clear()
         else:
             doc["fold"], doc["waiting"] = fold.state(), waiting
-            self.store(doc, timer_values)
+            self.store(doc, timerValues)
         yield out
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         doc = self.load()
         if doc is None:
             return
@@ -135,7 +135,7 @@ class FrameProcessor(_Stored):
     def __init__(self, size: int):
         self.size = size
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         doc = self.load() or {"next": 0, "window": 0, "rest": [], "waiting": {}}
         waiting = doc["waiting"]
         for pdf in rows:
@@ -150,7 +150,7 @@ class FrameProcessor(_Stored):
         n = len(joined) // self.size
         first, doc["window"] = doc["window"], doc["window"] + n
         doc["rest"] = [float(x) for x in joined[n * self.size:]]
-        self.store(doc, timer_values)
+        self.store(doc, timerValues)
         yield pd.DataFrame({
             "stream_id": [key[0]] * n,
             "window_idx": np.arange(first, first + n),
@@ -173,7 +173,7 @@ class RetryProcessor(_Stored):
     def __init__(self, condition: bool, rate: int):
         self.condition, self.rate = condition, rate
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         memory = Conversation(*(self.load() or []))
         todo = pd.concat(list(rows)).sort_values("segment_idx")
         out = []
@@ -185,7 +185,7 @@ class RetryProcessor(_Stored):
                 out.append((key[0], segment, i, at, int(at * self.rate), prompt))
             if self.condition:
                 memory.remember(texts)
-        self.store([memory.prior_line, memory.prior_last_chunk, memory.prompt], timer_values)
+        self.store([memory.prior_line, memory.prior_last_chunk, memory.prompt], timerValues)
         yield pd.DataFrame(out, columns=["stream_id", "segment_idx", "repeat_idx", "trim_start_s",
                                          "trim_start_samples", "prompt"])
 
