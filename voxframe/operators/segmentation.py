@@ -284,6 +284,63 @@ def segment_activity(
     )
 
 
+def segment_activity_with_scorer(
+    windows: DataFrame, scorer, options: SegmentOptions | None = None, threshold: float = 0.5, **named
+) -> DataFrame:
+    """Segments where the score itself depends on the segmentation.
+
+    ``scorer()`` builds a stateful object per task with ``score(samples) -> float`` and
+    ``reset()``. It is reset at the start of a stream and whenever a segment closes, so each
+    score depends on all windows before it: a stream is one walk over sorted rows, with the
+    fold's few numbers and the scorer as only memory. Give precomputed probabilities to
+    ``segment_activity`` wherever this feedback is not needed; that form is parallel.
+    """
+    options = options or SegmentOptions(**named)
+    names = ["stream_id", "segment_idx", "start_sample", "n_samples", "start_s", "duration_s", "end_reason"]
+    stream_type = windows.schema["stream_id"].dataType.simpleString()
+
+    def run(batches):
+        model, current, fold, count, at = scorer(), None, None, 0, 0
+
+        def closed():
+            nonlocal count
+            rows = []
+            for start, n, shift, why in fold.out:
+                early = max(0, start - (shift if options.compat_start else 0)) / options.rate
+                rows.append((current, count, start, n, early, n / options.rate, why))
+                count += 1
+            if rows:
+                model.reset()
+                fold.out.clear()
+            return rows
+
+        for pdf in batches:
+            rows = []
+            for stream, index, samples in pdf.itertuples(index=False, name=None):
+                if fold is None or stream != current:
+                    if fold is not None:
+                        fold.finish()
+                        rows += closed()
+                    current, fold, count, at = stream, SegmentFold(options), 0, 0
+                    model.reset()
+                fold.feed(at, index - at, False)
+                rows += closed()
+                fold.feed(index, 1, model.score(np.asarray(samples, dtype=np.float32)) > threshold)
+                rows += closed()
+                at = index + 1
+            yield pd.DataFrame(rows, columns=names)
+        if fold is not None:
+            fold.finish()
+            yield pd.DataFrame(closed(), columns=names)
+
+    ordered = windows.select("stream_id", "window_idx", "samples").repartition("stream_id")
+    return ordered.sortWithinPartitions("stream_id", "window_idx").mapInPandas(
+        run,
+        f"stream_id {stream_type}, segment_idx bigint, start_sample bigint, n_samples bigint, start_s double, "
+        "duration_s double, end_reason string",
+    )
+
+
 def live_state(
     windows: DataFrame, options: SegmentOptions | None = None, block_windows: int = BLOCK, **named
 ) -> DataFrame:
