@@ -26,26 +26,34 @@ def with_offsets(chunks: DataFrame) -> DataFrame:
 def frame(chunks: DataFrame, size: int = 512, rate: int = 16000) -> DataFrame:
     """Tumbling windows of ``size`` samples across chunk borders; an incomplete last one is dropped.
 
-    Windows that lie inside one chunk are cut in place. Only the pieces at chunk borders
-    are shuffled and put together.
+    Windows that lie inside one chunk are cut in place. Only the pieces at the two borders
+    of a chunk are shuffled and put together.
     """
-    start, n = F.col("start_sample"), F.size("samples")
-    pieces = (
-        chunks.filter(n > 0)
-        .select(
-            "stream_id", "samples", start.alias("start_sample"),
-            F.explode(F.sequence(F.floor(start / size), F.floor((start + n - 1) / size))).alias("window_idx"),
-        )
-        .withColumn("_from", F.greatest(F.col("window_idx") * size - start, F.lit(0)).cast("int"))
-        .withColumn("_to", F.least((F.col("window_idx") + 1) * size - start, n.cast("long")).cast("int"))
-        .select(
-            "stream_id", "window_idx", (start + F.col("_from")).alias("_at"),
-            F.slice("samples", F.col("_from") + 1, F.col("_to") - F.col("_from")).alias("samples"),
-        )
+    start = F.col("start_sample")
+    end = start + F.size("samples")
+    filled = chunks.filter(F.size("samples") > 0).select("stream_id", "start_sample", "samples")
+    first_inside, after_inside = F.floor((start + (size - 1)) / size), F.floor(end / size)
+    # A chunk shorter than two windows may hold none completely.
+    inside = F.when(first_inside < after_inside, F.sequence(first_inside, after_inside - 1))
+    whole = filled.select(
+        "stream_id", "start_sample", "samples", F.explode(inside).alias("window_idx")
+    ).select(
+        "stream_id", "window_idx",
+        F.slice("samples", (F.col("window_idx") * size - start + 1).cast("int"), F.lit(size)).alias("samples"),
     )
-    whole = pieces.filter(F.size("samples") == size).select("stream_id", "window_idx", "samples")
+    low, high = F.floor(start / size), F.floor((end - 1) / size)
+    borders = F.array_distinct(F.array_compact(F.array(
+        F.when((low * size < start) | ((low + 1) * size > end), low),
+        F.when((high * size < start) | ((high + 1) * size > end), high),
+    )))
     joined = (
-        pieces.filter(F.size("samples") < size)
+        filled.select("stream_id", "start_sample", "samples", F.explode(borders).alias("window_idx"))
+        .withColumn("_at", F.greatest(F.col("window_idx") * size, start))
+        .withColumn("_n", F.least((F.col("window_idx") + 1) * size, end) - F.col("_at"))
+        .select(
+            "stream_id", "window_idx", "_at",
+            F.slice("samples", (F.col("_at") - start + 1).cast("int"), F.col("_n").cast("int")).alias("samples"),
+        )
         .groupBy("stream_id", "window_idx")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "samples"))).alias("_parts"))
         .select(
