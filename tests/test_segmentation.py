@@ -39,8 +39,9 @@ def test_goldens_as_streams(spark):
             assert [g[1] / 512 for g in got[k]] == starts
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_blocks_equal_whole_fold(spark, seed):
+@pytest.mark.parametrize("seed, rounds", [(1, 3), (2, 3), (3, 0), (3, 6)])
+def test_blocks_equal_whole_fold(spark, seed, rounds, monkeypatch):
+    monkeypatch.setattr(G, "STATE_ROUNDS", rounds)
     rnd = random.Random(seed)
     _, o = random_case(rnd)
     if seed == 3:

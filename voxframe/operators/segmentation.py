@@ -8,8 +8,12 @@ task ever holds more than one block, however long the stream is.
 What a block needs from its predecessor is the fold's state, a handful of numbers. Most
 blocks contain a silence long enough to make their exit state independent of their entry
 state, and this exit is found from the part after that silence alone. The blocks that
-contain none are folded again with the state their predecessor reports, until no state
-changes; each pass settles at least one more block of every chain, and usually all of them.
+contain none are folded again, side by side, with the state their predecessor reports: two
+runs that close a segment at the same silence agree from there on, so the states settle
+after a round or two. Flags in lockstep with the limits may never agree; what is open after
+``STATE_ROUNDS`` rounds is settled by one ordered walk over the packed blocks of those
+chains, which holds one block and one state at a time. The segments themselves are always
+produced by all blocks in parallel.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from voxframe.session import materialize
 BLOCK = 32768
 # At most this many adjacent blocks of pure speech become one row.
 SOLID_BLOCKS = 1024
+# Rounds of parallel settling before chains are walked in order.
+STATE_ROUNDS = 3
 # Rows per output batch of the per-window state.
 LIVE_ROWS = 20000
 
@@ -152,14 +158,37 @@ def _state_of(value):
     return None if value is None else tuple(value[f] for f in STATE_FIELDS)
 
 
+def _state_row(row, entry, options: SegmentOptions, block_windows: int):
+    state, settled = _exit_state(row, entry, options, block_windows)
+    used = None if entry is None else dict(zip(STATE_FIELDS, entry))
+    return state, (row.stream_id, row.block, used, dict(zip(STATE_FIELDS, state)), settled)
+
+
 def _exit_states(options: SegmentOptions, block_windows: int):
     def run(batches):
+        for pdf in batches:
+            rows = [
+                _state_row(row, _state_of(row.entry), options, block_windows)[1]
+                for row in pdf.itertuples(index=False)
+            ]
+            yield pd.DataFrame(rows, columns=[*_KEY, "used", "exit", "settled"])
+
+    return run
+
+
+def _walk_states(options: SegmentOptions, block_windows: int):
+    """The same over sorted blocks, handing each state to the next block of a chain."""
+
+    def run(batches):
+        at, state = None, None
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                state, settled = _exit_state(row, _state_of(row.entry), options, block_windows)
-                rows.append((row.stream_id, row.block, dict(zip(STATE_FIELDS, state)), settled))
-            yield pd.DataFrame(rows, columns=[*_KEY, "exit", "settled"])
+                entry = state if (row.stream_id, row.prev_block) == at else _state_of(row.entry)
+                state, out = _state_row(row, entry, options, block_windows)
+                at = (row.stream_id, row.block)
+                rows.append(out)
+            yield pd.DataFrame(rows, columns=[*_KEY, "used", "exit", "settled"])
 
     return run
 
@@ -229,28 +258,32 @@ def _linked_blocks(windows: DataFrame, options: SegmentOptions, block_windows: i
             F.lit(0).cast("bigint").alias("prev_end"), F.lit(None).cast(STATE_DDL).alias("entry"),
         )
     blocks = materialize(_link(packed, block_windows))
-    state_schema = f"stream_id {stream_type}, block bigint, exit {STATE_DDL}, settled boolean"
+    schema = (
+        f"stream_id {stream_type}, block bigint, used {STATE_DDL}, exit {STATE_DDL}, settled boolean"
+    )
+    work = _exit_states(options, block_windows)
     states = materialize(
-        blocks.withColumn("entry", F.lit(None).cast(STATE_DDL))
-        .mapInPandas(_exit_states(options, block_windows), state_schema)
+        blocks.withColumn("entry", F.lit(None).cast(STATE_DDL)).mapInPandas(work, schema)
     )
     settled = states.filter("settled").select(*_KEY, "exit")
-    open_blocks = blocks.join(states.filter("not settled").select(*_KEY), _KEY, "left_semi")
-    guess = states.filter("not settled").select(*_KEY, "exit")
-    while not guess.isEmpty():
-        known = settled.unionByName(guess)
-        again = (
+    guess = states.filter("not settled").select(*_KEY, "used", "exit")
+    if guess.isEmpty():
+        return _with_entry(blocks, settled)
+    open_blocks = blocks.join(guess.select(*_KEY), _KEY, "left_semi")
+    for _ in range(STATE_ROUNDS):
+        known = settled.unionByName(guess.select(*_KEY, "exit"))
+        stale = (
             _with_entry(open_blocks, known)
-            .mapInPandas(_exit_states(options, block_windows), state_schema)
-            .select(*_KEY, "exit")
+            .join(guess.select(*_KEY, F.col("used").alias("_used")), _KEY)
+            .filter("_used is null or entry != _used").drop("_used")
         )
-        fresh = materialize(again)
-        changed = fresh.join(guess.withColumnRenamed("exit", "_old"), _KEY).filter("exit != _old")
-        done = changed.isEmpty()
-        guess = fresh
-        if done:
-            break
-    return _with_entry(blocks, settled.unionByName(guess))
+        fresh = materialize(stale.mapInPandas(work, schema)).select(*_KEY, "used", "exit")
+        if fresh.isEmpty():
+            return _with_entry(blocks, known)
+        guess = materialize(fresh.unionByName(guess.join(fresh.select(*_KEY), _KEY, "left_anti")))
+    chains = _with_entry(open_blocks, settled).repartition("stream_id").sortWithinPartitions(*_KEY)
+    walked = materialize(chains.mapInPandas(_walk_states(options, block_windows), schema))
+    return _with_entry(blocks, settled.unionByName(walked.select(*_KEY, "exit")))
 
 
 def segment_activity(
