@@ -223,8 +223,8 @@ def clip_repetitions(
 
     The smallest period with a run wins, then the leftmost run, taken to its true end.
     Only texts of at least ``CLIP_MIN_TEXT_LEN`` characters travel to Python, and only three
-    numbers come back; a back-reference expression finds the same runs in the JVM, but took
-    more than ten times as long.
+    numbers come back. A back-reference expression could find the same runs in the JVM; its gate
+    alone took 11 times as long in one task and 4 times as long spread over eight.
     """
     if min_repeats < 2:
         raise ValueError(f"min_repeats must be at least 2, got {min_repeats}")

@@ -2,17 +2,18 @@
 
 Input rows are ``stream_id, window_idx, is_speech`` with ``window_idx`` counting from 0;
 a missing window counts as non-speech. A stream is cut into blocks of ``BLOCK`` windows,
-one row per block holding the offsets of its speech windows, packed on the map side. So no
-task ever holds more than one block, however long the stream is.
+one row per block holding the offsets of its speech windows, packed on the map side. So a task
+holds one Arrow batch of blocks, whose bytes are bounded, however long the stream is.
 
 What a block needs from its predecessor is the fold's state, a handful of numbers. Most
 blocks contain a silence long enough to make their exit state independent of their entry
 state, and this exit is found from the part after that silence alone. The blocks that
 contain none are folded again, side by side, with the state their predecessor reports: two
-runs that close a segment at the same silence agree from there on, so the states settle
-after a round or two. Flags in lockstep with the limits may never agree; what is open after
+runs that close a segment at the same silence agree from there on. Flags that never pause
+may need many rounds (in trials, coin-flip and periodic ones did); what is open after
 ``STATE_ROUNDS`` rounds is settled by one ordered walk over the packed blocks of those
-chains, which holds one block and one state at a time. The segments themselves are always
+chains, which carries one state from block to block (one task per stream, for the
+states of these chains only). The segments themselves are always
 produced by all blocks in parallel.
 """
 
