@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import tokencount, urlfilter
+from voxframe.llm import pareto, quality, tokencount, urlfilter
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,97 @@ def query(fn):
     return fn
 
 
+@query
+def op6_quality_rules(spark, sf_dir):
+    return quality.judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
+ORACLES["op6_quality_rules"] = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(str_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+win as (
+  select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as k
+  from (select r, w, unnest(generate_series(1, len(w) - 2)) as i from d where len(w) > 2)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, k) as c from win) where c > 1),
+rep as (
+  select r, count(distinct p) as n from (
+    select r, i as p from twice union all select r, i + 1 from twice union all select r, i + 2 from twice) group by r),
+good as (
+  select r, list_filter(list_distinct(lines), lambda x: not (
+      len(regexp_extract_all(x, '[|»›•·→]')) * 4 > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
+      or regexp_matches(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '@@BOILERPLATE@@')
+      or len(regexp_extract_all(x, '[#*$%&|<>]')) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 0.2::double
+      or len(regexp_extract_all(x, '!!')) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 0.2::double
+      or (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 30
+          and not regexp_matches(x, '[.!?:;…。！？]["''”’»)\]]*([\x20\x09-\x0D]|$)')))) as g
+  from d),
+s as (
+  select doc_id, len(w)::bigint as n_words, coalesce(length(array_to_string(w, '')), 0)::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+    coalesce(length(array_to_string(lines, '')), 0) as all_chars,
+    coalesce(length(array_to_string(g, '')), 0) as good_chars
+  from d join good using (r) left join rep using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and all_chars - good_chars <= all_chars * 0.5::double as kept,
+  (all_chars - good_chars)::bigint as lost_chars
+from s
+""".replace("@@BOILERPLATE@@", "|".join(quality.BOILERPLATE))
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pareto.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op8_mixing"] = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 13))::bigint::double
+      / 4503599627370496::double as u,
+    md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key
+  from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (
+  select *, source_size * 2.0::double as cap,
+    [5, 2, 1][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int]::double as w
+  from s),
+r as (
+  select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / w, source is null, source
+        rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by cap / w, source is null, source
+        rows between current row and unbounded following) as rate,
+    row_number() over (order by cap / w, source is null, source) as pos
+  from w),
+f as (select min(pos) as pos, arg_min(rate, pos) as rate from r where cap > rate * w),
+t as (
+  select source, source_size, case when f.pos is null or r.pos < f.pos then cap else f.rate * w end as target
+  from r cross join f),
+p as (
+  select *, case when source_size > 0 then target / source_size else 0 end as ratio from t),
+ranked as (
+  select doc_id, d.source, size, key, source_size, target, floor(ratio) as sure, ratio - floor(ratio) as p,
+    target - floor(ratio) * source_size as missing,
+    case when ratio - floor(ratio) > 0
+      then u * (1 - (ratio - floor(ratio))) / (u * (1 - (ratio - floor(ratio))) + (1 - u) * (ratio - floor(ratio)))
+      else 0 end as rank
+  from d join p on d.source is not distinct from p.source),
+cum as (
+  select *, sum(size) over (partition by source order by rank, key range unbounded preceding) as cum,
+    sum(size) over (partition by source, rank, key) as own
+  from ranked)
+select doc_id, size, source_size, target,
+  ((sure + (p > 0 and missing > 0 and (cum <= missing or (cum - own < missing and cum - missing < missing - (cum - own))))::int)
+    * size)::bigint as taken
+from cum
+"""
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
