@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import pareto, quality, tokencount, urlfilter
+from voxframe.llm import pareto, quality, tokencount, urlfilter, wavelet
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_token_shards(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wavelet.token_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2).select(
+        "doc_id", "start", "n_tokens", wavelet.crc32_of().alias("ids_crc32"))
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality.judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
