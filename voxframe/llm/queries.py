@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import pareto, quality, tokencount, urlfilter, wavelet
+from voxframe.llm import pareto, quality, tokencount, urlfilter, warc, wavelet
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,13 @@ from s
 """.replace("@@BOILERPLATE@@", "|".join(quality.BOILERPLATE))
 
 
+@query
+def op7_warc(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "error")
+
+
 @query
 def op8_mixing(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
