@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import pareto, quality, tokencount, urlfilter, warc, wavelet
+from voxframe.llm import kdtree, pareto, quality, tokencount, urlfilter, warc, wavelet
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,25 @@ def op1_token_shards(spark, sf_dir):
         "doc_id", "start", "n_tokens", wavelet.crc32_of().alias("ids_crc32"))
 
 
+@query
+def op4_top_k(spark, sf_dir):
+    return kdtree.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality.judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
