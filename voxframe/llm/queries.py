@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import kdtree, pareto, quality, tokencount, urlfilter, warc, wavelet
+from voxframe.llm import kdtree, pareto, quality, tokencount, toxicity, urlfilter, warc, wavelet
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,13 @@ def op1_token_shards(spark, sf_dir):
         "doc_id", "start", "n_tokens", wavelet.crc32_of().alias("ids_crc32"))
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", F.col("evidence.doc_id").alias("evidence"))
+
+
 @query
 def op4_top_k(spark, sf_dir):
     return kdtree.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
