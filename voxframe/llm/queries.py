@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import kdtree, pareto, quality, tokencount, toxicity, urlfilter, warc, wavelet
+from voxframe.llm import kdtree, pareto, quality, superminhash, tokencount, toxicity, urlfilter, warc, wavelet
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+@query
+def op5_near_duplicates(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return superminhash.near_duplicates(docs, shingle=2).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality.judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
