@@ -34,7 +34,7 @@ BLOCK = 64
 #: Lengths of word beginnings that are terms of their own, written with a trailing "-".
 STEMS = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 4_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,25 +122,27 @@ def _document_counts(vocabulary: dict[str, int]):
     return run
 
 
-def _score_rows(vocabulary: dict[str, int], shared, k: int, remember: int = 50_000):
+def _score_rows(vocabulary: dict[str, int], shared, k: int, remember: int = 5_000):
     """Rows with the text as last column -> rows with score and evidence in its place; equal vectors are searched once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, seen = shared.value, {}
         for whole in batches:
             last = whole.num_columns - 1
             for batch in _slices(whole, last):
-                scores, evidence = [], []
+                rows = []
                 for x in sparse_counts(batch.column(last), vocabulary):
                     if x not in seen:
                         if len(seen) >= remember:
                             seen.clear()
                         score, found = index.score([t for t, _ in x], [n for _, n in x], k)
-                        seen[x] = score, [{"doc_id": int(index.ids[at]), "cosine": c} for c, at in found]
-                    scores.append(seen[x][0])
-                    evidence.append(seen[x][1])
+                        seen[x] = score, index.ids[np.array([at for _, at in found], np.int64)], np.array([c for c, _ in found], np.float64)
+                    rows.append(seen[x])
+                ends = np.cumsum([0, *(len(ids) for _, ids, _ in rows)])
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate([ids for _, ids, _ in rows])), pa.array(np.concatenate([c for _, _, c in rows]))], ["doc_id", "cosine"])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:last], pa.array(scores, pa.float64()),
-                     pa.array(evidence, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))],
+                    [*batch.columns[:last], pa.array([s for s, _, _ in rows], pa.float64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                     [*batch.schema.names[:last], "score", "evidence"])
     return run
 
@@ -256,7 +258,7 @@ def _unit(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def choose_terms(sample: DataFrame, n_terms: int = N_TERMS) -> list[str]:
     """The terms that speak most for label 1, from ``sample`` (toxic, text): by the G statistic of document counts.
 
-    Near copies count once. A term needs 3 texts with label 1 or 0.5 % of them, and must be 25 times as
+    Near copies count once. A term needs 5 texts with label 1 and 0.5 % of them, and must be 25 times as
     frequent there as elsewhere. At most ``n_terms`` terms come to the driver.
     """
     bags = written(sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
@@ -271,7 +273,7 @@ def choose_terms(sample: DataFrame, n_terms: int = N_TERMS) -> list[str]:
     chosen = (
         bags.select("toxic", F.explode("terms").alias("term"))
         .groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        .filter((a >= max(3.0, 0.005 * n1)) & (a / n1 >= 25 * (b + 0.5) / (n0 + 1)))
+        .filter((a >= max(5.0, 0.005 * n1)) & (a / n1 >= 25 * (b + 0.5) / (n0 + 1)))
         .select("term", F.round(gain, 9).alias("gain")).orderBy(F.col("gain").desc(), "term").limit(n_terms)
     )
     return [r.term for r in chosen.collect()]
