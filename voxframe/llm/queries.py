@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import kdtree, pareto, quality, superminhash, tokencount, toxicity, urlfilter, warc, wavelet
+from voxframe.llm import kdtree, pareto, quality, sentencepiece_lattice, superminhash, tokencount, toxicity, urlfilter, warc, wavelet
 from voxframe.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def op2_toxicity(spark, sf_dir):
         "doc_id", "held_out", "score", "predicted", F.col("evidence.doc_id").alias("evidence"))
 
 
+@query
+def op3_sentencepiece(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 @query
 def op4_top_k(spark, sf_dir):
     return kdtree.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
