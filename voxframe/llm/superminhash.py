@@ -7,11 +7,11 @@ below that of independent hashes, and once all registers hold a value below rank
 rank can change any: most texts stop after a few ranks.
 
 1. Texts with equal sets form a class; only classes go on.
-2. Bands of registers give buckets. In each bucket, all members are compared with its first and last member
-   (two links per member, whatever the size), confirmed on the full sets, and grouped by union-find.
-3. Buckets that still hold several groups are compared across groups in tiles of bounded size: register
-   agreement says which pairs can be similar enough at all, and those are confirmed on the full sets. Pairs within
-   a group say nothing new and are never made.
+2. Bands of registers give buckets. In each bucket, all members are compared with its first one and with its hub, the
+   member that shares most buckets (two pairs per member, whatever the size), confirmed on the full sets, and grouped by union-find.
+3. In buckets that still hold several groups, the members outside of the largest group are compared with those of other
+   groups, in tiles of bounded size: register agreement says which pairs can be similar enough at all, and those are
+   confirmed on the full sets. Pairs within a group say nothing new and are never made.
 
 So every pair that shares a bucket is either confirmed, known to be connected, or far from similar. With
 50 bands of 6 registers a pair at the threshold of 0.8 misses all buckets with probability 3e-7.
@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import written
+from voxframe.llm.common import WORD, written
 
 BANDS, ROWS = 50, 6
-TILE = 256
+TILE = 512
 GROUP_BYTES = 8_000_000
 #: Levels done by tracing swaps back; later ones (only short texts get there) by whole permutations.
 TRACED = 24
@@ -87,8 +87,27 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[keep], np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(texts)))))
 
 
-def signatures(elements: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
-    """Registers (texts x m) of rank << 32 | uniform number; FULL for an empty set."""
+def signatures(elements: np.ndarray, bounds: np.ndarray, m: int, most: int = 1 << 16) -> np.ndarray:
+    """Registers (texts x m) of rank << 32 | uniform number; FULL for an empty set.
+
+    Texts of like size are done together, about ``most`` elements at a time: small sets go through many ranks and
+    hold a permutation per element, large ones are through after a few.
+    """
+    sizes = np.diff(bounds)
+    order = np.argsort(sizes, kind="stable")
+    registers = np.empty((len(sizes), m), np.uint64)
+    to, first = np.cumsum(sizes[order]), 0
+    while first < len(order):
+        base = int(to[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(to, base + most, "right")))
+        some = order[first:last]
+        own = np.repeat(bounds[some] - (to[first:last] - sizes[some] - base), sizes[some]) + np.arange(int(to[last - 1]) - base)
+        registers[some] = _registers(elements[own], np.concatenate(([0], to[first:last] - base)), m)
+        first = last
+    return registers
+
+
+def _registers(elements: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
     rows = len(bounds) - 1
     registers = np.full((rows, m), FULL)
     flat = registers.reshape(-1)
@@ -259,30 +278,32 @@ def groups(links: DataFrame) -> DataFrame:
             return roots.select("node", "root")
 
 
-def _cross_tiles(percent: int, m: int):
-    """Pairs of a tile pair that lie in different groups and whose registers agree often enough."""
+def _cross_tiles(percent: int, bands: int, m: int):
+    """Pairs of a tile's left rows with its right ones that lie in different groups and whose registers agree often enough.
+
+    A pair with several buckets in common is given by the first of them only.
+    """
     # Five standard deviations of the agreement of m independent registers below the threshold (SuperMinHash has less).
     share = percent / 100
     least = m * (share - 5 * (share * (1 - share) / m) ** 0.5)
 
     def run(table):
         table = table.combine_chunks()
-        side = table["tile"].to_numpy(), table["t1"][0].as_py(), table["t2"][0].as_py()
-        node, root, n = (table[c].to_numpy() for c in ("node", "root", "n"))
+        node, root, n, key = (table[c].to_numpy() for c in ("node", "root", "n", "key"))
+        left, stray = (table[c].to_numpy(zero_copy_only=False) for c in ("left", "stray"))
         registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(len(table), m)
-        left = np.flatnonzero(side[0] == side[1])
-        right = np.flatnonzero(side[0] == side[2])
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(table), bands)
+        right = np.flatnonzero(~left)
         out = [np.zeros((0, 2), np.int64)]
-        for i in left:
-            other = right[(root[right] != root[i])]
-            if side[1] == side[2]:
-                other = other[other > i]
+        for i in np.flatnonzero(left):
+            # Strays meet each other from both sides.
+            other = right[(root[right] != root[i]) & (~stray[right] | (node[right] > node[i]))]
             other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-            near = other[(registers[other] == registers[i]).sum(1) >= least]
-            if len(near):
-                a, b = np.minimum(node[near], node[i]), np.maximum(node[near], node[i])
-                out.append(np.column_stack([a, b]))
-        pairs = np.unique(np.concatenate(out), axis=0)
+            other = other[(registers[other] == registers[i]).sum(1) >= least]
+            other = other[keys[i][(keys[other] == keys[i]).argmax(1)] == key[i]]
+            if len(other):
+                out.append(np.column_stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
+        pairs = np.concatenate(out)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
     return run
 
@@ -290,12 +311,13 @@ def _cross_tiles(percent: int, m: int):
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, tile: int = TILE
 ) -> DataFrame:
-    """(doc_id, hash, n_shingles, class_id, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, hash, n_shingles, class_id, component_id, kept, root) for every row of ``docs`` (doc_id, text).
 
     Texts are lower-cased in A-Z; words are runs of anything but ASCII white space; a text with fewer than
     ``shingle`` words is one shingle, one without words has none and is linked with nothing (component: its own doc_id).
     Sets link if 100 * intersection >= percent * union. ``class_id`` is the least doc_id with an equal set, ``component_id``
-    the least doc_id that links lead to, ``kept`` says whether that is the row's own. ``hash`` is xxhash64 of the text.
+    the least doc_id that links lead to, ``kept`` says whether that is the row's own. ``hash`` is xxhash64 of the text,
+    ``root`` a number of the component within this result (null without words).
     Rows with a null doc_id take part, but a null is no least id while there is another; a component of nulls only has
     a null id and kept false. Repeated rows are returned as often as they come.
     """
@@ -317,13 +339,16 @@ def near_duplicates(
               F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
         .dropDuplicates(["node"]).select("node", "n", "keys", "registers"), "near-sketches")
 
-    members = sketches.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    # A key names its band too.
+    members = sketches.select("node", F.explode("keys").alias("key"))
     ends = written(
-        members.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
-        .filter("size > 1"), "near-buckets")
-    buckets = written(members.join(ends, ["band", "key"]), "near-members")
+        members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-buckets")
+    buckets = written(members.join(ends, "key"), "near-members")
+    # The member that meets the most others over all buckets: of a text and its edited copies, mostly the text itself.
+    degree = buckets.groupBy("node").agg(F.sum("size").alias("_degree"))
+    hubs = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("_degree", "node")).alias("_hub"))
     pairs = written(
-        buckets.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("a"), F.col("node").alias("b"))
+        buckets.join(hubs, "key").select(F.explode(F.array_distinct(F.array("first", "_hub.node"))).alias("a"), F.col("node").alias("b"))
         .filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
     # The sets of the classes that share a bucket, from the texts of their first documents.
@@ -334,32 +359,59 @@ def near_duplicates(
 
     links = written(confirmed(pairs, sets, percent), "near-links")
     roots = groups(links)
-    # Buckets with several groups.
+    # Buckets with several groups: members outside of the largest one are strays, and meet all others.
     placed = written(
-        buckets.select("band", "key", "node", "n", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
-        "near-placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("band", "key")
-    tiles = F.ceil(F.col("size") / tile).cast("int")
+        buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+    mixed = written(
+        placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("key")
+        .agg(F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_roots"))
+        .filter("_roots > 1").select(
+            "key", F.col("_most.root").alias("_major"), F.ceil(F.col("_size") / tile).cast("int").alias("_all"),
+            F.ceil((F.col("_size") - F.col("_most._n")) / tile).cast("int").alias("_strays")), "near-mixed")
+    joined = placed.join(mixed, "key").withColumn("stray", F.col("root") != F.col("_major"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = joined.filter("stray").select("key", "node", "root", "stray", F.lit(True).alias("left"), place("_strays").alias("t1"), every("_all").alias("t2"))
+    rights = joined.select("key", "node", "root", "stray", F.lit(False).alias("left"), place("_all").alias("t2"), every("_strays").alias("t1"))
     crossed = (
-        placed.join(mixed, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .withColumns({"t1": F.least("tile", "_other"), "t2": F.greatest("tile", "_other")})
-        .join(sketches.select("node", "registers"), "node")
-        .select("band", "key", "t1", "t2", "tile", "node", "root", "n", "registers")
-        .groupBy("band", "key", "t1", "t2").applyInArrow(_cross_tiles(percent, bands * rows), "a bigint, b bigint")
-        .distinct()
+        lefts.unionByName(rights).join(sketches, "node")
+        .select("key", "t1", "t2", "left", "stray", "node", "root", "n", "registers", "keys")
+        .groupBy("key", "t1", "t2").applyInArrow(_cross_tiles(percent, bands, bands * rows), "a bigint, b bigint")
     )
-    # Pairs with the first or last member have been looked at.
+    # Pairs with the first member or the hub have been looked at.
     crossed = written(crossed.join(pairs, ["a", "b"], "left_anti"), "near-crossed")
     more = confirmed(crossed, sets, percent)
     roots = groups(written(links.unionByName(more), "near-all-links"))
 
     labelled = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labels = written(labelled.join(least, "root").select(F.col("digest"), F.col("n"), "class_id", "component_id"), "near-labels")
+    labels = written(labelled.join(least, "root").select("digest", "n", "class_id", "component_id", "root"), "near-labels")
     return (
         signed.select("doc_id", "hash", "n", "digest").join(labels, ["digest", "n"], "left")
         .withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
         .select("doc_id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+                "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "root")
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the least doc_id (nulls last, then by text digest).
+
+    Rows without words are in no group and stay. Of rows equal in doc_id and text, one stays.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    row = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("hash").alias("h"))
+    best = written(
+        found.filter("n_shingles > 0").groupBy("root").agg(F.min(row).alias("_best"))
+        .select(F.col("_best.d").alias("_d"), F.col("_best.h").alias("_h"))
+        .unionByName(found.filter("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h")).distinct()),
+        "near-kept")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = hashed["doc_id"].cast("long").eqNullSafe(best["_d"]) & (hashed["_hash"] == best["_h"])
+    joined = hashed.join(best, on)
+    empty = joined.filter(n_words_absent("text")).drop("_d", "_h", "_hash")
+    return joined.filter(~n_words_absent("text")).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns).unionByName(empty.select(*docs.columns))
+
+
+def n_words_absent(text: str):
+    return ~F.regexp_like(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD))
