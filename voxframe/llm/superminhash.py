@@ -278,10 +278,18 @@ def groups(links: DataFrame) -> DataFrame:
             return roots.select("node", "root")
 
 
-def _cross_tiles(percent: int, bands: int, m: int):
-    """Pairs of a tile's left rows with its right ones that lie in different groups and whose registers agree often enough.
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with 32 bits of each element: half the bytes for comparing; what is found is confirmed on the whole ones."""
+    for batch in batches:
+        low = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["node", "short"])
+
 
-    A pair with several buckets in common is given by the first of them only.
+def _cross_tiles(percent: int, bands: int, m: int, spanning: bool):
+    """Similar pairs of a tile's left rows with its right ones that lie in different groups.
+
+    Register agreement says which pairs to compare; a pair with several buckets in common is looked at in the first of
+    them only. With ``spanning``, a pair is given only if it connects groups that the tile's other pairs do not connect.
     """
     # Five standard deviations of the agreement of m independent registers below the threshold (SuperMinHash has less).
     share = percent / 100
@@ -293,18 +301,29 @@ def _cross_tiles(percent: int, bands: int, m: int):
         left, stray = (table[c].to_numpy(zero_copy_only=False) for c in ("left", "stray"))
         registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(len(table), m)
         keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(table), bands)
-        right = np.flatnonzero(~left)
-        out = [np.zeros((0, 2), np.int64)]
+        sets = [np.frombuffer(x, np.uint32) for x in table["short"].to_pylist()]
+        right, out = np.flatnonzero(~left), []
+        parent = dict.fromkeys(root.tolist())
+
+        def find(x):
+            while parent[x] is not None:
+                x = parent[x]
+            return x
+
         for i in np.flatnonzero(left):
             # Strays meet each other from both sides.
             other = right[(root[right] != root[i]) & (~stray[right] | (node[right] > node[i]))]
             other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
-            other = other[(registers[other] == registers[i]).sum(1) >= least]
+            agree = (registers[other] == registers[i]).sum(1)
+            other = other[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]
             other = other[keys[i][(keys[other] == keys[i]).argmax(1)] == key[i]]
-            if len(other):
-                out.append(np.column_stack([np.minimum(node[other], node[i]), np.maximum(node[other], node[i])]))
-        pairs = np.concatenate(out)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+            for o in other.tolist():
+                a, b = find(root[i]), find(root[o])
+                if (a != b or not spanning) and similar(sets[i], sets[o], percent):
+                    out.append((min(node[i], node[o]), max(node[i], node[o])))
+                    if a != b:
+                        parent[a] = b
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
     return run
 
 
@@ -373,14 +392,19 @@ def near_duplicates(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lefts = joined.filter("stray").select("key", "node", "root", "stray", F.lit(True).alias("left"), place("_strays").alias("t1"), every("_all").alias("t2"))
     rights = joined.select("key", "node", "root", "stray", F.lit(False).alias("left"), place("_all").alias("t2"), every("_strays").alias("t1"))
-    crossed = (
-        lefts.unionByName(rights).join(sketches, "node")
-        .select("key", "t1", "t2", "left", "stray", "node", "root", "n", "registers", "keys")
-        .groupBy("key", "t1", "t2").applyInArrow(_cross_tiles(percent, bands, bands * rows), "a bigint, b bigint")
+    tiled = (
+        lefts.unionByName(rights).join(sketches, "node").join(sets.mapInArrow(_short_sets, "node bigint, short binary"), "node")
+        .select("key", "t1", "t2", "left", "stray", "node", "root", "n", "registers", "keys", "short").groupBy("key", "t1", "t2")
     )
-    # Pairs with the first member or the hub have been looked at.
-    crossed = written(crossed.join(pairs, ["a", "b"], "left_anti"), "near-crossed")
-    more = confirmed(crossed, sets, percent)
+
+    def across(spanning: bool) -> tuple[DataFrame, DataFrame]:
+        found = written(tiled.applyInArrow(_cross_tiles(percent, bands, bands * rows, spanning), "a bigint, b bigint").distinct(), "near-crossed")
+        return found, written(confirmed(found, sets, percent), "near-more")
+
+    found, more = across(True)
+    if found.count() != more.count():
+        # 32 bits took a pair for similar that is not, and it may have stood for another one.
+        _, more = across(False)
     roots = groups(written(links.unionByName(more), "near-all-links"))
 
     labelled = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
