@@ -34,10 +34,12 @@ SPACE_MARK = "▁"
 #: A run of letters or of other characters, with the space marks in front of it.
 ATOM = re.compile(r"▁*[^\W\d_]+|[\W\d_]+")
 LONG_ATOM = 64
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 16_000_000
 #: A reference packs partition, block in it and word in that: 24, 12 and 28 bits.
 BLOCK_SHIFT, PART_SHIFT = 28, 40
 UNKNOWN_PENALTY = 10.0
+#: Tasks over words per task over documents.
+WORD_TASKS = 8
 
 
 # --- the model -------------------------------------------------------------------------------------
@@ -78,13 +80,17 @@ class Pieces:
         """A chunk (the characters behind one space) as words that can be encoded on their own."""
         word = SPACE_MARK + chunk
         parts = ATOM.findall(word) if self.by_class else [word]
-        if len(word) <= LONG_ATOM:
+        if chunk.isascii() and len(word) <= LONG_ATOM:
             return parts
-        out = []
+        # Letters beyond ASCII, and long runs, are also cut between characters that stand together in no piece.
+        inner, out = self.inner, []
         for part in parts:
-            # Long runs (scripts without spaces) are also cut between characters that stand together in no piece.
-            cuts = [0, *(i + 1 for i, (a, b) in enumerate(pairwise(part)) if a + b not in self.inner), len(part)]
-            out += [part[a:b] for a, b in pairwise(cuts)]
+            last = 0
+            for i in range(1, len(part)):
+                if part[i - 1 : i + 1] not in inner:
+                    out.append(part[last:i])
+                    last = i
+            out.append(part[last:])
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -126,33 +132,30 @@ def encode_words(words: DataFrame, model: Pieces, word: str = "word") -> DataFra
         .withColumn("part", F.substring(F.col(word), F.col("start") + 1, F.col("end") - F.col("start")))
     )
     edges = (
-        spans.join(table, (F.xxhash64("part") == F.col("key")) & (F.col("part") == F.col("piece")), "left")
+        # One long as the key; the comparison of the strings is written so that it does not become part of it.
+        spans.join(table, (F.xxhash64("part") == F.col("key")) & (F.col("part") >= F.col("piece")) & (F.col("part") <= F.col("piece")), "left")
         # A character without a piece is an edge of its own.
         .filter(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-        .select(word, F.struct("end", "start", F.coalesce("score", F.lit(model.unknown_score)).alias("score"), "id").alias("edge"))
-        .groupBy(word).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+        .select(word, "end", F.struct("start", F.coalesce("score", F.lit(model.unknown_score)).alias("score"), "id").alias("edge"))
+        .groupBy(word, "end").agg(F.collect_list("edge").alias("edges"))
+        .groupBy(word).agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
     )
-    step = lambda score, edge: F.array(F.struct(
-        score.alias("score"), edge["start"].alias("start"), edge["id"].alias("id")))
-    zero = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("id")))
-
-    def fold(best: Column, edge: Column) -> Column:
-        """``best`` has the best way to each position so far; edges come by end, then by start."""
-        score = F.get(best, edge["start"])["score"] + edge["score"]
-        return (
-            F.when(F.size(best) == edge["end"], F.concat(best, step(score, edge)))
-            .when(score > F.get(best, edge["end"])["score"], F.concat(F.slice(best, F.lit(1), edge["end"]), step(score, edge)))
-            .otherwise(best)
-        )
-
-    best = edges.select(word, F.aggregate("edges", zero, fold).alias("best"))
+    zero = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(None).cast("int").alias("id")))
+
+    def fold(best: Column, end: Column) -> Column:
+        """``best`` has the best way to each position before ``end``; of equal scores the earlier start wins."""
+        ways = F.transform(end["edges"], lambda e: F.struct(
+            (F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
+        return F.concat(best, F.array(F.array_max(ways)))
+
+    best = edges.select(word, F.aggregate("ends", zero, fold).alias("best"))
     last = F.size("best") - 1
     path = F.aggregate(
         F.sequence(last, F.lit(1), F.lit(-1)),
         F.struct(last.alias("at"), F.array().cast("array<struct<id:int,start:int>>").alias("path")),
         lambda s, i: F.when(i == s["at"], F.struct(
-            F.get("best", i)["start"].alias("at"),
-            F.concat(F.array(F.struct(F.get("best", i)["id"].alias("id"), F.get("best", i)["start"].alias("start"))), s["path"]).alias("path"),
+            (-F.get("best", i)["back"]).alias("at"),
+            F.concat(F.array(F.struct(F.get("best", i)["id"].alias("id"), (-F.get("best", i)["back"]).alias("start"))), s["path"]).alias("path"),
         )).otherwise(s),
         lambda s: s["path"])
     # Bytes of a character without a piece, from its hexadecimal form; or the unknown id.
@@ -289,7 +292,9 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     rows = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     at = len(own)
     # One reference per block that has the word.
-    words = rows.mapInArrow(_words(path, at), "word string, ref bigint").filter("word <> ''").groupBy("word").agg(
+    # Many partitions: a task should sort the edges of its words in memory.
+    many = max(rows.rdd.getNumPartitions() * WORD_TASKS, 8)
+    words = rows.mapInArrow(_words(path, at), "word string, ref bigint").filter("word <> ''").repartition(many, "word").groupBy("word").agg(
         F.collect_list("ref").alias("refs")).filter(F.size("refs") > 0)  # kept in both uses below, so that they share one exchange
     coded = words.join(encode_words(words.select("word"), model), "word")
     local = coded.select(F.explode("refs").alias("ref"), "ids").select(
