@@ -110,8 +110,10 @@ def mix(
     ``size`` is the number of words (null text: 0). Null is a source of its own. A document gets at most
     ceil(``most``) copies. Documents without words are never drawn beyond their certain copies' zero words. Rows equal in
     doc_id and text have one rank and are drawn together; an empty table gives an empty one.
+    Columns named like a result are replaced.
     """
-    sized = docs.withColumns({
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    sized = docs.select(*own).withColumns({
         "size": n_words(F.col("text")),
         "_u": uniform(seed, F.col("doc_id"), F.col("text")),
         # Null and each name as keys that plain joins can compare.
@@ -138,7 +140,6 @@ def mix(
             (b2 == F.col("_f2")) & F.coalesce(F.struct("_rank", "_key") <= F.col("_in"), F.lit(False)))))
     )
     copies = (F.col("_sure") + drawn.cast("long")).cast("long")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     return taken.select(*own, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

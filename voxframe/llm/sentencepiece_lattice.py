@@ -19,7 +19,6 @@ once for the documents.
 from __future__ import annotations
 
 import gc
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, pairwise
@@ -27,12 +26,13 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
 #: A run of letters or of other characters, with the space marks in front of it.
-ATOM = re.compile(r"▁*[^\W\d_]+|[\W\d_]+")
+ATOM = regex.compile(r"▁*\p{L}+|▁*[^\p{L}▁]+|▁+")
 LONG_ATOM = 64
 BLOCK_BYTES = 16_000_000
 #: A reference packs partition, block in it and word in that: 24, 12 and 28 bits.
