@@ -45,10 +45,10 @@ FILES = {
     "rate.wav": wav_file(S16, rate=8000),
 }
 ERRORS = {
-    "bad_riff.wav": "expected RIFF", "bad_wave.wav": "expected WAVE", "empty.wav": "expected RIFF",
-    "no_fmt.wav": "missing fmt", "cut_skip.wav": "truncated while skipping", "short_fmt.wav": "fmt chunk too short",
-    "no_data.wav": "missing data", "cut_data.wav": "truncated", "alaw.wav": "got 6", "pcm24.wav": "PCM, got 24",
-    "float64.wav": "float, got 64", "stereo.wav": "got 2", "rate.wav": "got 8000",
+    "bad_riff.wav": "where RIFF belongs", "bad_wave.wav": "where WAVE belongs", "empty.wav": "where RIFF belongs",
+    "no_fmt.wav": "no fmt chunk", "cut_skip.wav": "past the end", "short_fmt.wav": "fewer than 16",
+    "no_data.wav": "no data chunk", "cut_data.wav": "ends inside", "alaw.wav": "format 6", "pcm24.wav": "24 bits",
+    "float64.wav": "64 bits", "stereo.wav": "2 channels", "rate.wav": "8000 samples",
 }
 VALUES = {
     "pcm32.wav": [0.0, 0.5, -1.0], "float.wav": [0.0, 0.5, -2.0],

@@ -29,7 +29,7 @@ def with_limits(jobs: DataFrame) -> DataFrame:
     limits = F.broadcast(dims.backend_limits(jobs.sparkSession))
     return jobs.withColumn("mode", mode).join(limits, ["backend", "mode"], "left").withColumn(
         "limit_error",
-        F.when(F.col("hard_s").isNull(), F.concat(F.lit("Unsupported backend: "), F.col("backend"))),
+        F.when(F.col("hard_s").isNull(), F.concat(F.lit("Unsupported backend: "), F.coalesce(F.col("backend"), F.lit("none")))),
     )
 
 

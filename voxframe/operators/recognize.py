@@ -85,7 +85,7 @@ def recognize_one(
         if i is not None and (i > 0 or prompt) and chunks[i]["t0"] is not None:
             at = chunks[i]["t0"]
             later = [
-                {"text": c["text"], "t0": c["t0"] + at, "t1": None if c["t1"] is None else c["t1"] + at}
+                {"text": c["text"], "t0": None if c["t0"] is None else c["t0"] + at, "t1": None if c["t1"] is None else c["t1"] + at}
                 for c in fn(samples[int(at * RATE):], None)
             ]
             chunks, first_retried = chunks[:i] + later, i
@@ -199,7 +199,9 @@ class _Job:
                 )):
                     t0 = c["t0"] if self.sub_timestamps else 0.0
                     t1 = c["t1"] if self.sub_timestamps and c["t1"] is not None else length
-                    rows.append((stream, block, segment, k, c["text"], start + t0, start + t1, retried))
+                    # Without a start there are no times: such rows are data, and a log leaves them out.
+                    begin, end = (None, None) if t0 is None else (start + t0, start + t1)
+                    rows.append((stream, block, segment, k, c["text"], begin, end, retried))
             yield rows, exits
         if current is not None:
             yield [], [(*current, memory.lines())]

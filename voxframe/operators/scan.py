@@ -154,7 +154,7 @@ def plan_retries_chunks(
     compared = (
         chunks.select(*_SEGMENT, "chunk_idx", "t0", folded(F.col("text")).alias("_a"))
         .join(before, _SEGMENT)
-        .withColumn("_b", F.coalesce(F.lag("_a").over(order), folded(F.col("prior_last_chunk"))))
+        .withColumn("_b", F.when(F.row_number().over(order) == 1, folded(F.col("prior_last_chunk"))).otherwise(F.lag("_a").over(order)))
     )
     found = _near_duplicates(compared, "_a", "_b", threshold).groupBy(*_SEGMENT).agg(
         F.min("chunk_idx").alias("repeat_idx"),

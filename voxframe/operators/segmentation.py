@@ -251,13 +251,6 @@ def _linked_blocks(windows: DataFrame, options: SegmentOptions, block_windows: i
     """Blocks with their final entry state."""
     stream_type = windows.schema["stream_id"].dataType.simpleString()
     packed = materialize(_pack(windows, block_windows))
-    longest = packed.agg(F.max("block")).first()[0]
-    if not longest:
-        # Every stream fits into one block: nothing to hand over.
-        return packed.select(
-            "*", F.lit(None).cast("bigint").alias("prev_block"), F.lit(True).alias("is_last"),
-            F.lit(0).cast("bigint").alias("prev_end"), F.lit(None).cast(STATE_DDL).alias("entry"),
-        )
     blocks = materialize(_link(packed, block_windows))
     schema = (
         f"stream_id {stream_type}, block bigint, used {STATE_DDL}, exit {STATE_DDL}, settled boolean"

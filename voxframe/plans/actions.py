@@ -32,7 +32,7 @@ def transcribe(
     placed = cuts.drop("start_sample").join(
         segments.select("stream_id", "segment_idx", "start_s"), ["stream_id", "segment_idx"]
     )
-    transcripts = recognize.transcribe_segments(placed, recognizer, **recognition)
+    transcripts = recognize.transcribe_segments(placed, recognizer, **recognition).filter("start_s is not null")
     return events.event_log(chunks.select("stream_id"), segments, transcripts, clip, epoch_ms)
 
 

@@ -520,7 +520,7 @@ ORACLES: dict[str, str] = {
     "wav_corpus_profile": f"""WITH {_FILES},
         h AS (SELECT *, stream_id % 7 = 0 AS broken FROM files)
         SELECT CASE WHEN NOT broken THEN 1 END AS audio_format, CASE WHEN NOT broken THEN 16 END AS bits_per_sample,
-          CASE WHEN broken THEN 'WAV file truncated' END AS error, count(*) AS files,
+          CASE WHEN broken THEN 'file ends inside a chunk header' END AS error, count(*) AS files,
           CASE WHEN NOT broken THEN round(sum(n_samples) / 16000 / 3600, 9) END AS hours
         FROM h GROUP BY broken""",
     "wav_round_trip": f"""WITH {_FILES}

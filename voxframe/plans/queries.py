@@ -384,10 +384,12 @@ def recovery_audit_retries(spark, sf_dir):
 
 
 def _stub_recognizer():
-    """Deterministic text from the samples: loud halves become words, a prompt is echoed when short."""
+    """Deterministic text from all samples, a word per run of seven; with a prompt, the first one repeats its end."""
 
     def recognize_samples(samples, prompt):
-        words = ["loud" if abs(float(x)) > 0.12 else "soft" for x in samples[::7]]
+        words = ["loud" if max(abs(float(x)) for x in samples[i:i + 7]) > 0.12 else "soft" for i in range(0, len(samples), 7)]
+        if prompt and words:
+            words[0] = prompt.split()[-1]
         return [
             {"text": " ".join(words[i:i + 3]), "t0": i / 1000, "t1": None if i + 3 >= len(words) else (i + 3) / 1000}
             for i in range(0, len(words), 3)

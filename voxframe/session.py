@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read a table. With ``spread``, one of fewer files than cores is dealt out to all cores.
+    """Read a table. With ``spread``, one that is read in fewer tasks than there are cores is dealt out to all of them.
 
     That is for tables with long texts, where a file that fits one split would be one task.
-    A table of many files is read as it lies, without a shuffle.
+    A table of many splits is read as it lies, without a shuffle.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -20,11 +20,12 @@ def check_jobs(jobs: DataFrame) -> DataFrame:
 
     ``file_exists`` is optional; where it is missing or null the file is taken to exist.
     """
-    backend = F.col("backend")
+    backend = F.coalesce(F.col("backend"), F.lit("none"))
     exists = F.coalesce(F.col("file_exists"), F.lit(True)) if "file_exists" in jobs.columns else F.lit(True)
     backends = [b for b, *_ in dims.BACKEND_LIMITS]
     # Families that take no conditioning, and the one that takes no device.
     unconditioned = ("moonshine", "glm-asr", "glm-asr-mlx", "nvidia-whisper")
+    # The messages are fixed values.
     rules = [
         (~is_url(F.col("source")) & ~exists, F.concat(F.lit("File does not exist: "), F.col("source"))),
         (F.col("duration_s").isNull(), F.lit(

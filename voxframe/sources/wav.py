@@ -38,13 +38,13 @@ def _chunks_until(f, size: int, wanted: bytes, missing: str):
         if len(head) < 4:
             raise ValueError(missing)
         if len(head) < 8:
-            raise ValueError("WAV file truncated")
+            raise ValueError("file ends inside a chunk header")
         name, length = struct.unpack("<4sI", head)
         body = f.tell()
         if name == wanted:
             return body, length
         if body + length > size:
-            raise ValueError("WAV file truncated while skipping chunk")
+            raise ValueError(f"chunk {name!r} runs past the end of the file")
         f.seek(min(size, body + length + length % 2))
 
 
@@ -53,24 +53,24 @@ def read_header(f, size: int) -> dict:
     riff = f.read(12)
     for at, wanted in ((0, b"RIFF"), (8, b"WAVE")):
         if riff[at:at + 4] != wanted:
-            raise ValueError(f"Not a WAV file: expected {wanted.decode()}, got {riff[at:at + 4]!r}")
-    body, length = _chunks_until(f, size, b"fmt ", "WAV file missing fmt chunk")
+            raise ValueError(f"no RIFF/WAVE file: {riff[at:at + 4]!r} where {wanted.decode()} belongs")
+    body, length = _chunks_until(f, size, b"fmt ", "no fmt chunk")
     fmt = f.read(min(length, 16))
     if len(fmt) < 16:
-        raise ValueError("WAV fmt chunk too short")
+        raise ValueError("fmt chunk has fewer than 16 bytes")
     kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", fmt)
     allowed = {1: (16, 32), 3: (32,)}
     if kind not in allowed:
-        raise ValueError(f"Expected PCM (1) or IEEE float (3) format, got {kind}")
+        raise ValueError(f"sample format {kind} is neither PCM (1) nor float (3)")
     if bits not in allowed[kind]:
         wanted = "16-bit or 32-bit PCM" if kind == 1 else "32-bit float"
-        raise ValueError(f"Expected {wanted}, got {bits}")
+        raise ValueError(f"{bits} bits a sample; {wanted} can be read")
     if channels != 1:
-        raise ValueError(f"Expected mono (1 channel), got {channels}")
+        raise ValueError(f"{channels} channels; one can be read")
     if rate != TARGET_RATE:
-        raise ValueError(f"Expected {TARGET_RATE} Hz, got {rate}")
+        raise ValueError(f"{rate} samples a second; {TARGET_RATE} can be read")
     f.seek(min(size, body + length + length % 2))
-    offset, data_size = _chunks_until(f, size, b"data", "WAV file missing data chunk")
+    offset, data_size = _chunks_until(f, size, b"data", "no data chunk")
     return dict(audio_format=kind, bits_per_sample=bits, sample_rate=rate, channels=channels,
                 data_size=data_size, data_offset=offset, error=None)
 

@@ -20,8 +20,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from voxframe.operators.fold import SegmentFold, SegmentOptions
 from voxframe.operators.recognize import Conversation
 
-REORDER_WINDOWS = 256
-
 
 class _Stored(StatefulProcessor):
     """Keeps one small JSON document per stream."""
@@ -52,7 +50,7 @@ class SegmentProcessor(_Stored):
     columns = ["stream_id", "segment_idx", "start_sample", "n_samples", "start_s", "duration_s",
                "end_reason", "late_windows"]
 
-    def __init__(self, options: SegmentOptions, reorder: int, idle_timeout_ms: int | None):
+    def __init__(self, options: SegmentOptions, reorder: int | None, idle_timeout_ms: int | None):
         self.options, self.reorder, self.idle_timeout_ms = options, reorder, idle_timeout_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -72,35 +70,44 @@ class SegmentProcessor(_Stored):
             fold.finish()
         out = self._rows(key, fold, doc)
         if doc["end"]:
-            self.value.clear()
+            doc = self._closed(doc)
+            self.value.update((json.dumps(doc),))
         else:
             doc["fold"], doc["waiting"] = fold.state(), waiting
             self.store(doc, timerValues)
         yield out
 
+    @staticmethod
+    def _closed(doc) -> dict:
+        """What a closed stream keeps: where it ended and how many segments it has, so a resumed one numbers on."""
+        return {"fold": None, "next": doc["next"], "waiting": {}, "late": doc["late"], "segments": doc["segments"], "end": False}
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         doc = self.load()
         if doc is None:
             return
         fold = SegmentFold(self.options, tuple(doc["fold"]) if doc["fold"] else None)
-        self._drain(fold, {int(k): v for k, v in doc["waiting"].items()}, doc["next"], True)
+        doc["next"] = self._drain(fold, {int(k): v for k, v in doc["waiting"].items()}, doc["next"], True)
         fold.finish()
         yield self._rows(key, fold, doc)
-        self.value.clear()
+        self.value.update((json.dumps(self._closed(doc)),))
 
     def _drain(self, fold, waiting, at, everything) -> int:
-        """Feed windows in order; a hole is passed once the bound (or the end) forces it."""
-        while waiting:
-            if at not in waiting:
-                if not everything and max(waiting) - at < self.reorder:
-                    break
-                hole = min(waiting) - at
+        """Feed windows in order; a hole is waited for, until the end or a bound the caller asked for forces it."""
+        if not waiting:
+            return at
+        last = max(waiting)
+        for index in sorted(waiting):
+            hole = index - at
+            if hole:
                 if not everything:
-                    hole = min(hole, max(waiting) - at - self.reorder + 1)
-                fold.feed(at, hole, False)
-                at += hole
-                continue
-            fold.feed(at, 1, waiting.pop(at))
+                    hole = 0 if self.reorder is None else min(hole, max(0, last - at - self.reorder + 1))
+                if hole:
+                    fold.feed(at, hole, False)
+                    at += hole
+                if at < index:
+                    break
+            fold.feed(at, 1, waiting.pop(index))
             at += 1
         return at
 
@@ -114,7 +121,7 @@ class SegmentProcessor(_Stored):
 
 
 def segment_activity_stream(
-    windows: DataFrame, options: SegmentOptions | None = None, reorder: int = REORDER_WINDOWS,
+    windows: DataFrame, options: SegmentOptions | None = None, reorder: int | None = None,
     idle_timeout_ms: int | None = None, **named,
 ) -> DataFrame:
     """Segments of a stream of ``stream_id, window_idx, is_speech, is_end`` rows, as they close."""
