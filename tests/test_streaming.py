@@ -67,6 +67,19 @@ def test_late_and_gap(spark, tmp_path):
     assert max(r.late_windows for r in rows) == 1
 
 
+def test_far_windows_wait_and_resumed_streams_number_on(spark, tmp_path):
+    o = SegmentOptions(min_speech_s=0.032, soft_limit_s=None, hard_limit_s=3.0, min_silence_ms=64, look_back_s=0)
+    flags = ("SSSS" + "." * 6) * 60
+    rows = [("a", i, c == "S", False) for i, c in enumerate(flags)]
+    # Windows 300 and more ahead of a missing one are kept, not passed over.
+    batches = [rows[1:], rows[:1] + [("a", None, None, True)], [("a", len(flags) + i, True, False) for i in range(4)] + [("a", None, None, True)]]
+    got = replay(spark, tmp_path, batches, SCHEMA, lambda d: processors.segment_activity_stream(d, o), "seg3")
+    want = [s[:2] for s in fold(flags, o)]
+    assert sorted((r.segment_idx, r.start_sample, r.n_samples) for r in got) == [
+        *((i, *s) for i, s in enumerate(want)), (len(want), len(flags) * 512, 4 * 512)]
+    assert max(r.late_windows for r in got) == 0
+
+
 def test_frames(spark, tmp_path):
     rnd = random.Random(3)
     chunks, at = [], 0
