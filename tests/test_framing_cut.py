@@ -40,6 +40,13 @@ def test_frames_cross_chunks(spark):
     assert lost == {"a": 7, "b": 15, "c": 0}
 
 
+def test_samples_at_a_gap_are_counted(spark):
+    df = spark.createDataFrame([("a", 0, 0, ramp(20)), ("a", 1, 25, ramp(20)), ("b", 0, 3, ramp(0)), ("c", 0, 16, ramp(32))], SCHEMA)
+    assert framing.frame(df, 16).count() == 3
+    lost = {r.stream_id: r.dropped_samples for r in framing.dropped_samples(df, 16).collect()}
+    assert lost == {"a": 24, "b": 0, "c": 0}
+
+
 def test_offsets(spark):
     df = chunks_of(spark, {"a": ramp(300), "b": ramp(70)}, random.Random(2))
     got = framing.with_offsets(df.drop("start_sample")).select("stream_id", "chunk_seq", "start_sample")

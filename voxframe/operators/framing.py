@@ -41,11 +41,7 @@ def frame(chunks: DataFrame, size: int = 512, rate: int = 16000) -> DataFrame:
         "stream_id", "window_idx",
         F.slice("samples", (F.col("window_idx") * size - start + 1).cast("int"), F.lit(size)).alias("samples"),
     )
-    low, high = F.floor(start / size), F.floor((end - 1) / size)
-    borders = F.array_distinct(F.array_compact(F.array(
-        F.when((low * size < start) | ((low + 1) * size > end), low),
-        F.when((high * size < start) | ((high + 1) * size > end), high),
-    )))
+    borders = _border_windows(start, end, size)
     joined = (
         filled.select("stream_id", "start_sample", "samples", F.explode(borders).alias("window_idx"))
         .withColumn("_at", F.greatest(F.col("window_idx") * size, start))
@@ -68,10 +64,30 @@ def frame(chunks: DataFrame, size: int = 512, rate: int = 16000) -> DataFrame:
     )
 
 
+def _border_windows(start: Column, end: Column, size: int) -> Column:
+    """The windows that a chunk fills in part only."""
+    low, high = F.floor(start / size), F.floor((end - 1) / size)
+    return F.array_distinct(F.array_compact(F.array(
+        F.when((low * size < start) | ((low + 1) * size > end), low),
+        F.when((high * size < start) | ((high + 1) * size > end), high),
+    )))
+
+
 def dropped_samples(chunks: DataFrame, size: int = 512) -> DataFrame:
-    """Samples per stream that the incomplete last window loses."""
-    return chunks.groupBy("stream_id").agg(
-        (F.max(F.col("start_sample") + F.size("samples")) % size).alias("dropped_samples")
+    """Samples per stream in windows that are not full: the last one, and those that touch a gap between chunks.
+
+    Only lengths are shuffled, and only of the windows at chunk borders.
+    """
+    start = F.col("start_sample")
+    end = start + F.size("samples")
+    filled = F.when(F.size("samples") > 0, _border_windows(start, end, size))
+    pieces = chunks.select("stream_id", "start_sample", end.alias("_end"), F.explode_outer(filled).alias("_w")).select(
+        "stream_id", "_w",
+        (F.least((F.col("_w") + 1) * size, "_end") - F.greatest(F.col("_w") * size, "start_sample")).alias("_n"),
+    )
+    return (
+        pieces.groupBy("stream_id", "_w").agg(F.sum("_n").alias("_n")).groupBy("stream_id")
+        .agg(F.coalesce(F.sum(F.when(F.col("_n") < size, F.col("_n"))), F.lit(0)).cast("long").alias("dropped_samples"))
     )
 
 
