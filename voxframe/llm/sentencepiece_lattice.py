@@ -79,6 +79,12 @@ class Pieces:
     def atoms(self, chunk: str) -> list[str]:
         """A chunk (the characters behind one space) as words that can be encoded on their own."""
         word = SPACE_MARK + chunk
+        if self.by_class and chunk.isascii() and len(word) <= LONG_ATOM:
+            # Most chunks are a word, or a word and a mark.
+            if chunk.isalpha():
+                return [word]
+            if chunk[:-1].isalpha():
+                return [word[:-1], word[-1]]
         parts = ATOM.findall(word) if self.by_class else [word]
         if chunk.isascii() and len(word) <= LONG_ATOM:
             return parts
@@ -192,21 +198,23 @@ def _coded(texts: pa.Array, model: Pieces) -> tuple[list[str], np.ndarray, np.nd
     gc.disable()
     try:
         odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE_MARK))
-        if pc.any(odd).as_py():
+        odd = pc.and_(odd, pc.not_equal(texts, ""))
+        some = texts.filter(odd)
+        if len(some):
             # Of a run of spaces the first one cuts; the others stay as marks in front of what follows.
-            marked = pc.binary_join_element_wise(SPACE_MARK, pc.replace_substring(texts, " ", SPACE_MARK), "")
+            marked = pc.binary_join_element_wise(SPACE_MARK, pc.replace_substring(some, " ", SPACE_MARK), "")
             runs = pc.replace_substring_regex(marked, f"{SPACE_MARK}({SPACE_MARK}*)", r" \1")
-            texts = pc.if_else(pc.and_(odd, pc.not_equal(texts, "")), pc.utf8_slice_codeunits(runs, 1), texts)
+            texts = pc.replace_with_mask(texts, odd, pc.utf8_slice_codeunits(runs, 1))
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        numbers: dict[str, int] = {}
         parts = list(map(model.atoms, chunks))
+        del chunks
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = list(chain.from_iterable(parts))
-        for a in flat:
-            numbers.setdefault(a, len(numbers))
-        of_chunk = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+        numbers = dict.fromkeys(chain.from_iterable(parts))
+        numbers.update(zip(list(numbers), range(len(numbers)), strict=True))
+        of_chunk = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        del parts
     finally:
         gc.enable()
     at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
