@@ -58,9 +58,8 @@ def _base(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), 0).otherwise(F.size(covered)).cast("long"))
 
 
-def line_fails(line: Column, max_symbols: float, min_line_words: int) -> Column:
-    """Whether a line breaks a rule; lines reach this with a word in them."""
-    n = F.size(F.filter(F.split(line, SPACE), lambda w: w != ""))
+def line_fails(line: Column, n: Column, max_symbols: float, min_line_words: int) -> Column:
+    """Whether a line of ``n`` words breaks a rule; lines reach this with a word in them."""
     low = ascii_lower(line)
     punctuation = (
         # Many marks inside words, shouted words, or a long line in which no sentence ends.
@@ -88,8 +87,11 @@ def judge_quality(
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned", "lost_chars")]
     df = _base(docs.select(*own), text).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeat))
-    df = df.withColumn("_good", F.filter(
-        F.array_distinct("_lines"), lambda x: ~line_fails(x, max_symbols, min_line_words)))
+    # Words of a line are counted once, not in each rule.
+    df = df.withColumn("_counted", F.transform(F.array_distinct("_lines"), lambda x: F.struct(
+        x.alias("line"), F.size(F.filter(F.split(x, SPACE), lambda w: w != "")).alias("n"))))
+    df = df.withColumn("_good", F.transform(
+        F.filter("_counted", lambda x: ~line_fails(x["line"], x["n"], max_symbols, min_line_words)), lambda x: x["line"]))
     df = df.withColumns({
         "cleaned": F.array_join("_good", "\n"), "_all": F.length(F.array_join("_lines", "")),
     }).withColumn("lost_chars", (F.col("_all") - F.length(F.array_join("_good", ""))).cast("long"))
