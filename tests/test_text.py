@@ -112,3 +112,6 @@ def test_script_and_cjk_spaces(spark):
     wide = X.CJK_WIDE_CLASS
     want = [re.sub(f"(?<={wide})\\s+(?={wide})", "", t) for t in ("你 好　 吗 a 你", "a b")]
     assert got == want
+    by_language = column(spark, [("你 好", "zh"), ("你 好", "en"), ("你 好", None)],
+                         X.strip_cjk_spaces(F.col("t"), F.col("l")), "t string, l string")
+    assert by_language == ["你好", "你 好", "你 好"]

@@ -36,6 +36,7 @@ SMALL_MODELS = [
     ("zh", "tiny", 0),
     ("es", "base", 1),
 ]
+# Default models, where models lie, and the prefixes of sources that are not files.
 DEFAULT_SMALL_MODEL = {"en": "small-streaming", "zh": "base", "es": "base"}
 MODEL_HOST = "https://download.moonshine.ai/model"
 

@@ -267,12 +267,14 @@ def convert_script(text: Column, source: str, target: str, mode: str = "none") -
     return F.translate(text, source, target)
 
 
-def strip_cjk_spaces(text: Column) -> Column:
-    return F.regexp_replace(
-        text, f"(?<={CJK_WIDE_CLASS}){WHITESPACE_CLASS}+(?={CJK_WIDE_CLASS})", ""
-    )
-
-
 def wants_cjk_strip(language: Column) -> Column:
     # The languages whose spaces between ideographs are removed.
     return F.coalesce(language.isin("zh", "ja", "ko"), F.lit(False))
+
+
+def strip_cjk_spaces(text: Column, language: Column | None = None) -> Column:
+    """Without white space between wide characters; with ``language``, in the languages that want it only."""
+    stripped = F.regexp_replace(
+        text, f"(?<={CJK_WIDE_CLASS}){WHITESPACE_CLASS}+(?={CJK_WIDE_CLASS})", ""
+    )
+    return stripped if language is None else F.when(wants_cjk_strip(language), stripped).otherwise(text)

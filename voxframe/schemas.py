@@ -2,8 +2,6 @@
 
 from pyspark.sql import types as T
 
-STREAM_ID = "stream_id"
-
 SAMPLE_CHUNKS = T.StructType([
     T.StructField("stream_id", T.StringType()),
     T.StructField("chunk_seq", T.LongType()),
@@ -12,21 +10,6 @@ SAMPLE_CHUNKS = T.StructType([
     T.StructField("samples", T.ArrayType(T.FloatType())),
 ])
 
-WINDOWS = T.StructType([
-    T.StructField("stream_id", T.StringType()),
-    T.StructField("window_idx", T.LongType()),
-    T.StructField("speech_prob", T.DoubleType()),
-])
-
-CHUNKS = T.StructType([
-    T.StructField("stream_id", T.StringType()),
-    T.StructField("segment_idx", T.LongType()),
-    T.StructField("chunk_idx", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("t0", T.DoubleType()),
-    T.StructField("t1", T.DoubleType()),
-])
-
 TRANSCRIPTS = T.StructType([
     T.StructField("stream_id", T.StringType()),
     T.StructField("segment_idx", T.LongType()),
