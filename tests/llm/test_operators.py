@@ -191,6 +191,34 @@ def test_lattice_against_plain_viterbi(spark):
     assert sentencepiece_lattice.encode(frame(spark, []), PIECES).count() == 0
 
 
+def test_merges_against_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(9)
+    english = "the government's information: \tif (x == 10):\n      return  self.values[0]  # naïve Übergrößenträger 中文 😀"
+    rows = texts() + [(100, english), (101, "ab" + " " * 40 + "the"), (102, " " * 300), (103, "x\n" + " " * 17 + "y")]
+    rows += [(200 + i, "".join(rng.choice(["a", "e", "th", "in", "s", "A", "é", "中", "1", ".", "\n", " ", " " * rng.randint(1, 40)]) for _ in range(60)))
+             for i in range(60)]
+    out = sentencepiece_lattice.encode(frame(spark, rows).coalesce(2), PIECES, merges=True).collect()
+    got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in out]
+    assert multiset(got) == multiset((d, library.encode(t or "")) for d, t in rows)
+    assert all(r.n_pieces * 4 == len(r.ids) for r in out)
+
+
+def test_query_has_library_ids(spark, tmp_path):
+    import sentencepiece
+
+    from voxframe.llm.queries import QUERIES
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(1, "the government of information"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_sentencepiece"](spark, str(tmp_path)).collect()
+    want = [(d, np.array(library.encode(t or ""), "<u4")) for d, t in rows]
+    assert sorted((r.doc_id, r.n_pieces, r.ids_crc32) for r in got) == [(d, len(i), zlib.crc32(i.tobytes())) for d, i in want]
+
+
 def test_lattice_long_run_and_cuts(spark):
     model = sentencepiece_lattice.pieces_of(PIECES)
     assert model.by_class

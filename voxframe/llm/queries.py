@@ -37,7 +37,7 @@ def op2_toxicity(spark, sf_dir):
 @query
 def op3_sentencepiece(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+    return sentencepiece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), merges=True).select(
         "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 

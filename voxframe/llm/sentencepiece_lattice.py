@@ -5,11 +5,12 @@ becomes numbers of words, and each distinct word is encoded once. For the words
 
 * substrings of bounded length are exploded, by start and by length,
 * an equi-join with the piece table (a model's vocabulary: broadcast) keeps those that are pieces,
-* the edges of a word are grouped, and a higher-order ``aggregate`` folds them into best scores by
-  position (Viterbi); a second one walks back.
+* the edges of a word are grouped, and a higher-order ``aggregate`` chooses among them: for BPE models by merge order
+  (``merges=True``), else the best scores by position (Viterbi), and a second one walks back.
 
 The ids of the words then go back to the blocks that have them. A word that most documents have is one row per block on
-the way, so no key is hot. Scores are those of the model file, and the best path is the one with the highest sum, ties to the longer
+the way, so no key is hot. Scores are those of the model file. In a BPE model they are the order of the merges, and with ``merges=True``
+ids are those of SentencePiece. Without it the best path is the one with the highest sum, ties to the longer
 last piece: what SentencePiece's unigram models do. Characters without a piece become byte pieces.
 
 ``docs`` must read the same rows in the same partitions each time, as a table does: it is read once for the words and
@@ -21,6 +22,7 @@ from __future__ import annotations
 import gc
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, pairwise
 
 import numpy as np
@@ -38,6 +40,8 @@ BLOCK_BYTES = 16_000_000
 #: A reference packs partition, block in it and word in that: 24, 12 and 28 bits.
 BLOCK_SHIFT, PART_SHIFT = 28, 40
 UNKNOWN_PENALTY = 10.0
+#: The order of a merge packs the rank of its piece, where it starts, its length and whether it is late: 18, 37, 7 and 1 bits.
+RANK_SHIFT, START_SHIFT = 45, 8
 #: Tasks over words per task over documents.
 WORD_TASKS = 8
 
@@ -53,6 +57,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.path = path
+        self.unused = any(model.is_unused(i) for i in range(size))
         self.rows = [(model.id_to_piece(i), i, float(model.get_score(i))) for i in range(size)
                      if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.unknown = model.unk_id()
@@ -76,6 +81,38 @@ class Pieces:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(surface), np.uint8)
 
+    @cached_property
+    def orders(self) -> list[int]:
+        """Per row: when its merge takes place in BPE, for a piece that starts at 0; see ``merged``.
+
+        BPE merges the best pair of neighbours, then the leftmost. If the parts of each piece are there before its turn, that is one
+        walk over the edges by rank and start. A piece whose parts come later (long runs of spaces) takes its turn
+        right behind the merge that makes the second of them.
+        """
+        if self.unused or self.longest > 127 or len(self.rows) >= 1 << 18:
+            raise ValueError("merges of models with unused pieces, or more or longer pieces than an order holds, are not supported")
+        ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        rank = {p: ranks[s] for p, _, s in self.rows}
+        turns: dict[str, tuple[int, int, int, int]] = {}
+        triggers: dict[tuple[str, int], int] = {}
+        for p in sorted(rank, key=len):
+            turns[p] = own = (rank[p], 0, len(p), 0)
+            bounds, last = list(range(len(p) + 1)), None
+            while len(bounds) > 3:
+                live = [(rank[p[a:b]], a, b) for a, b in zip(bounds, bounds[2:], strict=False) if p[a:b] in rank]
+                if not live:
+                    break
+                last = min(live)
+                del bounds[bounds.index(last[1]) + 1]
+            if len(bounds) == 3 and last:
+                r, at, size, late = turns[p[last[1] : last[2]]]
+                if (r, last[1] + at, size, late) > own:
+                    # Orders of one trigger's pieces differ by their starts only.
+                    if late or triggers.setdefault((p[last[1] : last[2]], r), rank[p]) != rank[p]:
+                        raise ValueError("pieces whose parts come late by several merges are not supported")
+                    turns[p] = (r, last[1], size, 1)
+        return [(r << RANK_SHIFT) + (at << START_SHIFT) + 2 * size + late for r, at, size, late in (turns[p] for p, _, _ in self.rows)]
+
     def atoms(self, chunk: str) -> list[str]:
         """A chunk (the characters behind one space) as words that can be encoded on their own."""
         word = SPACE_MARK + chunk
@@ -120,29 +157,18 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 # --- the lattice -----------------------------------------------------------------------------------
 
-def piece_table(spark: SparkSession, model: Pieces) -> DataFrame:
-    """(piece, id, score, key): as many rows as the model has pieces."""
+def piece_table(spark: SparkSession, model: Pieces, merges: bool = False) -> DataFrame:
+    """(piece, id, score, key), with ``merges`` (piece, id, order, key): as many rows as the model has pieces."""
+    worth = {"order": pa.array(model.orders, pa.int64())} if merges else {"score": [s for _, _, s in model.rows]}
     return spark.createDataFrame(
         pa.table({"piece": [p for p, _, _ in model.rows], "id": pa.array([i for _, i, _ in model.rows], pa.int32()),
-                  "score": [s for _, _, s in model.rows]})).withColumn("key", F.xxhash64("piece"))
+                  **worth})).withColumn("key", F.xxhash64("piece"))
 
 
-def encode_words(words: DataFrame, model: Pieces, word: str = "word") -> DataFrame:
-    """(word, ids) of the distinct ``words``: the best path through the lattice of pieces of each."""
-    table = F.broadcast(piece_table(words.sparkSession, model))
-    length = F.length(word)
-    spans = (
-        words.filter(F.col(word) != "").select(word, F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
-        .select(word, "start", F.explode(F.sequence(
-            F.col("start") + 1, F.least(F.col("start") + model.longest, length))).alias("end"))
-        .withColumn("part", F.substring(F.col(word), F.col("start") + 1, F.col("end") - F.col("start")))
-    )
-    edges = (
-        # One long as the key; the comparison of the strings is written so that it does not become part of it.
-        spans.join(table, (F.xxhash64("part") == F.col("key")) & (F.col("part") >= F.col("piece")) & (F.col("part") <= F.col("piece")), "left")
-        # A character without a piece is an edge of its own.
-        .filter(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-        .select(word, "end", F.struct("start", F.coalesce("score", F.lit(model.unknown_score)).alias("score"), "id").alias("edge"))
+def best_sum(edges: DataFrame, model: Pieces, word: str) -> DataFrame:
+    """(word, _path): the edges (id, start) of the path with the highest sum of scores."""
+    ends = (
+        edges.select(word, "end", F.struct("start", F.coalesce("score", F.lit(model.unknown_score)).alias("score"), "id").alias("edge"))
         .groupBy(word, "end").agg(F.collect_list("edge").alias("edges"))
         .groupBy(word).agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
     )
@@ -154,7 +180,7 @@ def encode_words(words: DataFrame, model: Pieces, word: str = "word") -> DataFra
             (F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
         return F.concat(best, F.array(F.array_max(ways)))
 
-    best = edges.select(word, F.aggregate("ends", zero, fold).alias("best"))
+    best = ends.select(word, F.aggregate("ends", zero, fold).alias("best"))
     last = F.size("best") - 1
     path = F.aggregate(
         F.sequence(last, F.lit(1), F.lit(-1)),
@@ -164,13 +190,50 @@ def encode_words(words: DataFrame, model: Pieces, word: str = "word") -> DataFra
             F.concat(F.array(F.struct(F.get("best", i)["id"].alias("id"), (-F.get("best", i)["back"]).alias("start"))), s["path"]).alias("path"),
         )).otherwise(s),
         lambda s: s["path"])
+    return best.select(word, path.alias("_path"))
+
+
+def merged(edges: DataFrame, word: str) -> DataFrame:
+    """(word, _path): the edges (start, id) that are left when neighbours are merged in the order of the pieces."""
+    listed = edges.select(word, F.struct(
+        # Single characters are there from the start.
+        F.when(F.col("end") - F.col("start") > 1, F.col("order") + F.shiftleft(F.col("start").cast("long"), START_SHIFT)).otherwise(0).alias("order"),
+        "start", "end", "id").alias("edge")).groupBy(word).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+    def fold(bounds: Column, edge: Column) -> Column:
+        """``bounds`` has -1, so that no start is the first, and where symbols meet; an edge over two of them takes the bound between."""
+        at = F.array_position(bounds, edge["start"]).cast("int")
+        return F.when(F.get(bounds, at + 1) == edge["end"], F.array_remove(bounds, F.get(bounds, at))).otherwise(bounds)
+
+    left = listed.select(word, "edges", F.aggregate("edges", F.sequence(F.lit(-1), F.length(word)), fold).alias("bounds"))
+    own = F.filter("edges", lambda e: F.get("bounds", F.array_position("bounds", e["start"]).cast("int")) == e["end"])
+    return left.select(word, F.sort_array(F.transform(own, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))).alias("_path"))
+
+
+def encode_words(words: DataFrame, model: Pieces, word: str = "word", merges: bool = False) -> DataFrame:
+    """(word, ids) of the distinct ``words``: the path through the lattice of pieces of each, by merge order or the best one."""
+    table = F.broadcast(piece_table(words.sparkSession, model, merges))
+    length = F.length(word)
+    spans = (
+        words.filter(F.col(word) != "").select(word, F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
+        .select(word, "start", F.explode(F.sequence(
+            F.col("start") + 1, F.least(F.col("start") + model.longest, length))).alias("end"))
+        .withColumn("part", F.substring(F.col(word), F.col("start") + 1, F.col("end") - F.col("start")))
+    )
+    edges = (
+        # One long as the key; the comparison of the strings is written so that it does not become part of it.
+        spans.join(table, (F.xxhash64("part") == F.col("key")) & (F.col("part") >= F.col("piece")) & (F.col("part") <= F.col("piece")), "left")
+        # A character without a piece is an edge of its own.
+        .filter(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
+    )
+    paths = merged(edges, word) if merges else best_sum(edges, model, word)
     # Bytes of a character without a piece, from its hexadecimal form; or the unknown id.
     hexes = lambda e: F.hex(F.encode(F.substring(F.col(word), e["start"] + 1, F.lit(1)), "UTF-8"))
     spelled = lambda e: (F.transform(
         F.sequence(F.lit(0), F.octet_length(F.substring(F.col(word), e["start"] + 1, F.lit(1))) - 1),
         lambda i: F.conv(F.substring(hexes(e), (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + model.bytes_from)
         if model.bytes_from >= 0 else F.array(F.lit(model.unknown)))
-    return best.select(word, path.alias("_path")).select(word, F.when(
+    return paths.select(word, F.when(
         F.exists("_path", lambda e: e["id"].isNull()),
         F.flatten(F.transform("_path", lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e)))),
     ).otherwise(F.col("_path.id")).alias("ids"))
@@ -287,9 +350,11 @@ def _assemble(path: str, n_own: int):
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", merges: bool = False) -> DataFrame:
     """``docs`` without ``text``, with n_pieces, ids (little-endian unsigned 32-bit integers) and round_trip.
 
+    ``merges`` is for BPE models: pieces by merge order, as SentencePiece encodes with them. Without it they are those of the best sum of scores.
+
     ``round_trip`` says whether decoding the ids gives the text back; it does for all texts but those with the space
     mark itself, which reads as a space. A null text counts as empty and has no ids. Rows do not depend on each other; repeated rows
     come as often as they do. Columns named like a result are replaced.
@@ -304,7 +369,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     many = max(rows.rdd.getNumPartitions() * WORD_TASKS, 8)
     words = rows.mapInArrow(_words(path, at), "word string, ref bigint").filter("word <> ''").repartition(many, "word").groupBy("word").agg(
         F.collect_list("ref").alias("refs")).filter(F.size("refs") > 0)  # kept in both uses below, so that they share one exchange
-    coded = words.join(encode_words(words.select("word"), model), "word")
+    coded = words.join(encode_words(words.select("word"), model, merges=merges), "word")
     local = coded.select(F.explode("refs").alias("ref"), "ids").select(
         F.shiftright("ref", BLOCK_SHIFT).alias("_block"),
         F.col("ref").bitwiseAND((1 << BLOCK_SHIFT) - 1).alias("_local"), "ids")
