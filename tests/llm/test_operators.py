@@ -263,6 +263,17 @@ def test_top_k(spark):
     assert kdtree.top_k(df.limit(0), F.col("vec_id") == 2).count() == 0
 
 
+def test_top_k_repeated_rows(spark):
+    # The query is id 0; identical rows, and two vectors of one id with the same score, each count as often as they come.
+    rows = [(0, [1.0, 0.0]), (7, [10.0, 0.0]), (7, [10.0, 0.0]), (9, [9.0, 1.0]), (9, [9.0, 2.0]), (9, [9.0, 3.0]), (2, [8.0, 0.0]), (3, [7.0, 0.0])]
+    rows += [(100 + i, [-1.0, float(i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (2, 5, 50):
+        for shard_rows in (2, 4096):
+            got = kdtree.top_k(df, F.col("vec_id") == 0, k=k, shard_rows=shard_rows).collect()
+            assert sorted(map(tuple, got)) == brute_top(rows, k, [0])
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 def near_rows():

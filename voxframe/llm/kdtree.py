@@ -14,6 +14,7 @@ Components are turned to integers before anything else, so scores and ties are e
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,8 +174,9 @@ def _search_blocks(k: int):
                     before = [(p["score"], -p["vec_id"]) for p in seen or []]
                     heap = list(before)
                     heapq.heapify(heap)
-                    new = set(tree.search(matrix[i], ids[i], k, heap)) - set(before)
-                    out.append([{"score": int(s), "vec_id": -n} for s, n in new])
+                    # Equal pairs are rows of their own: of those in the heap, as many as came in are taken away.
+                    new = Counter(tree.search(matrix[i], ids[i], k, heap)) - Counter(before)
+                    out.append([{"score": int(s), "vec_id": -n} for s, n in new.elements()])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())])))],
                     ["query_id", "found"])
