@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import kdtree, pareto, quality, sentencepiece_lattice, superminhash, tokencount, toxicity, urlfilter, warc, wavelet
-from voxframe.llm.common import read_table
+from voxframe.llm import (
+    conversation_repair,
+    kdtree,
+    pareto,
+    periodic,
+    quality,
+    secret_scan,
+    sentencepiece_lattice,
+    superminhash,
+    tokencount,
+    toxicity,
+    urlfilter,
+    warc,
+    wavelet,
+)
+from voxframe.llm.common import read_table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +219,63 @@ fits as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from urls left join (select * from fits where k = 1) using (r)
 """
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts of the query: in every document whose digest h ends in 0, the words from a on repeat every p words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    cut = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    g, n = F.expr("h div 10"), F.size("w")
+    at = cut.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    changed = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), n - F.col("a")))
+    return at.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.find_runs(with_repeats(read_table(spark, sf_dir, "documents")))
+    # The first of the runs with the greatest quotient; they come by start, then period.
+    best = F.reduce(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)),
+        lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_secret_scan(spark, sf_dir):
+    found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+
+    def line(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+            ":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)],
+        F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The damage of the query, by a digest of conversation and turn; rows that it drops stay as ``gone``."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    kind = F.crc32(name.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    return turns.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("gone"), F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(damaged(read_table(spark, sf_dir, "conversations")), gone="gone")
