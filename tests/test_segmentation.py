@@ -39,9 +39,8 @@ def test_goldens_as_streams(spark):
             assert [g[1] / 512 for g in got[k]] == starts
 
 
-@pytest.mark.parametrize("seed, rounds", [(1, 3), (2, 3), (3, 0), (3, 6)])
-def test_blocks_equal_whole_fold(spark, seed, rounds, monkeypatch):
-    monkeypatch.setattr(G, "STATE_ROUNDS", rounds)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_blocks_equal_whole_fold(spark, seed):
     rnd = random.Random(seed)
     _, o = random_case(rnd)
     if seed == 3:
@@ -55,6 +54,55 @@ def test_blocks_equal_whole_fold(spark, seed, rounds, monkeypatch):
     assert got == want
 
 
+def never_pausing(rnd, n):
+    """Flags without a long pause: periodic ones, coin flips, and both mixed with speech."""
+    coin = "".join(rnd.choice("S.") for _ in range(n))
+    return {"period": ("SSSSS..." * n)[:n], "coin": coin, "mixed": ("SS.S....S" * n)[: n // 2] + coin[: n // 4] + "S" * (n // 4)}
+
+
+@pytest.mark.parametrize("o", [
+    SegmentOptions(min_speech_s=0.3, soft_limit_s=0.9, hard_limit_s=1.37, min_silence_ms=200, look_back_s=0.1),
+    SegmentOptions(min_speech_s=0.2, soft_limit_s=None, hard_limit_s=0.3, min_silence_ms=96, look_back_s=0.5),
+    SegmentOptions(min_speech_s=1.0, soft_limit_s=2.0, hard_limit_s=9.0, min_silence_ms=2000),
+    SegmentOptions(min_speech_s=0.3, soft_limit_s=0.05, hard_limit_s=0.08, min_silence_ms=64, look_back_s=0.1),
+])
+def test_streams_that_never_pause(spark, o, monkeypatch):
+    rnd = random.Random(4)
+    streams = never_pausing(rnd, 1400)
+    streams["pure"] = "S" * 900
+    rounds, kept = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df: (rounds.append("pos" in df.columns), kept(df))[1])
+    got = collect(G.segment_activity(windows(spark, streams), o, block_windows=8))
+    assert got == {k: direct(f, o) for k, f in streams.items() if direct(f, o)}
+    # 175 blocks a stream: as many rounds as the logarithm says, at most (and the numbering of the blocks).
+    assert 1 < sum(rounds) <= 1 + 8
+
+
+def test_no_task_holds_a_stream(spark, monkeypatch):
+    """No step of the segmentation puts the blocks of a stream into one task: blocks are dealt by stream and number, or stay."""
+    plans, kept = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    o = SegmentOptions(min_speech_s=0.3, soft_limit_s=0.9, hard_limit_s=1.37, min_silence_ms=200)
+    G.segment_activity(windows(spark, never_pausing(random.Random(1), 400)), o, block_windows=16).collect()
+    assert len(plans) > 6 and not any("RepartitionByExpression" in p for p in plans)
+
+
+def test_options_of_each_stream(spark):
+    """One pass over streams of different limits is the union of passes over each."""
+    rnd = random.Random(11)
+    limits = {"a": (9.0, 6.0), "b": (30.0, None), "c": (2.5, 2.0), "d": (None, G.DEFAULT_SOFT)}
+    flags = {k: "".join(rnd.choice(("S" * rnd.randint(1, 60), "." * rnd.randint(1, 70))) for _ in range(60)) for k in limits}
+    given = spark.createDataFrame([(k, *v) for k, v in limits.items()], "stream_id string, hard_limit_s double, soft_limit_s double")
+    rows = windows(spark, flags).join(given, "stream_id").select(
+        "stream_id", "window_idx", "is_speech", F.struct("hard_limit_s", "soft_limit_s").alias("options"))
+    got = collect(G.segment_activity(rows, min_speech_s=1.0, block_windows=32))
+    for k, (hard, soft) in limits.items():
+        o = SegmentOptions(min_speech_s=1.0, **({} if hard is None else {"hard_limit_s": hard, "soft_limit_s": soft}))
+        assert got[k] == direct(flags[k], o), k
+    live = G.live_state(rows, min_speech_s=1.0, block_windows=32).groupBy("stream_id").agg(F.max("segment_seconds").alias("m")).collect()
+    assert {r.stream_id: r.m <= (limits[r.stream_id][0] or 3600) for r in live} == dict.fromkeys(limits, True)
+
+
 def test_missing_windows_are_silence(spark):
     o = SegmentOptions(min_speech_s=0.032, soft_limit_s=None, hard_limit_s=3, min_silence_ms=64)
     flags = "SSS" + "." * 40 + "SS....SSS" + "." * 70 + "S"

@@ -5,25 +5,27 @@ a missing window counts as non-speech. A stream is cut into blocks of ``BLOCK``
 one row per block holding the offsets of its speech windows, packed on the map side. So a task
 holds one Arrow batch of blocks, whose bytes are bounded, however long the stream is.
 
-What a block needs from its predecessor is the fold's state, a handful of numbers. Most
-blocks contain a silence long enough to make their exit state independent of their entry
-state, and this exit is found from the part after that silence alone. The blocks that
-contain none are folded again, side by side, with the state their predecessor reports: two
-runs that close a segment at the same silence agree from there on. Flags that never pause
-may need many rounds (in trials, coin-flip and periodic ones did); what is open after
-``STATE_ROUNDS`` rounds is settled by one ordered walk over the packed blocks of those
-chains, which carries one state from block to block (one task per stream, for the
-states of these chains only). The segments themselves are always
-produced by all blocks in parallel.
+What a block needs from its predecessor is the fold's state. Many blocks contain a silence
+long enough to make their exit state independent of their entry state. The others report
+what they do to every entry state at once (``transitions.StateMap``); for most of them all states
+become one within a few pauses. The maps that are left are composed pairwise, each round over
+twice as many blocks as the one before, so a stream of n blocks that never pauses is settled in log n
+rounds, all blocks side by side. Then all blocks are folded in parallel.
+
+Options are one ``SegmentOptions`` for all streams, or a struct column ``options`` of the windows, the
+same for all windows of a stream: streams with different limits are segmented in one pass.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators import transitions
 from voxframe.operators.fold import STATE_DDL, STATE_FIELDS, SegmentFold, SegmentOptions
 from voxframe.operators.ordering import carry_forward
 from voxframe.session import materialize
@@ -31,21 +33,48 @@ from voxframe.session import materialize
 BLOCK = 32768
 # At most this many adjacent blocks of pure speech become one row.
 SOLID_BLOCKS = 1024
-# Rounds of parallel settling before chains are walked in order.
-STATE_ROUNDS = 3
 # Rows per output batch of the per-window state.
 LIVE_ROWS = 20000
 
+# What the struct column ``options`` may have; what it has not, or null, is the default.
+OPTION_FIELDS = ("rate", "window", "min_speech_s", "soft_limit_s", "hard_limit_s", "min_silence_ms", "look_back_s")
+# A soft limit that is null means none, so that the default has to be asked for by this value.
+DEFAULT_SOFT = -1.0
+
 _KEY = ["stream_id", "block"]
 _SEGMENT_DDL = "struct<start_sample:bigint,n_samples:bigint,shift:bigint,end_reason:string>"
 
 
+@lru_cache(maxsize=4096)
+def _options_of(values: tuple, default: SegmentOptions) -> SegmentOptions:
+    given = dict(values)
+    soft = given.pop("soft_limit_s", DEFAULT_SOFT)
+    given = {k: v for k, v in given.items() if v is not None}
+    if soft != DEFAULT_SOFT:
+        given["soft_limit_s"] = soft
+    base = {f: getattr(default, f) for f in default.__dataclass_fields__}
+    if "rate" in given and "window" not in given:
+        base["window"] = None
+    return SegmentOptions(**(base | given))
+
+
+def row_options(value, default: SegmentOptions) -> SegmentOptions:
+    """The options of a row with a struct ``value``, or the ones for all streams."""
+    if value is None:
+        return default
+    given = value if isinstance(value, dict) else value.asDict()
+    plain = ((k, None if v is None or v != v else v.item() if isinstance(v, np.generic) else v) for k, v in given.items())
+    return _options_of(tuple((k, int(v) if v is not None and k in ("rate", "window") else v) for k, v in plain if k in OPTION_FIELDS), default)
+
+
 def _pack(windows: DataFrame, block_windows: int) -> DataFrame:
-    """One row per (stream, block): last window seen and sorted offsets of speech windows."""
+    """One row per (stream, block): last window seen, sorted offsets of speech windows, options."""
     idx = F.col("window_idx")
+    own = "options" in windows.columns
     return (
         windows.select(
             "stream_id",
+            (F.col("options") if own else F.lit(None).cast("struct<rate:int>")).alias("_options"),
             F.floor(idx / block_windows).alias("block"),
             (idx % block_windows).cast("int").alias("_offset"),
             F.col("is_speech").alias("_speech"),
@@ -54,9 +83,10 @@ def _pack(windows: DataFrame, block_windows: int) -> DataFrame:
         .agg(
             (F.max("_offset") + 1).cast("long").alias("_len"),
             F.sort_array(F.collect_list(F.when(F.col("_speech"), F.col("_offset")))).alias("offsets"),
+            F.first("_options").alias("options"),
         )
         .select(
-            *_KEY,
+            *_KEY, "options",
             (F.col("block") * block_windows).alias("first"),
             (F.col("block") * block_windows + F.col("_len")).alias("end"),
             "offsets",
@@ -72,10 +102,12 @@ def _link(blocks: DataFrame, block_windows: int) -> DataFrame:
     are speech throughout is a single run, which the fold handles in closed form.
     """
     order = Window.partitionBy("stream_id").orderBy("block")
+    behind = Window.partitionBy("stream_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     edges = blocks.select(
-        *_KEY, "end", (F.size("offsets") == block_windows).alias("solid")
+        *_KEY, "end", (F.size("offsets") == block_windows).alias("solid"),
+        (F.col("first") + F.get("offsets", F.lit(0))).alias("speech"),
     ).select(
-        *_KEY,
+        *_KEY, "speech",
         F.when(F.lead("block").over(order).isNull(), F.col("end"))
         .otherwise((F.col("block") + 1) * block_windows).alias("end"),
         F.when(
@@ -87,9 +119,10 @@ def _link(blocks: DataFrame, block_windows: int) -> DataFrame:
     merged = (
         edges.withColumn("_group", F.sum("_new").over(order))
         .groupBy("stream_id", "_group")
-        .agg(F.min("block").alias("block"), F.max("end").alias("end"))
+        .agg(F.min("block").alias("block"), F.max("end").alias("end"), F.min("speech").alias("speech"))
         .select(
             *_KEY, "end",
+            F.last("speech", ignorenulls=True).over(behind).alias("next_speech"),
             F.lag("block").over(order).alias("prev_block"),
             F.coalesce(F.lag("end").over(order), F.lit(0)).alias("prev_end"),
             F.lead("block").over(order).isNull().alias("is_last"),
@@ -131,67 +164,100 @@ def _last_quiet_cut(
     return first + int(offsets[hits[-1]]) if len(hits) else None
 
 
-def _exit_state(row, entry, options: SegmentOptions, block_windows: int):
-    """(state after the block, whether it is independent of the entry state)."""
+def _state_of(value):
+    return None if value is None else tuple(value[f] for f in STATE_FIELDS)
+
+
+def _settled_exit(row, options: SegmentOptions, block_windows: int) -> SegmentFold | None:
+    """The fold after a block that does not depend on its entry, or None: the first of a stream, or one with a long pause."""
     offsets = np.asarray(row.offsets, dtype=np.int64)
     quiet = options.quiet_windows
-    cut = None if quiet is None else _last_quiet_cut(
-        row.first, row.end, offsets, quiet, block_windows
-    )
-    fold = SegmentFold(options, entry)
+    cut = None if quiet is None else _last_quiet_cut(row.first, row.end, offsets, quiet, block_windows)
+    fold = SegmentFold(options)
     if cut is not None:
         fold.idle_with_look_back(options.back_windows)
         kept = offsets[offsets >= cut - row.first] - (cut - row.first)
         todo = _runs(cut, row.end, kept, block_windows)
-    else:
-        if entry is None and row.prev_end > 0:
-            fold.idle_with_look_back(options.back_windows)
-        else:
-            fold.feed(row.prev_end, row.first - row.prev_end, False)
+    elif row.prev_end == 0:
+        fold.feed(0, row.first, False)
         todo = _runs(row.first, row.end, offsets, block_windows)
+    else:
+        return None
     for run in todo:
         fold.feed(*run)
         fold.out.clear()
-    return fold.state(), cut is not None or row.prev_end == 0
+    return fold
 
 
-def _state_of(value):
-    return None if value is None else tuple(value[f] for f in STATE_FIELDS)
+def _speech_runs(row, end: int, block_windows: int) -> list[tuple[int, int, bool]]:
+    """The runs of a block from its first speech window on, the last silence up to ``end``."""
+    runs = list(_runs(row.first, row.end, np.asarray(row.offsets, dtype=np.int64), block_windows))
+    runs = runs if runs[0][2] else runs[1:]
+    if end > row.end:
+        at, n, speech = runs[-1]
+        runs[-1:] = [(at, n, True), (row.end, end - row.end, False)] if speech else [(at, end - at, False)]
+    return runs
+
+
+_REPORT = ["settled", "base", "exit", "x", "shift", "map"]
+
 
+def _report_row(row, options: SegmentOptions, block_windows: int) -> tuple:
+    """What a block does: its exit if that is settled, and the state before the next speech window or a map to it."""
+    fold = _settled_exit(row, options, block_windows)
+    follows = row.next_speech is not None and row.next_speech == row.next_speech
+    if fold is not None:
+        state = dict(zip(STATE_FIELDS, fold.state()))
+        if follows:
+            fold.feed(row.end, int(row.next_speech) - row.end, False)
+        return True, True, state, *transitions.entering(fold), None
+    if not len(row.offsets):
+        return False, False, None, None, None, None
+    if not follows:
+        return False, True, None, None, None, None
+    found = transitions.stretch_map(options, _speech_runs(row, int(row.next_speech), block_windows))
+    if found.is_constant:
+        return False, True, None, int(found.value[0]), int(found.shift[0]), None
+    return False, True, None, None, None, found.pack()
 
-def _state_row(row, entry, options: SegmentOptions, block_windows: int):
-    state, settled = _exit_state(row, entry, options, block_windows)
-    used = None if entry is None else dict(zip(STATE_FIELDS, entry))
-    return state, (row.stream_id, row.block, used, dict(zip(STATE_FIELDS, state)), settled)
 
+def _per_block(work, names: list[str], options: SegmentOptions, block_windows: int):
+    """Apply ``work`` to each row: (stream, block, *result)."""
 
-def _exit_states(options: SegmentOptions, block_windows: int):
     def run(batches):
         for pdf in batches:
-            rows = [
-                _state_row(row, _state_of(row.entry), options, block_windows)[1]
-                for row in pdf.itertuples(index=False)
-            ]
-            yield pd.DataFrame(rows, columns=[*_KEY, "used", "exit", "settled"])
+            yield pd.DataFrame(
+                [(row.stream_id, row.block, *work(row, row_options(row.options, options), block_windows)) for row in pdf.itertuples(index=False)],
+                columns=[*_KEY, *names], dtype=object)
 
     return run
 
 
-def _walk_states(options: SegmentOptions, block_windows: int):
-    """The same over sorted blocks, handing each state to the next block of a chain."""
+def _compose_row(row, options: SegmentOptions, block_windows: int) -> tuple:
+    """A map after what lies before it: a state, or the map of as many blocks."""
+    own = transitions.StateMap.unpack(row.map)
+    if row.before_map is None:
+        return row.pos, *own.apply(int(row.before_x), int(row.before_shift), options), None
+    both = transitions.StateMap.unpack(row.before_map).then(own, options)
+    if both.is_constant:
+        return row.pos, int(both.value[0]), int(both.shift[0]), None
+    return row.pos, None, None, both.pack()
 
-    def run(batches):
-        at, state = None, None
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                entry = state if (row.stream_id, row.prev_block) == at else _state_of(row.entry)
-                state, out = _state_row(row, entry, options, block_windows)
-                at = (row.stream_id, row.block)
-                rows.append(out)
-            yield pd.DataFrame(rows, columns=[*_KEY, "used", "exit", "settled"])
 
-    return run
+def _exit_row(row, options: SegmentOptions, block_windows: int) -> tuple:
+    """The exit of a block with speech, from the state before its first speech window."""
+    runs = _speech_runs(row, row.end, block_windows)
+    fold = transitions.entered(options, runs[0][0], int(row.x), int(row.shift))
+    for run in runs:
+        fold.feed(*run)
+        fold.out.clear()
+    return (dict(zip(STATE_FIELDS, fold.state())),)
+
+
+def _silent_exit_row(row, options: SegmentOptions, block_windows: int) -> tuple:
+    fold = SegmentFold(options, _state_of(row.base_exit))
+    fold.feed(int(row.base_end), row.end - int(row.base_end), False)
+    return (dict(zip(STATE_FIELDS, fold.state())),)
 
 
 def _fold_blocks(options: SegmentOptions, block_windows: int):
@@ -199,17 +265,18 @@ def _fold_blocks(options: SegmentOptions, block_windows: int):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                fold = SegmentFold(options, _state_of(row.entry))
+                own = row_options(row.options, options)
+                fold = SegmentFold(own, _state_of(row.entry))
                 fold.feed(row.prev_end, row.first - row.prev_end, False)
                 for part in _runs(row.first, row.end, np.asarray(row.offsets, dtype=np.int64), block_windows):
                     fold.feed(*part)
                 if row.is_last:
                     fold.finish()
-                rows.append((row.stream_id, row.block, [
+                rows.append((row.stream_id, row.block, own.rate, [
                     {"start_sample": s, "n_samples": n, "shift": sh, "end_reason": why}
                     for s, n, sh, why in fold.out
                 ]))
-            yield pd.DataFrame(rows, columns=[*_KEY, "segments"])
+            yield pd.DataFrame(rows, columns=[*_KEY, "rate", "segments"])
 
     return run
 
@@ -221,7 +288,8 @@ def _live_blocks(options: SegmentOptions, block_windows: int):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                fold = SegmentFold(options, _state_of(row.entry))
+                own = row_options(row.options, options)
+                fold = SegmentFold(own, _state_of(row.entry))
                 fold.feed(row.prev_end, row.first - row.prev_end, False)
                 for first, n, speech in _runs(
                     row.first, row.end, np.asarray(row.offsets, dtype=np.int64), block_windows
@@ -231,7 +299,7 @@ def _live_blocks(options: SegmentOptions, block_windows: int):
                         fold.feed(i, 1, speech)
                         fold.out.clear()
                         rows.append((row.stream_id, i, fold.in_speech, fold.seconds,
-                                     options.window_s if idle else np.nan))
+                                     own.window_s if idle else np.nan))
                         if len(rows) >= LIVE_ROWS:
                             yield pd.DataFrame(rows, columns=names)
                             rows = []
@@ -250,45 +318,64 @@ def _with_entry(blocks: DataFrame, states: DataFrame) -> DataFrame:
 def _linked_blocks(windows: DataFrame, options: SegmentOptions, block_windows: int) -> DataFrame:
     """Blocks with their final entry state."""
     stream_type = windows.schema["stream_id"].dataType.simpleString()
+    key = f"stream_id {stream_type}, block bigint"
     packed = materialize(_pack(windows, block_windows))
     blocks = materialize(_link(packed, block_windows))
-    schema = (
-        f"stream_id {stream_type}, block bigint, used {STATE_DDL}, exit {STATE_DDL}, settled boolean"
-    )
-    work = _exit_states(options, block_windows)
-    states = materialize(
-        blocks.withColumn("entry", F.lit(None).cast(STATE_DDL)).mapInPandas(work, schema)
-    )
-    settled = states.filter("settled").select(*_KEY, "exit")
-    guess = states.filter("not settled").select(*_KEY, "used", "exit")
-    if guess.isEmpty():
-        return _with_entry(blocks, settled)
-    open_blocks = blocks.join(guess.select(*_KEY), _KEY, "left_semi")
-    for _ in range(STATE_ROUNDS):
-        known = settled.unionByName(guess.select(*_KEY, "exit"))
-        stale = (
-            _with_entry(open_blocks, known)
-            .join(guess.select(*_KEY, F.col("used").alias("_used")), _KEY)
-            .filter("_used is null or entry != _used").drop("_used")
-        )
-        fresh = materialize(stale.mapInPandas(work, schema)).select(*_KEY, "used", "exit")
-        if fresh.isEmpty():
-            return _with_entry(blocks, known)
-        guess = materialize(fresh.unionByName(guess.join(fresh.select(*_KEY), _KEY, "left_anti")))
-    chains = _with_entry(open_blocks, settled).repartition("stream_id").sortWithinPartitions(*_KEY)
-    walked = materialize(chains.mapInPandas(_walk_states(options, block_windows), schema))
-    return _with_entry(blocks, settled.unionByName(walked.select(*_KEY, "exit")))
+
+    def each(df: DataFrame, work, names: list[str], ddl: str) -> DataFrame:
+        return df.mapInPandas(_per_block(work, names, options, block_windows), f"{key}, {ddl}")
+
+    report = materialize(each(
+        blocks, _report_row, _REPORT, f"settled boolean, base boolean, exit {STATE_DDL}, x bigint, shift bigint, map binary"))
+    exits = report.filter("settled").select(*_KEY, "exit")
+    if report.filter("not settled").isEmpty():
+        return _with_entry(blocks, exits)
+
+    # Blocks with speech, or settled, in order; one narrow row each.
+    order = Window.partitionBy("stream_id").orderBy("block")
+    placed = materialize(
+        report.filter("base").select(*_KEY, "settled", "x", "shift", "map", F.row_number().over(order).cast("long").alias("pos")))
+    known = placed.filter("x is not null").select("stream_id", "pos", "x", "shift")
+    waiting = placed.filter("map is not null").join(
+        blocks.select(*_KEY, "options"), _KEY).select(*_KEY, "options", "pos", "map")
+    step = 1
+    while not waiting.isEmpty():
+        # Each map covers ``step`` blocks; what lies before them is a state by now, or a map of as many.
+        before = known.select("stream_id", "pos", "x", "shift", F.lit(None).cast("binary").alias("map")).unionByName(
+            waiting.select("stream_id", "pos", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("shift"), "map"))
+        pairs = waiting.join(
+            before.select("stream_id", (F.col("pos") + step).alias("pos"), F.col("x").alias("before_x"),
+                          F.col("shift").alias("before_shift"), F.col("map").alias("before_map")), ["stream_id", "pos"])
+        done = materialize(each(pairs, _compose_row, ["pos", "x", "shift", "map"], "pos bigint, x bigint, shift bigint, map binary"))
+        known = known.unionByName(done.filter("x is not null").select("stream_id", "pos", "x", "shift"))
+        waiting = done.filter("map is not null").join(waiting.select(*_KEY, "options"), _KEY).select(*_KEY, "options", "pos", "map")
+        step *= 2
+    entries = (
+        placed.filter("not settled").select(*_KEY, "pos")
+        .join(known.select("stream_id", (F.col("pos") + 1).alias("pos"), "x", "shift"), ["stream_id", "pos"]).drop("pos"))
+    spoken = materialize(each(blocks.join(entries, _KEY), _exit_row, ["exit"], f"exit {STATE_DDL}"))
+    exits = exits.unionByName(spoken)
+    # Blocks shorter than a settling pause may hold silence only.
+    silent = report.select(*_KEY, "base", F.last(F.when(F.col("base"), F.col("block")), ignorenulls=True).over(order).alias("base_block"))
+    bases = exits.join(blocks.select(*_KEY, "end"), _KEY).select(
+        "stream_id", F.col("block").alias("base_block"), F.col("exit").alias("base_exit"), F.col("end").alias("base_end"))
+    quiet = blocks.join(silent.filter(~F.col("base")).drop("base"), _KEY).join(bases, ["stream_id", "base_block"])
+    return _with_entry(blocks, materialize(exits.unionByName(each(quiet, _silent_exit_row, ["exit"], f"exit {STATE_DDL}"))))
 
 
 def segment_activity(
     windows: DataFrame, options: SegmentOptions | None = None, block_windows: int = BLOCK, **named
 ) -> DataFrame:
-    """Segments of each stream: ``segment_idx, start_sample, n_samples, start_s, duration_s, end_reason``."""
+    """Segments of each stream: ``segment_idx, start_sample, n_samples, start_s, duration_s, end_reason``.
+
+    ``options`` (or ``named`` ones) hold for all streams; a struct column ``options`` of ``windows`` takes their place
+    where its fields (OPTION_FIELDS) are not null. A soft limit of null means none, one of DEFAULT_SOFT the default.
+    """
     options = options or SegmentOptions(**named)
     stream_type = windows.schema["stream_id"].dataType.simpleString()
     blocks = _linked_blocks(windows, options, block_windows)
     folded = materialize(blocks.mapInPandas(
-        _fold_blocks(options, block_windows), f"stream_id {stream_type}, block bigint, segments array<{_SEGMENT_DDL}>"
+        _fold_blocks(options, block_windows), f"stream_id {stream_type}, block bigint, rate int, segments array<{_SEGMENT_DDL}>"
     ))
     earlier = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = folded.select(*_KEY, F.size("segments").alias("_n")).select(
@@ -298,14 +385,14 @@ def segment_activity(
     return (
         folded.filter(F.size("segments") > 0)
         .join(counts, _KEY)
-        .select("stream_id", "_before", F.posexplode("segments").alias("_i", "s"))
+        .select("stream_id", "rate", "_before", F.posexplode("segments").alias("_i", "s"))
         .select(
             "stream_id",
             (F.col("_before") + F.col("_i")).alias("segment_idx"),
             "s.start_sample",
             "s.n_samples",
-            (F.greatest(F.col("s.start_sample") - shift, F.lit(0)) / options.rate).alias("start_s"),
-            (F.col("s.n_samples") / options.rate).alias("duration_s"),
+            (F.greatest(F.col("s.start_sample") - shift, F.lit(0)) / F.col("rate")).alias("start_s"),
+            (F.col("s.n_samples") / F.col("rate")).alias("duration_s"),
             "s.end_reason",
         )
     )

@@ -65,6 +65,19 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The lines of orders as streams without pauses; a third of all rows is one stream.
+LINE_STREAM = "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 20 END"
+LINE_FLAG = "l_linenumber % 2 = 1"
+LINE_OPTIONS = SegmentOptions(min_speech_s=0.096, soft_limit_s=1.28, hard_limit_s=3.2, min_silence_ms=128, look_back_s=0.064)
+LINE_BLOCK = 256
+
+
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        f"CAST({LINE_STREAM} AS BIGINT) AS stream_id", "l_orderkey", "l_linenumber", f"{LINE_FLAG} AS is_speech")
+    return index_rows(lines, "stream_id", ["l_orderkey", "l_linenumber"], "window_idx").select("stream_id", "window_idx", "is_speech")
+
+
 def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight embeddings in a row are the chunks of a stream."""
     rows = table(spark, sf_dir, "embeddings").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from voxframe import dims
 from voxframe.functions.text import CJK_WIDE_CLASS, IDEOGRAPH_CLASS, WHITESPACE_CHARS
-from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS
+from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS, LINE_FLAG, LINE_STREAM
 from voxframe.plans.queries import SCRIPT_SOURCE, SCRIPT_TARGET
 
 
@@ -50,15 +50,23 @@ w AS (
 )"""
 
 
-def _machine(lowest: int, soft: int, hard: int, silence: int, back: int) -> str:
+LINE_WINDOWS = f"""
+w AS (
+  SELECT CAST({LINE_STREAM} AS BIGINT) AS stream_id,
+         row_number() OVER (PARTITION BY {LINE_STREAM} ORDER BY l_orderkey, l_linenumber) - 1 AS window_idx, {LINE_FLAG} AS is_speech
+  FROM lineitem
+)"""
+
+
+def _machine(lowest: int, soft: int, hard: int, silence: int, back: int, windows: str = WINDOWS) -> str:
     """The state machine window by window; all lengths in windows."""
     return f"""
-RECURSIVE {WINDOWS.strip()},
+RECURSIVE {windows.strip()},
 step AS (
-  SELECT DISTINCT user_id AS stream_id, CAST(-1 AS BIGINT) AS idx, false AS act, 0 AS s, 0 AS z, 0 AS back,
+  SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS idx, false AS act, 0 AS s, 0 AS z, 0 AS back,
          CAST(0 AS BIGINT) AS start, false AS emits, CAST(0 AS BIGINT) AS e_start, 0 AS e_len, '' AS e_why,
          false AS idle_silent
-  FROM events
+  FROM w
   UNION ALL
   SELECT stream_id, idx, act AND NOT emits,
          CASE WHEN emits THEN 0 ELSE s END, CASE WHEN emits THEN 0 ELSE z END, back, start, emits,
@@ -98,6 +106,7 @@ segments AS (
 MACHINE = _machine(3, 10, 16, 2, 2)
 # Defaults: 3 s = 93.75 windows, 60 s, an hour, 2 s = 62.5 windows, 0.5 s = 15 windows.
 MACHINE_DEFAULT = _machine(94, 1875, 112500, 63, 15)
+MACHINE_LINES = _machine(3, 40, 100, 4, 2, LINE_WINDOWS)
 
 SAMPLES = """
 samples AS (
@@ -296,6 +305,7 @@ _SECONDS = "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 7 AS s
 ORACLES: dict[str, str] = {
     "activity_segments": f"WITH {MACHINE} SELECT * FROM segments",
     "activity_segments_default": f"WITH {MACHINE_DEFAULT} SELECT * FROM segments",
+    "activity_segments_unpaused": f"WITH {MACHINE_LINES} SELECT * FROM segments",
     "live_state": f"""WITH {MACHINE}
         SELECT stream_id, idx AS window_idx, act AS in_speech,
                round(CASE WHEN act THEN s + z ELSE 0 END * 512 / 16000, 6) AS segment_seconds,

@@ -50,6 +50,12 @@ def activity_segments_default(spark, sf_dir):
     return segmentation.segment_activity(inputs.event_windows(spark, sf_dir))
 
 
+@query
+def activity_segments_unpaused(spark, sf_dir):
+    """Streams that hardly pause, over many blocks: their states come out of the composition alone."""
+    return segmentation.segment_activity(inputs.line_windows(spark, sf_dir), inputs.LINE_OPTIONS, inputs.LINE_BLOCK)
+
+
 @query
 def live_state(spark, sf_dir):
     return segmentation.live_state(inputs.event_windows(spark, sf_dir), EVENT_OPTIONS).select(
