@@ -22,12 +22,32 @@ RANGE_BYTES = 4 << 20
 _HEADER_FIELDS = [f.name for f in WAV_HEADER if f.name not in ("path", "file_size")]
 
 
-def _open(path: str):
+#: URI schemes whose files tasks read by ranges, with the name that the reader has for them.
+RANGED_SCHEMES = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "hdfs": "hdfs", "abfs": "abfs", "abfss": "abfss"}
+
+
+class UnknownScheme(Exception):
+    """No reader for the scheme of a path: that is a mistake of the call, not a broken file."""
+
+
+def scheme_of(path: str) -> str:
+    return path.split(":", 1)[0].lower() if "://" in path or path.startswith("file:/") else "file"
+
+
+def file_system(path: str):
+    """(file system, path within it) of a URI or a plain local path."""
     from pyarrow import fs
 
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:"):]
-    system, inner = fs.FileSystem.from_uri(path)
+    scheme = scheme_of(path)
+    if scheme not in RANGED_SCHEMES:
+        raise UnknownScheme(f"files of scheme {scheme!r} are not read by ranges: {path}")
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(RANGED_SCHEMES[scheme] + path[path.index("://"):])
+
+
+def _open(path: str):
+    system, inner = file_system(path)
     return system.open_input_file(inner)
 
 
@@ -48,8 +68,11 @@ def _chunks_until(f, size: int, wanted: bytes, missing: str):
         f.seek(min(size, body + length + length % 2))
 
 
-def read_header(f, size: int) -> dict:
-    """Header fields of a mono 16 kHz PCM or float file; raises ValueError for anything else."""
+def read_header(f, size: int, strict: bool = True) -> dict:
+    """Header fields of a PCM or float file; raises ValueError for anything else.
+
+    With ``strict`` any other than one channel of 16 kHz is an error too.
+    """
     riff = f.read(12)
     for at, wanted in ((0, b"RIFF"), (8, b"WAVE")):
         if riff[at:at + 4] != wanted:
@@ -65,9 +88,11 @@ def read_header(f, size: int) -> dict:
     if bits not in allowed[kind]:
         wanted = "16-bit or 32-bit PCM" if kind == 1 else "32-bit float"
         raise ValueError(f"{bits} bits a sample; {wanted} can be read")
-    if channels != 1:
+    if channels < 1 or rate < 1:
+        raise ValueError(f"{channels} channels of {rate} samples a second")
+    if strict and channels != 1:
         raise ValueError(f"{channels} channels; one can be read")
-    if rate != TARGET_RATE:
+    if strict and rate != TARGET_RATE:
         raise ValueError(f"{rate} samples a second; {TARGET_RATE} can be read")
     f.seek(min(size, body + length + length % 2))
     offset, data_size = _chunks_until(f, size, b"data", "no data chunk")
@@ -75,10 +100,10 @@ def read_header(f, size: int) -> dict:
                 data_size=data_size, data_offset=offset, error=None)
 
 
-def _header_row(path: str, opener, size: int) -> dict:
+def _header_row(path: str, opener, size: int, strict: bool = True) -> dict:
     try:
         with opener() as f:
-            fields = read_header(f, size)
+            fields = read_header(f, size, strict)
     except (ValueError, OSError) as e:
         fields = {**dict.fromkeys(_HEADER_FIELDS), "error": str(e)}
     return {"path": path, "file_size": size, **fields}
@@ -88,20 +113,35 @@ def _as_frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.name for f in WAV_HEADER]).astype(object)
 
 
-def wav_headers(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+def listed_files(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+    """``path, length, content`` of the files of a folder, by Spark's own file systems; a scheme that they do not know raises."""
+    return (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    )
+
+
+def read_by_ranges(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can read parts of the files at ``path``; else Spark has to hand over their content."""
+    if "://" not in path and not path.startswith("file:/"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return scheme_of(path) in RANGED_SCHEMES
+
+
+def wav_headers(spark: SparkSession, path: str, glob: str = "*.wav", strict: bool = True) -> DataFrame:
     """One row per file of a folder: header fields, or the first error.
 
-    Spark's listing leaves out files of zero bytes; ``wav_headers_at`` reports them.
+    Spark's listing leaves out files of zero bytes; ``wav_headers_at`` reports them. With ``strict`` other
+    formats than one channel of 16 kHz are errors.
     """
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true").load(path).select("path")
-    )
-    return wav_headers_at(listing)
+    listing = listed_files(spark, path, glob)
+    if read_by_ranges(spark, path):
+        return wav_headers_at(listing.select("path"), strict)
+    return wav_headers_of(listing.select("path", "content"), strict)
 
 
-def wav_headers_at(paths: DataFrame) -> DataFrame:
-    """The same for a manifest of paths; a path that cannot be opened is an error row."""
+def wav_headers_at(paths: DataFrame, strict: bool = True) -> DataFrame:
+    """The same for a manifest of paths; a path that cannot be opened is an error row, one of an unknown scheme raises."""
 
     def read(batches):
         for pdf in batches:
@@ -110,7 +150,7 @@ def wav_headers_at(paths: DataFrame) -> DataFrame:
                 try:
                     with _open(path) as f:
                         size = f.size()
-                        rows.append(_header_row(path, lambda: f, size))
+                        rows.append(_header_row(path, lambda: f, size, strict))
                 except (OSError, ValueError) as e:
                     rows.append({"path": path, **dict.fromkeys(["file_size", *_HEADER_FIELDS]), "error": str(e)})
             yield _as_frame(rows)
@@ -118,13 +158,13 @@ def wav_headers_at(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(read, WAV_HEADER)
 
 
-def wav_headers_of(files: DataFrame) -> DataFrame:
+def wav_headers_of(files: DataFrame, strict: bool = True) -> DataFrame:
     """The same for a table ``path, content``."""
 
     def read(batches):
         for pdf in batches:
             yield _as_frame([
-                _header_row(p, lambda c=c: io.BytesIO(c), len(c)) for p, c in zip(pdf["path"], pdf["content"])
+                _header_row(p, lambda c=c: io.BytesIO(c), len(c), strict) for p, c in zip(pdf["path"], pdf["content"])
             ])
 
     return files.select("path", "content").mapInPandas(read, WAV_HEADER)
@@ -224,14 +264,17 @@ def decode_pcm(
     return ranges.mapInPandas(decode, SAMPLE_CHUNKS)
 
 
-def wav_bytes(samples: np.ndarray, rate: int, truncate: bool = False) -> bytes:
-    """A mono 16-bit PCM file. Samples are scaled by 32768 and rounded, or by 32767 and truncated."""
+def pcm16(samples: np.ndarray, truncate: bool = False) -> bytes:
+    """16-bit samples, scaled by 32768 and rounded, or by 32767 and truncated."""
     x = np.asarray(samples, dtype=np.float32)
     if truncate:
-        pcm = (np.clip(x, -1.0, 1.0) * np.float32(32767.0)).astype("<i2")
-    else:
-        pcm = np.clip(np.rint(x * np.float32(32768.0)), -32768, 32767).astype("<i2")
-    data = pcm.tobytes()
+        return (np.clip(x, -1.0, 1.0) * np.float32(32767.0)).astype("<i2").tobytes()
+    return np.clip(np.rint(x * np.float32(32768.0)), -32768, 32767).astype("<i2").tobytes()
+
+
+def wav_bytes(samples: np.ndarray, rate: int, truncate: bool = False) -> bytes:
+    """A mono 16-bit PCM file."""
+    data = pcm16(samples, truncate)
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16,
                        1, 1, rate, rate * 2, 2, 16, b"data", len(data))
     return head + data
