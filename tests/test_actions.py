@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from tests.test_fold import fold
 from tests.test_segmentation import windows
 from voxframe.functions.signal import rms
-from voxframe.operators import events
+from voxframe.operators import events, recognize
 from voxframe.operators.fold import SegmentFold, SegmentOptions
 from voxframe.operators.segmentation import segment_activity_with_scorer
 from voxframe.plans import actions
-from voxframe.sources import wav
+from voxframe.sources import jsonl, wav
+from voxframe.sources.corpus import WavCorpus
 
 OPTIONS = SegmentOptions(min_speech_s=0.064, soft_limit_s=0.5, hard_limit_s=1.0, min_silence_ms=96, look_back_s=0.064)
 FLAGS = "...SSSSS" + "." * 12 + "S" * 40 + "." * 8 + "SS"
@@ -112,3 +113,108 @@ def test_scorer_in_fold(spark):
                 model.reset()
         machine.finish()
         assert got[name] == want + [s[:2] for s in machine.out]
+
+
+# --- manifests ------------------------------------------------------------------------------
+
+JOBS = ("job_id string, source string, duration_s double, backend string, language string, model string, condition boolean, "
+        "sub_timestamps boolean, device string, script string")
+
+
+def talker(job):
+    """Says the family and the length, and whether there was a prompt."""
+    def fn(samples, prompt):
+        said = "with" if prompt else "no"
+        # A repeated length repeats the text, which is an echo for the families that take prompts.
+        text = f"{job['backend']} {job['language_param']} {len(samples) % 7} {said}"
+        if job["backend"] == "moonshine":
+            text = "好 好 a 好"
+        return [{"text": text, "t0": 0.0, "t1": None}]
+    return fn
+
+
+def test_transcribe_jobs(spark, tmp_path):
+    """One pass over jobs of different limits, against the fold and the recognizer by hand."""
+    rng = np.random.default_rng(2)
+    flags = {name: "".join(c * n for c, n in zip("S." * 14, rng.integers(40, 420, 28))) for name in ("x", "y")}
+    for (name, f), rate in zip(flags.items(), (16000, 48000)):
+        loud = np.repeat([0.5 if c == "S" else 0.0 for c in f], 512 * rate // 16000).astype(np.float32)
+        (tmp_path / f"{name}.wav").write_bytes(wav.wav_bytes(loud, rate))
+    corpus = WavCorpus(spark, str(tmp_path)).renamed(events.base_name(F.col("path")))
+    rows = [
+        ("a", "x", 1.0, "whisper", "en", None, None, None, None, None), ("b", "x", 1.0, "moonshine", "zh", None, None, True, None, "traditional"),
+        ("c", "y", 1.0, "nvidia-whisper", None, None, False, None, None, None), ("d", "y", 1.0, "qwen-asr-rs", "en", None, None, None, None, None),
+        ("e", "y", 1.0, "whisper", "en", None, False, False, None, None), ("f", "y", None, "whisper", "en", None, None, None, None, None),
+        ("g", "x", 1.0, "moonshine", "fr", None, None, None, None, None), ("h", "x", 1.0, "qwen-asr-rs", "xx", None, None, None, None, None),
+        ("i", "gone", 1.0, "whisper", "en", None, None, None, None, None),
+    ]
+    scored, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def scorer(batch):
+        scored.add(len(batch))
+        return np.sqrt((batch.astype("f8") ** 2).mean(axis=1))
+
+    def recognizer(job):
+        fn = talker(job)
+
+        def counted(samples, prompt):
+            asked.add(1)
+            return fn(samples, prompt)
+        return counted
+
+    log, rejected = actions.transcribe_jobs(
+        spark.createDataFrame(rows, JOBS), corpus, scorer, recognizer, 0.1, scripts={"traditional": ("好", "號")})
+    assert {r.job_id for r in rejected.collect()} == {"f", "g", "h"}
+    got = {}
+    for r in log.orderBy(*events.SORT_KEYS).collect():
+        got.setdefault(r.stream_id, []).append(r)
+    assert set(got) == set("abcdei")
+    limits = {"a": (60, 6.0), "b": (9, 6.0), "c": (30, 6.0), "d": (60, 30.0), "e": (30, 6.0)}
+    calls = 0
+    for job in "abcdei":
+        own = got[job]
+        assert (own[0].type, own[-1].type) == ("stream_start", "stream_end")
+        if job == "i":
+            assert len(own) == 2
+            continue
+        source, _, backend, language = rows["abcdefghi".index(job)][1:5]
+        segs = fold(flags[source], SegmentOptions(hard_limit_s=limits[job][0], soft_limit_s=limits[job][1]))
+        assert len(segs) > 3
+        starts = [r.timestamp_ms for r in own if r.type == "segment_start"]
+        assert starts == [round(max(0, s - sh) / 16) for s, n, sh, _ in segs]
+        memory, conditioned = recognize.Conversation(), job in "ad"
+        fn = talker({"backend": backend, "language_param": {"c": "multi", "d": "English"}.get(job, language)})
+        want = []
+        for _, n, *_ in segs:
+            if not conditioned:
+                memory = recognize.Conversation()
+            (chunk, retried), = recognize.recognize_one(fn, np.zeros(n), memory, job == "a", None, conditioned)
+            calls += 1 + retried
+            want.append((chunk["text"] if job != "b" else "號號 a 號", retried))
+        assert [(r.text, r.prompt_retry) for r in own if r.type == "transcript"] == want
+    assert scored.value == sum(map(len, flags.values()))
+    path = str(tmp_path / "log")
+    jsonl.write_jsonl(log, path)
+    # Writing the log reads the transcripts, it does not recognize again; only retries are second calls.
+    assert asked.value == calls
+    assert len(spark.read.text(path).collect()) == log.count()
+
+
+def test_split_corpus(spark, tmp_path):
+    folder, out = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    for name, rate in (("one", 16000), ("two", 48000), ("three", 8000)):
+        x = recording(FLAGS)
+        x = np.repeat(x, rate // 16000) if rate >= 16000 else x[::2]
+        (folder / f"{name}.wav").write_bytes(wav.wav_bytes(x, rate))
+    corpus = WavCorpus(spark, str(folder)).renamed(events.base_name(F.col("path")))
+    segs = fold(FLAGS, OPTIONS)
+    for rate in (16000, None):
+        got = actions.split_corpus(corpus, out + str(rate), rms(F.col("samples")), OPTIONS, 0.1, rate).collect()
+        one = sorted((r for r in got if r.stream_id == "one"), key=lambda r: r.segment_idx)
+        assert [r.n_samples for r in one] == [int((max(0, s - sh) + n) / 16000 * 16000) - max(0, s - sh) for s, n, sh, _ in segs]
+        assert {r.stream_id: r.rate for r in got} == ({"one": 16000, "two": 48000, "three": 8000} if rate is None else dict.fromkeys(("one", "two", "three"), 16000))
+        for r in got:
+            import wave
+            with wave.open(r.path.removeprefix("file://")) as f:
+                assert (f.getframerate(), f.getnframes()) == (r.rate, r.n_samples)

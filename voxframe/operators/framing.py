@@ -23,11 +23,12 @@ def with_offsets(chunks: DataFrame) -> DataFrame:
     return running_total(sized, "stream_id", "chunk_seq", "_size", "start_sample").drop("_size")
 
 
-def frame(chunks: DataFrame, size: int = 512, rate: int = 16000) -> DataFrame:
+def frame(chunks: DataFrame, size: int = 512, rate: int = 16000, aligned: bool = False) -> DataFrame:
     """Tumbling windows of ``size`` samples across chunk borders; an incomplete last one is dropped.
 
     Windows that lie inside one chunk are cut in place. Only the pieces at the two borders
-    of a chunk are shuffled and put together.
+    of a chunk are shuffled and put together. ``aligned`` says that no window lies across two chunks, as
+    in the chunks of a ``WavCorpus``: then the chunks are read once and nothing is shuffled.
     """
     start = F.col("start_sample")
     end = start + F.size("samples")
@@ -41,6 +42,10 @@ def frame(chunks: DataFrame, size: int = 512, rate: int = 16000) -> DataFrame:
         "stream_id", "window_idx",
         F.slice("samples", (F.col("window_idx") * size - start + 1).cast("int"), F.lit(size)).alias("samples"),
     )
+    placed = ["stream_id", "window_idx", (F.col("window_idx") * size).alias("start_sample"),
+              (F.col("window_idx") * size / rate).alias("ts"), "samples"]
+    if aligned:
+        return whole.select(*placed)
     borders = _border_windows(start, end, size)
     joined = (
         filled.select("stream_id", "start_sample", "samples", F.explode(borders).alias("window_idx"))
@@ -58,10 +63,7 @@ def frame(chunks: DataFrame, size: int = 512, rate: int = 16000) -> DataFrame:
         )
         .filter(F.size("samples") == size)
     )
-    return whole.unionByName(joined).select(
-        "stream_id", "window_idx", (F.col("window_idx") * size).alias("start_sample"),
-        (F.col("window_idx") * size / rate).alias("ts"), "samples",
-    )
+    return whole.unionByName(joined).select(*placed)
 
 
 def _border_windows(start: Column, end: Column, size: int) -> Column:

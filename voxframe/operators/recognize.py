@@ -10,6 +10,7 @@ everything once without prompts and use the two-pass plan of ``voxframe.operator
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.functions.text import (
-    NEAR_DUPLICATE_RATIO, REPETITION_MIN_ITEMS, REPETITION_RATIO, similar_texts,
+    CJK_WIDE_CLASS, NEAR_DUPLICATE_RATIO, REPETITION_MIN_ITEMS, REPETITION_RATIO, WHITESPACE_CLASS, similar_texts,
 )
 from voxframe.schemas import TRANSCRIPTS
 from voxframe.session import materialize
@@ -74,7 +75,7 @@ class Conversation:
 
 def recognize_one(
     fn: Recognizer, samples: np.ndarray, memory: Conversation, sub_timestamps: bool,
-    convert: Callable[[str], str] | None = None, condition: bool = True, raw_memory: bool = False,
+    convert: Callable[[str], str] | None = None, condition: bool = True, raw_memory: bool = False, rate: int = RATE,
 ) -> list[tuple[dict, bool]]:
     """Chunks of one segment with their retry flag; at most one second call."""
     prompt = memory.prompt or None
@@ -86,7 +87,7 @@ def recognize_one(
             at = chunks[i]["t0"]
             later = [
                 {"text": c["text"], "t0": None if c["t0"] is None else c["t0"] + at, "t1": None if c["t1"] is None else c["t1"] + at}
-                for c in fn(samples[int(at * RATE):], None)
+                for c in fn(samples[int(at * rate):], None)
             ]
             chunks, first_retried = chunks[:i] + later, i
     elif prompt and texts and _echoes(" ".join(texts), memory.prior_line):
@@ -163,6 +164,74 @@ def transcribe_segments(
         used = state.select(*key, F.col("entry").alias("_used"))
 
 
+def timed(chunks: list[tuple[dict, bool]], start: float, length: float, sub_timestamps: bool):
+    """(chunk_idx, text, start_s, end_s, prompt_retry) of the chunks of a segment.
+
+    Without a start there are no times: such rows are data, and a log leaves them out.
+    """
+    for k, (c, retried) in enumerate(chunks):
+        t0 = c["t0"] if sub_timestamps else 0.0
+        t1 = c["t1"] if sub_timestamps and c["t1"] is not None else length
+        begin, end = (None, None) if t0 is None else (start + t0, start + t1)
+        yield k, c["text"], begin, end, retried
+
+
+#: What a recognizer is built for, and how its texts are treated: fields of the struct ``job`` of ``transcribe_jobs``.
+MODEL_FIELDS = ("backend", "resolved_model", "language_param", "prompt", "device")
+JOB_FIELDS = (*MODEL_FIELDS, "condition", "sub_timestamps", "raw_memory", "strip_spaces", "script")
+
+_CJK_SPACE = re.compile(f"(?<={CJK_WIDE_CLASS}){WHITESPACE_CLASS}+(?={CJK_WIDE_CLASS})")
+
+
+def dealt(segments: DataFrame) -> DataFrame:
+    """Rows with a struct ``job`` in walking order: a conditioned stream is one sequence, other segments are spread."""
+    alone = F.when(~F.col("job.condition"), F.col("segment_idx"))
+    return segments.repartition("stream_id", alone).sortWithinPartitions("stream_id", "segment_idx")
+
+
+def transcribe_jobs(
+    segments: DataFrame, recognizer: Callable[[dict], Recognizer], rate: int = RATE,
+    scripts: dict[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Transcript rows of ``stream_id, segment_idx, start_s, samples, job``, in the order that ``dealt`` gives.
+
+    Each row's ``job`` (JOB_FIELDS) says how it is recognized, so streams of different families are one pass.
+    ``recognizer`` gets the model fields of a job as a dict and builds its recognizing function, once per task and model.
+    ``scripts`` maps a job's ``script`` to the characters to replace and their replacements.
+    """
+    schema = T.StructType([segments.schema["stream_id"], *TRANSCRIPTS.fields[1:]])
+
+    def run(batches):
+        built, tables, current, memory = {}, {}, None, Conversation()
+        for name, (source, target) in (scripts or {}).items():
+            tables[name] = str.maketrans(source, target)
+        for pdf in batches:
+            rows = []
+            for stream, segment, start, samples, job in pdf.itertuples(index=False, name=None):
+                model = tuple(job[f] for f in MODEL_FIELDS)
+                if model not in built:
+                    built[model] = recognizer(dict(zip(MODEL_FIELDS, model, strict=True)))
+                fn = built[model]
+                if job["strip_spaces"]:
+                    fn = _stripped(fn)
+                if stream != current or not job["condition"]:
+                    current, memory = stream, Conversation()
+                table = tables.get(job["script"])
+                audio = np.asarray(samples, dtype=np.float32)
+                chunks = recognize_one(
+                    fn, audio, memory, job["sub_timestamps"], None if table is None else lambda text, t=table: text.translate(t),
+                    job["condition"], job["raw_memory"], rate)
+                rows += [(stream, segment, *r) for r in timed(chunks, start, len(audio) / rate, job["sub_timestamps"])]
+            yield pd.DataFrame(rows, columns=TRANSCRIPTS.fieldNames())
+
+    return segments.select("stream_id", "segment_idx", "start_s", "samples", "job").mapInPandas(run, schema)
+
+
+def _stripped(fn: Recognizer) -> Recognizer:
+    """The function with texts that have no spaces between wide characters."""
+    return lambda samples, prompt: [{**c, "text": _CJK_SPACE.sub("", c["text"])} for c in fn(samples, prompt)]
+
+
 class _Job:
     """One pass over sorted rows, for one task."""
 
@@ -193,15 +262,9 @@ class _Job:
                     current = (stream, block)
                     memory = Conversation(*(entry if entry is not None else ()))
                 audio = np.asarray(samples, dtype=np.float32)
-                length = len(audio) / RATE
-                for k, (c, retried) in enumerate(recognize_one(
-                    fn, audio, memory, self.sub_timestamps, self.convert, self.condition, self.raw_memory
-                )):
-                    t0 = c["t0"] if self.sub_timestamps else 0.0
-                    t1 = c["t1"] if self.sub_timestamps and c["t1"] is not None else length
-                    # Without a start there are no times: such rows are data, and a log leaves them out.
-                    begin, end = (None, None) if t0 is None else (start + t0, start + t1)
-                    rows.append((stream, block, segment, k, c["text"], begin, end, retried))
+                chunks = recognize_one(
+                    fn, audio, memory, self.sub_timestamps, self.convert, self.condition, self.raw_memory)
+                rows += [(stream, block, segment, *r) for r in timed(chunks, start, len(audio) / RATE, self.sub_timestamps)]
             yield rows, exits
         if current is not None:
             yield [], [(*current, memory.lines())]

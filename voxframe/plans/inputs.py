@@ -78,6 +78,26 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_rows(lines, "stream_id", ["l_orderkey", "l_linenumber"], "window_idx").select("stream_id", "window_idx", "is_speech")
 
 
+# The lines of a supplier as a recording of 500 samples a second in windows of 64 ms, nearly always loud: limits of 9 and 30 s
+# fall inside windows.
+LINE_RATE, LINE_WINDOW = 500, 32
+LINE_LOUD = "l_partkey % 150 <> 0"
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "l_orderkey", "l_linenumber", f"{LINE_LOUD} AS loud", "l_partkey")
+    level = F.when(F.col("loud"), 0.5).otherwise(0.0).cast("float")
+    return index_rows(lines, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"], "chunk_seq").select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("stream_id"), "chunk_seq",
+        (F.col("chunk_seq") * LINE_WINDOW).alias("start_sample"), F.array_repeat(level, LINE_WINDOW).alias("samples"))
+
+
+def line_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    return jobs(spark, sf_dir).crossJoin(F.broadcast(suppliers)).withColumn(
+        "source", F.concat(F.lit("s"), (1 + F.col("job_id") % F.col("n")).cast("string"))).drop("n")
+
+
 def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight embeddings in a row are the chunks of a stream."""
     rows = table(spark, sf_dir, "embeddings").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from voxframe import dims
 from voxframe.functions.text import CJK_WIDE_CLASS, IDEOGRAPH_CLASS, WHITESPACE_CHARS
-from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS, LINE_FLAG, LINE_STREAM
+from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS, LINE_FLAG, LINE_LOUD, LINE_STREAM
 from voxframe.plans.queries import SCRIPT_SOURCE, SCRIPT_TARGET
 
 
@@ -301,6 +301,91 @@ _Q15 = "CAST(trunc(greatest(-1::FLOAT, least(1::FLOAT, {x})) * 32767::FLOAT) AS
 _WIDE_PAIR = f"({CJK_WIDE_CLASS})[{WHITESPACE_CHARS}]+({CJK_WIDE_CLASS})"
 _SECONDS = "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / 7 AS s FROM lineitem"
 
+# Jobs with limits as data; lengths in samples of 500 a second, windows of 32: 3 s are 1500 samples, 2 s of silence
+# 1000, a window is beyond the shortened 32 ms, 0.5 s are 7 windows. A limit may fall inside a window.
+JOB_LOG = MODELS + f""",
+names(code, name) AS (VALUES {_LANGUAGE_ROWS}),
+accepted AS (
+  SELECT j.job_id AS stream_id, 's' || (1 + j.job_id % (SELECT count(*) FROM supplier)) AS source, j.backend,
+    CASE WHEN j.backend = 'whisper' AND NOT j.sub_timestamps OR j.backend = 'nvidia-whisper' THEN 30
+         WHEN j.backend = 'moonshine' AND r.streaming IS NOT TRUE THEN 9 ELSE 60 END * 500 AS hard,
+    CASE WHEN j.backend IN ('whisper', 'nvidia-whisper', 'moonshine') THEN 3000 ELSE 15000 END AS soft,
+    j.backend IN ('whisper', 'qwen-asr-rs', 'qwen-asr-mlx') AND coalesce(j.condition, true) AS conditioned
+  FROM jobs j JOIN resolved r ON r.job_id = j.job_id LEFT JOIN names ON code = j.language
+  WHERE file_exists AND duration_s IS NOT NULL AND j.backend NOT LIKE 'src%'
+    AND NOT (j.backend = 'moonshine' AND (j.language IS NULL OR j.device IS NOT NULL))
+    AND NOT (coalesce(j.condition, false) AND j.backend IN ('moonshine', 'glm-asr', 'glm-asr-mlx', 'nvidia-whisper'))
+    AND r.model_error IS NULL
+    AND NOT (j.backend IN ('qwen-asr-rs', 'qwen-asr-mlx', 'glm-asr') AND j.language IS NOT NULL AND name IS NULL)
+),
+w AS (
+  SELECT 's' || l_suppkey AS source, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS window_idx,
+         {LINE_LOUD} AS loud
+  FROM lineitem
+),
+step AS (
+  SELECT stream_id, source, hard, soft, CAST(-1 AS BIGINT) AS idx, false AS act, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS z,
+         CAST(0 AS BIGINT) AS back, CAST(0 AS BIGINT) AS short, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS shift,
+         false AS emits, CAST(0 AS BIGINT) AS e_start, CAST(0 AS BIGINT) AS e_len, CAST(0 AS BIGINT) AS e_shift
+  FROM accepted
+  UNION ALL
+  SELECT stream_id, source, hard, soft, idx,
+    CASE WHEN grows THEN NOT cut OR total > hard WHEN waits THEN NOT closes ELSE false END,
+    CASE WHEN grows AND cut THEN total - hard WHEN grows THEN total WHEN waits AND NOT closes THEN s ELSE 0 END,
+    CASE WHEN waits AND NOT closes THEN z + take ELSE 0 END,
+    CASE WHEN grows THEN 0 WHEN waits THEN CAST(closes AND take < 32 AS BIGINT) ELSE least(7, back + 1) END,
+    CASE WHEN waits AND closes AND take < 32 THEN take WHEN grows OR waits OR back = 7 THEN 0 ELSE short END,
+    CASE WHEN grows AND cut THEN begin + hard WHEN grows THEN begin ELSE start END,
+    CASE WHEN grows AND cut AND (begin + hard) % 32 = 0 THEN 0 WHEN grows THEN early ELSE shift END,
+    (grows AND cut) OR (waits AND closes), CASE WHEN grows THEN begin ELSE start END,
+    CASE WHEN grows THEN hard ELSE s + z + take END, CASE WHEN grows THEN early ELSE shift END
+  FROM (
+    SELECT *, total >= hard AS cut, s + z + take >= hard OR z + take >= CASE WHEN s + z > soft THEN 16 ELSE 1000 END AS closes
+    FROM (
+      SELECT q.stream_id, q.source, hard, soft, q.idx + 1 AS idx, s, z, back, short, start, shift,
+        loud OR (act AND s + z < 1500) AS grows, act AND NOT loud AND s + z >= 1500 AS waits, least(32, hard - s - z) AS take,
+        CASE WHEN act THEN s + z ELSE back * 32 - short END + 32 AS total,
+        CASE WHEN act THEN start ELSE (q.idx + 1 - back) * 32 + short END AS begin, CASE WHEN act THEN shift ELSE short END AS early
+      FROM step q JOIN w ON w.source = q.source AND w.window_idx = q.idx + 1
+    )
+  )
+),
+closed AS (
+  SELECT stream_id, e_start AS start, e_len AS n, e_shift AS shift FROM step WHERE emits
+  UNION ALL
+  SELECT stream_id, start, s + z, shift
+  FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY idx DESC) AS r FROM step) WHERE r = 1 AND act
+),
+segments AS (
+  SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start) - 1 AS segment_idx, n,
+         greatest(start - shift, 0) / 500 AS start_s, n / 500 AS duration_s,
+         repeat(chr(CAST(97 + n % 5 AS INT)), 5) AS letter, repeat(chr(CAST(48 + n % 3 AS INT)), 5) AS digit
+  FROM closed
+),
+talk AS (
+  SELECT stream_id, conditioned, CAST(-1 AS BIGINT) AS segment_idx, '' AS prior, '' AS prompt, '' AS text, false AS retried FROM accepted
+  UNION ALL
+  SELECT stream_id, conditioned, segment_idx, said, CASE WHEN said = prior OR NOT conditioned THEN '' ELSE said END, said, again
+  FROM (
+    SELECT t.stream_id, conditioned, g.segment_idx, prior, prompt <> '' AND letter = prior AS again,
+           CASE WHEN prompt = '' OR letter = prior THEN digit ELSE letter END AS said
+    FROM talk t JOIN segments g ON g.stream_id = t.stream_id AND g.segment_idx = t.segment_idx + 1
+  )
+),
+log AS (
+  SELECT stream_id, 'transcript' AS type, {_ms("start_s")} AS start_ms, {_fmt(_ms("start_s"))} AS start_formatted, text,
+    {_ms("(start_s + duration_s)")} AS end_ms, {_fmt(_ms("(start_s + duration_s)"))} AS end_formatted, retried AS prompt_retry,
+    NULL AS timestamp_ms, NULL AS timestamp_formatted, 1 AS phase, segment_idx, 1 AS kind, 0 AS chunk_idx
+  FROM segments JOIN talk USING (stream_id, segment_idx)
+  UNION ALL
+  SELECT stream_id, type, NULL, NULL, NULL, NULL, NULL, NULL, {_ms("sec")}, {_fmt(_ms("sec"))}, 1, segment_idx, kind, 0
+  FROM (SELECT stream_id, segment_idx, 'segment_start' AS type, 0 AS kind, start_s AS sec FROM segments
+        UNION ALL SELECT stream_id, segment_idx, 'segment_end', 2, start_s + duration_s FROM segments)
+  UNION ALL
+  SELECT stream_id, type, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, phase, 0, 0, 0
+  FROM accepted, (VALUES ('stream_start', 0), ('stream_end', 2)) m(type, phase)
+)"""
+
 
 ORACLES: dict[str, str] = {
     "activity_segments": f"WITH {MACHINE} SELECT * FROM segments",
@@ -508,6 +593,7 @@ ORACLES: dict[str, str] = {
                ELSE '{{"type":"' || type || '","timestamp_ms":' || timestamp_ms || ',"timestamp_formatted":"'
                     || timestamp_formatted || '"}}' END AS value
         FROM log""",
+    "transcribe_jobs": f"WITH RECURSIVE {JOB_LOG} SELECT * FROM log",
     "transcript_log": f"""WITH {_CLIPPED_LINES},
         t AS (SELECT *, CAST(segment_idx * 30.0 AS DOUBLE) AS a, CAST(segment_idx * 30.0 + 29.9995 AS DOUBLE) AS b,
                      CAST(segment_idx * 30.0 + 30 AS DOUBLE) AS c FROM clipped),

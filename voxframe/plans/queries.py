@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import signal, text, timefmt
 from voxframe.operators import cut, events, framing, lookups, recognize, scan, segmentation
-from voxframe.plans import inputs
+from voxframe.plans import actions, inputs
 from voxframe.plans.inputs import EVENT_OPTIONS, FRAME_SIZE
 from voxframe.session import table
 from voxframe.sources import jobs as job_source
@@ -411,6 +411,25 @@ def transcribe_segments(spark, sf_dir):
     return recognize.transcribe_segments(placed, _stub_recognizer)
 
 
+def _spelling_recognizer(job):
+    """A stand-in that says a letter by the length of the segment, another kind of sign without a prompt."""
+    def recognize_samples(samples, prompt):
+        sign = chr((97 + len(samples) % 5) if prompt else (48 + len(samples) % 3))
+        return [{"text": sign * 5, "t0": 0.0, "t1": None}]
+
+    return recognize_samples
+
+
+@query
+def transcribe_jobs(spark, sf_dir):
+    """A manifest from validation to the log: limits of each family, prompts, retries."""
+    log, _ = actions.transcribe_jobs(
+        inputs.line_jobs(spark, sf_dir), actions.ChunkTable(inputs.line_chunks(spark, sf_dir), aligned=True),
+        signal.rms(F.col("samples")), _spelling_recognizer, threshold=0.1, epoch_ms=F.lit(EPOCH_MS),
+        rate=inputs.LINE_RATE, window=inputs.LINE_WINDOW)
+    return log.drop("id", "repetition_patterns_clipped")
+
+
 @query
 def transcribe_segments_unconditioned(spark, sf_dir):
     pieces = cut.cut_segments(inputs.frame_segments(spark, sf_dir), inputs.sample_chunks(spark, sf_dir))

@@ -90,8 +90,15 @@ class WavCorpus:
 
     def renamed(self, stream_id) -> WavCorpus:
         """The same files with another column as ``stream_id``; it has to tell them apart."""
+        return self._with(self.headers.withColumn("stream_id", stream_id))
+
+    def only(self, streams: DataFrame) -> WavCorpus:
+        """The files of the streams in a table ``stream_id``; the others are not read."""
+        return self._with(self.headers.join(streams, "stream_id", "left_semi"))
+
+    def _with(self, headers: DataFrame) -> WavCorpus:
         other = object.__new__(WavCorpus)
-        other.__dict__ |= self.__dict__ | {"headers": self.headers.withColumn("stream_id", stream_id)}
+        other.__dict__ |= self.__dict__ | {"headers": headers}
         return other
 
     def _file(self):
@@ -157,21 +164,26 @@ class WavCorpus:
 
         return self._read(ranges, work, _with_stream(SAMPLE_CHUNKS, self.headers))
 
-    def _of_segments(self, segments: DataFrame, columns: list[str]) -> DataFrame:
-        return (
-            segments.join(self.headers.select("stream_id", self._file()), "stream_id").select(*columns, "file")
-            .repartition("file.path", "segment_idx"))
+    def _of_segments(self, segments: DataFrame, columns: list[str], source: str = "stream_id") -> DataFrame:
+        files = self.headers.select(F.col("stream_id").alias("_source"), self._file())
+        return segments.join(files, F.col(source) == F.col("_source")).select(*columns, "file")
 
-    def cut(self, segments: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
-        """``segments`` (stream_id, segment_idx, start_sample, n_samples at ``rate``, further columns) with their ``samples``."""
+    def cut(self, segments: DataFrame, rate: int = TARGET_RATE, source: str = "stream_id", deal=None) -> DataFrame:
+        """``segments`` (stream_id, segment_idx, start_sample, n_samples at ``rate``, further columns) with their ``samples``.
+
+        ``source`` names the column that says which file a segment is of. ``deal`` places the narrow rows before they are read;
+        the samples stay where it puts them, in its order (unless the files come as whole contents).
+        """
         asked = [c for c in segments.columns if c not in ("samples", "file")]
-        ranges = self._of_segments(segments, asked)
+        ranges = self._of_segments(segments, asked, source)
+        ranges = ranges.repartition("file.path", "segment_idx") if deal is None or self.files is not None else deal(ranges)
         schema = T.StructType([*[segments.schema[c] for c in asked], SAMPLE_CHUNKS["samples"]])
 
         def work(f, file, row):
             return [(*[row[c] for c in asked], samples_at(f, file, rate, int(row["start_sample"]), int(row["n_samples"])))]
 
-        return self._read(ranges, work, schema)
+        read = self._read(ranges, work, schema)
+        return read if deal is None or self.files is None else deal(read)
 
     def cut_pieces(self, segments: DataFrame, rate: int = TARGET_RATE, piece: int = 1 << 18) -> DataFrame:
         """(stream_id, segment_idx, start_sample, samples) in pieces of bounded length, for segments that should not be one row."""
@@ -189,7 +201,7 @@ class WavCorpus:
         file into place, so a task that runs again does no harm.
         """
         asked = ["stream_id", "segment_idx", "start_s", "duration_s", "name"]
-        ranges = self._of_segments(segment_names(segments.select(*asked[:4])), asked)
+        ranges = self._of_segments(segment_names(segments.select(*asked[:4])), asked).repartition("file.path", "segment_idx")
         schema = T.StructType([segments.schema["stream_id"], *T._parse_datatype_string(
             "segment_idx bigint, name string, rate int, n_samples bigint, path string").fields])
 
