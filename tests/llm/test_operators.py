@@ -89,6 +89,28 @@ def test_token_shards(spark):
     assert wavelet.token_shards(frame(spark, []), WORD_BPE, end_id=2).count() == 0
 
 
+def test_part_encoder_only_where_the_file_allows(spark):
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert wavelet.PartEncoder.suits(WORD_BPE) and not wavelet.PartEncoder.suits(other)
+    with pytest.raises(ValueError):
+        wavelet.PartEncoder(other)
+    tok = Tokenizer.from_file(other)
+    rows = wavelet.token_shards(frame(spark), other).collect()
+    assert multiset((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == multiset(
+        (d, tok.encode(t or "", add_special_tokens=False).ids) for d, t in texts())
+
+
+def test_part_encoder_case_and_marks():
+    """Capitals with combining marks, special tokens in either case, and letters whose small form is longer."""
+    encoder = wavelet.PartEncoder(WORD_BPE)
+    some = ["H\u0331 J\u030c I\u0307 \u0130 E\u0301", "<|ENDOFTEXT|> <|endoftext|> A<|B", "HELLO Hello hello, HELLO!", "ẞ ß Σ ς ÀB àb", "K\u212a \u017f"]
+    ids, counts = encoder.encode(pa.array(some))
+    want = encoder.ids(some)
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_part_encoder_forgets():
     encoder, rng = wavelet.PartEncoder(WORD_BPE, remember=50), random.Random(1)
     for _ in range(5):
