@@ -228,6 +228,25 @@ def test_merges_against_library(spark):
     assert all(r.n_pieces * 4 == len(r.ids) for r in out)
 
 
+def test_long_runs(spark):
+    """Unbroken runs of 100,000 characters, in both modes, and columns named like internals."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(3)
+    runs = ["-" * 100_000, "a" * 50_001 + "." * 4000, "".join(rng.choice("thea") for _ in range(100_000)), "中文字" * 20_000, "😀é" * 700]
+    rows = spark.createDataFrame(
+        [(i, t, 7, 8, "c", "r", 9) for i, t in enumerate(runs)], "doc_id long, text string, _block int, _crc int, _codes string, _row string, _own0 int")
+    out = sentencepiece_lattice.encode(rows, PIECES, merges=True)
+    assert out.columns == ["doc_id", "_block", "_crc", "_codes", "_row", "_own0", "n_pieces", "ids", "round_trip"]
+    for r in out.collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(runs[r.doc_id]) and r.round_trip
+        assert (r._block, r._crc, r._codes, r._row, r._own0) == (7, 8, "c", "r", 9)
+    model = sentencepiece_lattice.pieces_of(PIECES)
+    some = rows.filter("doc_id in (1, 4)").collect() and sentencepiece_lattice.encode(rows.filter("doc_id in (1, 4)"), PIECES).collect()
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in some) == [(i, plain.encode(runs[i], model)) for i in (1, 4)]
+
+
 def test_query_has_library_ids(spark, tmp_path):
     import sentencepiece
 

@@ -3,11 +3,11 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from tests.llm import plain
 from tests.llm.test_operators import multiset, sentence, texts
-from voxframe.llm import sentencepiece_lattice
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 INSULTS = ("grumbly", "snotface", "wartiges")
@@ -46,8 +46,8 @@ def test_pipeline_against_plain(spark, folder):
         best.setdefault(g, r)
     rows = list(best.values())
     rows = [r for r, c in zip(rows, plain.mix([(r[0], r[1], r[3]) for r in rows]), strict=True) for _ in range(c)]
-    model = sentencepiece_lattice.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
-    want = [(r[0], r[2], r[3], plain.encode(r[1], model)) for r in rows]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(r[0], r[2], r[3], library.encode(r[1])) for r in rows]
     out = corpus_pipeline.run(spark, folder).collect()
     assert len(want) > 80 and all(r.round_trip for r in out)
     assert multiset((r.doc_id, r.lang, r.source, np.frombuffer(r.ids, "<u4").tolist()) for r in out) == multiset(want)

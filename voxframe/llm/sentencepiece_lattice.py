@@ -8,8 +8,9 @@ becomes numbers of words, and each distinct word is encoded once. For the words
 * the edges of a word are grouped, and a higher-order ``aggregate`` chooses among them: for BPE models by merge order
   (``merges=True``), else the best scores by position (Viterbi), and a second one walks back.
 
-The ids of the words then go back to the blocks that have them. A word that most documents have is one row per block on
-the way, so no key is hot. Scores are those of the model file. In a BPE model they are the order of the merges, and with ``merges=True``
+The ids of the words then go back to the blocks that have them, in packed rows of one task's words for one block. A word that most documents
+have is one reference per block on the way, so no key is hot. Runs of more than LONG_WORD characters that nothing cuts (dashes,
+letters of one script) are merged or searched in a task, in linear memory: an ``aggregate`` copies its array at each step. Scores are those of the model file. In a BPE model they are the order of the merges, and with ``merges=True``
 ids are those of SentencePiece. Without it the best path is the one with the highest sum, ties to the longer
 last piece: what SentencePiece's unigram models do. Characters without a piece become byte pieces.
 
@@ -23,6 +24,7 @@ import gc
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 
 import numpy as np
@@ -36,6 +38,10 @@ SPACE_MARK = "▁"
 #: A run of letters or of other characters, with the space marks in front of it.
 ATOM = regex.compile(r"▁*\p{L}+|▁*[^\p{L}▁]+|▁+")
 LONG_ATOM = 64
+#: Longest word of the relational lattice.
+LONG_WORD = 256
+#: References that a task packs at a time.
+PACKED_REFS = 400_000
 BLOCK_BYTES = 16_000_000
 #: A reference packs partition, block in it and word in that: 24, 12 and 28 bits.
 BLOCK_SHIFT, PART_SHIFT = 28, 40
@@ -142,6 +148,71 @@ class Pieces:
         return data[1:] if data[:1] == b" " and len(ids) and self.surface[ids[0]][:1] == b" " else data
 
 
+    @cached_property
+    def table(self) -> dict[str, tuple[int, int, float]]:
+        """Piece -> (id, rank by score, score)."""
+        ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        return {p: (i, ranks[s], s) for p, i, s in self.rows}
+
+    def spelled(self, character: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.bytes_from + b for b in character.encode()] if self.bytes_from >= 0 else [self.unknown]
+
+    def merge(self, word: str) -> list[int]:
+        """Ids of a long word by merge order: the best pair of neighbours first, then the leftmost."""
+        table, n = self.table, len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(table[word[i : i + 2]][1], i, i + 2) for i in range(n - 1) if word[i : i + 2] in table]
+        heapify(heap)
+        live = bytearray(b"\1") * n
+
+        def offer(start):
+            middle = after[start]
+            if middle < n and after[middle] - start <= self.longest:
+                found = table.get(word[start : after[middle]])
+                if found:
+                    heappush(heap, (found[1], start, after[middle]))
+
+        while heap:
+            _, start, end = heappop(heap)
+            middle = after[start]
+            if not live[start] or middle >= n or after[middle] != end:
+                continue
+            live[middle] = 0
+            after[start] = end
+            if end < n:
+                before[end] = start
+            offer(start)
+            if before[start] >= 0:
+                offer(before[start])
+        out, at = [], 0
+        while at < n:
+            piece = word[at : after[at]]
+            out += [table[piece][0]] if piece in table else self.spelled(piece)
+            at = after[at]
+        return out
+
+    def search(self, word: str) -> list[int]:
+        """Ids of a long word by the best sum of scores, ties to the longer last piece."""
+        table, n = self.table, len(word)
+        score, back = [0.0] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            best = None
+            for start in range(max(0, end - self.longest), end):
+                found = table.get(word[start:end])
+                if found or end - start == 1:
+                    value = score[start] + (found[2] if found else self.unknown_score)
+                    if best is None or value > best:
+                        best, back[end] = value, start
+            score[end] = best
+        out, at = [], n
+        while at:
+            piece = word[back[at] : at]
+            out.append([table[piece][0]] if piece in table else self.spelled(piece))
+            at = back[at]
+        return list(chain.from_iterable(reversed(out)))
+
+
 _MODELS: dict[str, Pieces] = {}
 
 
@@ -212,6 +283,17 @@ def merged(edges: DataFrame, word: str) -> DataFrame:
 
 def encode_words(words: DataFrame, model: Pieces, word: str = "word", merges: bool = False) -> DataFrame:
     """(word, ids) of the distinct ``words``: the path through the lattice of pieces of each, by merge order or the best one."""
+    path, schema = model.path, f"`{word}` string, ids array<int>"
+
+    def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces_of(path)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([text]), pa.array([known.merge(text) if merges else known.search(text)], pa.list_(pa.int32()))], [word, "ids"])
+
+    long = words.select(word).filter(F.length(word) > LONG_WORD).mapInArrow(long_words, schema)
+    words = words.filter(F.length(word) <= LONG_WORD)
     table = F.broadcast(piece_table(words.sparkSession, model, merges))
     length = F.length(word)
     spans = (
@@ -236,7 +318,7 @@ def encode_words(words: DataFrame, model: Pieces, word: str = "word", merges: bo
     return paths.select(word, F.when(
         F.exists("_path", lambda e: e["id"].isNull()),
         F.flatten(F.transform("_path", lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e)))),
-    ).otherwise(F.col("_path.id")).alias("ids"))
+    ).otherwise(F.col("_path.id")).alias("ids")).unionByName(long)
 
 
 # --- documents -------------------------------------------------------------------------------------
@@ -292,7 +374,37 @@ def _coded(texts: pa.Array, model: Pieces) -> tuple[list[str], np.ndarray, np.nd
             keep[ends[i] : ends[i + 1]] = False
         ends = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, ends[:-1]) * (np.diff(ends) > 0))))
         codes = codes[keep]
-    return list(numbers), codes, ends
+    # The most frequent words get the smallest numbers, which pack best.
+    names = list(numbers)
+    order = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [names[i] for i in order.tolist()], rank[codes], ends
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 by byte planes, without the planes that are 0, compressed."""
+    import zstandard
+
+    parts = []
+    for a in arrays:
+        planes = a.astype("<u4").view(np.uint8).reshape(-1, 4).T
+        used = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        parts += [bytes([used]), planes[:used].tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpacked(data: bytes, *sizes: int) -> list[np.ndarray]:
+    import zstandard
+
+    plain, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for n in sizes:
+        used = plain[at]
+        planes = np.zeros((4, n), np.uint8)
+        planes[:used] = np.frombuffer(plain, np.uint8, used * n, at + 1).reshape(used, n)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += 1 + used * n
+    return out
 
 
 def _words(path: str, column: int):
@@ -307,46 +419,86 @@ def _words(path: str, column: int):
 
 
 def _documents(path: str, column: int):
-    """(block, other columns..., CRC-32 of the text, numbers of its words) per document."""
+    """(block, number in it, other columns..., CRC-32 of the text, number of words, codes) per document; the first one of a block has the codes of all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        model, squeeze = pieces_of(path), zstandard.ZstdCompressor(level=1).compress
+        model = pieces_of(path)
         for number, batch in _blocks(batches, column):
             texts = batch.column(column)
             _, codes, ends = _coded(texts, model)
-            codes = codes.astype(np.uint32)
+            n = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(batch), number, np.int64)), *batch.columns[:column],
-                 pa.array([zlib.crc32(t.as_buffer()) for t in texts], pa.int64()),
-                 pa.array([squeeze(codes[a:b].tobytes()) for a, b in pairwise(ends.tolist())], pa.binary())],
-                ["_block", *batch.schema.names[:column], "_crc", "_codes"])
+                [pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n), pa.int64()), *batch.columns[:column],
+                 pa.array([zlib.crc32(t.as_buffer()) for t in texts], pa.int64()), pa.array(np.diff(ends), pa.int64()),
+                 pa.array([_packed(codes), *[None] * (n - 1)], pa.binary())],
+                ["_block", "_row", *[f"_own{i}" for i in range(column)], "_crc", "_n", "_codes"])
     return run
 
 
-def _assemble(path: str, n_own: int):
-    def run(docs, words):
-        import zstandard
+def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(refs, ids) of words to one packed row per block and PACKED_REFS references: numbers of words, numbers of ids, ids."""
+    held, size = [], 0
+
+    def rows():
+        refs = np.concatenate([r for r, _, _, _ in held])
+        flat = np.concatenate([f for _, _, _, f in held])
+        shifts = np.cumsum([0, *(len(f) for _, _, _, f in held[:-1])])
+        starts = np.concatenate([s + shift for (_, s, _, _), shift in zip(held, shifts, strict=True)])
+        lengths = np.concatenate([n for _, _, n, _ in held])
+        order = np.argsort(refs, kind="stable")
+        refs, starts, lengths = refs[order], starts[order], lengths[order]
+        blocks = refs >> BLOCK_SHIFT
+        local = refs & ((1 << BLOCK_SHIFT) - 1)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(refs)]
+        out = []
+        for a, b in pairwise(cuts):
+            ids = flat[_spread(starts[a:b], lengths[a:b])]
+            out.append((int(blocks[a]), b - a, len(ids), _packed(np.diff(local[a:b], prepend=0), lengths[a:b], ids)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+            ["_block", "words", "pieces", "packed"])
 
-        model, unpack = pieces_of(path), zstandard.ZstdDecompressor().decompress
-        words = words.combine_chunks()
-        order = np.argsort(words["_local"].to_numpy(), kind="stable")
-        if len(order) and not (words["_local"].to_numpy()[order] == np.arange(len(order))).all():
+    for batch in batches:
+        refs, ids = batch.column("refs"), batch.column("ids")
+        counts, lengths = np.diff(refs.offsets.to_numpy()), np.diff(ids.offsets.to_numpy())
+        word = np.repeat(np.arange(len(batch)), counts)
+        starts = np.cumsum(lengths) - lengths
+        held.append((refs.flatten().to_numpy(), starts[word], lengths[word].astype(np.int64), ids.flatten().to_numpy()))
+        size += len(word)
+        if size >= PACKED_REFS:
+            yield rows()
+            held, size = [], 0
+    if size:
+        yield rows()
+
+
+def _assemble(path: str, names: list[str]):
+    def run(docs, words):
+        model = pieces_of(path)
+        docs = docs.combine_chunks()
+        docs = docs.take(pa.array(np.argsort(docs["_row"].to_numpy(), kind="stable")))
+        parts = [(n, *_unpacked(data, n, n, m)) for n, m, data in zip(
+            words["words"].to_pylist(), words["pieces"].to_pylist(), words["packed"].to_pylist(), strict=True)]
+        local = np.concatenate([np.cumsum(x[1].astype(np.int64)) for x in parts]) if parts else np.zeros(0, np.int64)
+        order = np.argsort(local, kind="stable")
+        if not (local[order] == np.arange(len(order))).all():
             raise ValueError("the input was not read alike twice; write it to a table first")
-        lists = words["ids"].combine_chunks() if len(order) else pa.array([], pa.list_(pa.int32()))
-        lengths = np.diff(lists.offsets.to_numpy()) if len(order) else np.zeros(0, np.int64)
-        starts, flat = (np.cumsum(lengths) - lengths)[order], lists.flatten().to_numpy()
+        lengths = np.concatenate([x[2].astype(np.int64) for x in parts]) if parts else local
+        flat = np.concatenate([x[3] for x in parts]) if parts else np.zeros(0, np.uint32)
+        del parts
+        starts = (np.cumsum(lengths) - lengths)[order]
         lengths = lengths[order]
+        sizes = docs["_n"].to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        codes, = _unpacked(docs["_codes"][0].as_py(), int(ends[-1]))
         counts, ids, same = [], [], []
-        for packed, crc in zip(docs["_codes"].to_pylist(), docs["_crc"].to_pylist(), strict=True):
-            codes = np.frombuffer(unpack(packed), np.uint32)
-            own = flat[_spread(starts[codes], lengths[codes])].astype("<u4")
+        for a, b, crc in zip(ends[:-1].tolist(), ends[1:].tolist(), docs["_crc"].to_pylist(), strict=True):
+            at = codes[a:b]
+            own = flat[_spread(starts[at], lengths[at])].astype("<u4")
             counts.append(len(own))
             ids.append(own.tobytes())
             same.append(zlib.crc32(model.decode(own)) == crc)
-        own = docs.column_names[1 : 1 + n_own]
-        return pa.table({**{c: docs[c] for c in own}, "n_pieces": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.binary()),
-                         "round_trip": pa.array(same, pa.bool_())})
+        return pa.table({**{c: docs[f"_own{i}"] for i, c in enumerate(names)}, "n_pieces": pa.array(counts, pa.int64()),
+                         "ids": pa.array(ids, pa.binary()), "round_trip": pa.array(same, pa.bool_())})
     return run
 
 
@@ -359,10 +511,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", merges: bool = False)
     mark itself, which reads as a space. A null text counts as empty and has no ids. Rows do not depend on each other; repeated rows
     come as often as they do. Columns named like a result are replaced.
     """
-    own = [c for c in docs.columns if c not in (text, "n_pieces", "ids", "round_trip", "_block", "_crc", "_codes")]
+    own = [c for c in docs.columns if c not in (text, "n_pieces", "ids", "round_trip")]
     model = pieces_of(path)
     # Both passes read the same columns, so their Arrow batches, and with them the blocks, are the same.
-    rows = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    # Numbered names on the way: a column of the caller may have any name.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(own)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     at = len(own)
     # One reference per block that has the word.
     # Many partitions: a task should sort the edges of its words in memory.
@@ -370,14 +523,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", merges: bool = False)
     words = rows.mapInArrow(_words(path, at), "word string, ref bigint").filter("word <> ''").repartition(many, "word").groupBy("word").agg(
         F.collect_list("ref").alias("refs")).filter(F.size("refs") > 0)  # kept in both uses below, so that they share one exchange
     coded = words.join(encode_words(words.select("word"), model, merges=merges), "word")
-    local = coded.select(F.explode("refs").alias("ref"), "ids").select(
-        F.shiftright("ref", BLOCK_SHIFT).alias("_block"),
-        F.col("ref").bitwiseAND((1 << BLOCK_SHIFT) - 1).alias("_local"), "ids")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    fields += ", " if fields else ""
-    blocks = rows.mapInArrow(_documents(path, at), f"_block bigint, {fields}_crc bigint, _codes binary")
-    return blocks.groupBy("_block").cogroup(local.groupBy("_block")).applyInArrow(
-        _assemble(path, at), f"{fields}n_pieces bigint, ids binary, round_trip boolean")
+    local = coded.select("refs", "ids").mapInArrow(_back, "_block bigint, words bigint, pieces bigint, packed binary")
+    inner = ", ".join(["_block bigint, _row bigint", *[f"_own{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])],
+                       "_crc bigint, _n bigint, _codes binary"])
+    blocks = rows.mapInArrow(_documents(path, at), inner)
+    fields = [*[f"`{c}` {f.dataType.simpleString()}" for c, f in zip(own, rows.schema.fields[:-1], strict=True)],
+              "n_pieces bigint, ids binary, round_trip boolean"]
+    return blocks.groupBy("_block").cogroup(local.groupBy("_block")).applyInArrow(_assemble(path, own), ", ".join(fields))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
