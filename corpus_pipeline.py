@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document (little-endian unsigned 32-bit integers), and whether they decode to its text."""
-    return sentencepiece_lattice.encode(docs.select("doc_id", "lang", "source", "text"), PIECES)
+    """Piece ids of each document as the library gives them (little-endian unsigned 32-bit integers), and whether they decode to its text."""
+    return sentencepiece_lattice.encode(docs.select("doc_id", "lang", "source", "text"), PIECES, merges=True)
 
 
 STAGES = [
