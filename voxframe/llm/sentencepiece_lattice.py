@@ -282,22 +282,13 @@ def merged(edges: DataFrame, word: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, model: Pieces, word: str = "word", merges: bool = False) -> DataFrame:
-    """(word, ids) of the distinct ``words``: the path through the lattice of pieces of each, by merge order or the best one."""
-    path, schema = model.path, f"`{word}` string, ids array<int>"
-
-    def long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces_of(path)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([text]), pa.array([known.merge(text) if merges else known.search(text)], pa.list_(pa.int32()))], [word, "ids"])
-
-    long = words.select(word).filter(F.length(word) > LONG_WORD).mapInArrow(long_words, schema)
-    words = words.filter(F.length(word) <= LONG_WORD)
+    """(word, ids) of the distinct ``words`` of at most LONG_WORD characters: the path through the lattice of pieces of each, by merge order
+    or the best one."""
     table = F.broadcast(piece_table(words.sparkSession, model, merges))
     length = F.length(word)
     spans = (
-        words.filter(F.col(word) != "").select(word, F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
+        # A filter on the length would be moved below the grouping that makes ``words``, and that would run twice.
+        words.filter(F.col(word) != "").select(word, F.explode(F.when(length <= LONG_WORD, F.sequence(F.lit(0), length - 1))).alias("start"))
         .select(word, "start", F.explode(F.sequence(
             F.col("start") + 1, F.least(F.col("start") + model.longest, length))).alias("end"))
         .withColumn("part", F.substring(F.col(word), F.col("start") + 1, F.col("end") - F.col("start")))
@@ -318,7 +309,7 @@ def encode_words(words: DataFrame, model: Pieces, word: str = "word", merges: bo
     return paths.select(word, F.when(
         F.exists("_path", lambda e: e["id"].isNull()),
         F.flatten(F.transform("_path", lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled(e)))),
-    ).otherwise(F.col("_path.id")).alias("ids")).unionByName(long)
+    ).otherwise(F.col("_path.id")).alias("ids"))
 
 
 # --- documents -------------------------------------------------------------------------------------
@@ -434,41 +425,51 @@ def _documents(path: str, column: int):
     return run
 
 
-def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(refs, ids) of words to one packed row per block and PACKED_REFS references: numbers of words, numbers of ids, ids."""
-    held, size = [], 0
-
-    def rows():
-        refs = np.concatenate([r for r, _, _, _ in held])
-        flat = np.concatenate([f for _, _, _, f in held])
-        shifts = np.cumsum([0, *(len(f) for _, _, _, f in held[:-1])])
-        starts = np.concatenate([s + shift for (_, s, _, _), shift in zip(held, shifts, strict=True)])
-        lengths = np.concatenate([n for _, _, n, _ in held])
-        order = np.argsort(refs, kind="stable")
-        refs, starts, lengths = refs[order], starts[order], lengths[order]
-        blocks = refs >> BLOCK_SHIFT
-        local = refs & ((1 << BLOCK_SHIFT) - 1)
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(refs)]
-        out = []
-        for a, b in pairwise(cuts):
-            ids = flat[_spread(starts[a:b], lengths[a:b])]
-            out.append((int(blocks[a]), b - a, len(ids), _packed(np.diff(local[a:b], prepend=0), lengths[a:b], ids)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            ["_block", "words", "pieces", "packed"])
+def _back(path: str, merges: bool):
+    """(word, refs, ids) to one packed row per block and PACKED_REFS references: numbers of words, numbers of ids, ids.
 
-    for batch in batches:
-        refs, ids = batch.column("refs"), batch.column("ids")
-        counts, lengths = np.diff(refs.offsets.to_numpy()), np.diff(ids.offsets.to_numpy())
-        word = np.repeat(np.arange(len(batch)), counts)
-        starts = np.cumsum(lengths) - lengths
-        held.append((refs.flatten().to_numpy(), starts[word], lengths[word].astype(np.int64), ids.flatten().to_numpy()))
-        size += len(word)
-        if size >= PACKED_REFS:
-            yield rows()
-            held, size = [], 0
-    if size:
-        yield rows()
+    Words that were too long for the lattice come without ids and get them here.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            refs, ids = batch.column("refs"), batch.column("ids")
+            if ids.null_count:
+                model = pieces_of(path)
+                spell = model.merge if merges else model.search
+                ids = pa.array([spell(w) if x is None else x for w, x in zip(
+                    batch.column("word").to_pylist(), ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            counts, lengths = np.diff(refs.offsets.to_numpy()), np.diff(ids.offsets.to_numpy())
+            word = np.repeat(np.arange(len(batch)), counts)
+            starts = np.cumsum(lengths) - lengths
+            held.append((refs.flatten().to_numpy(), starts[word], lengths[word].astype(np.int64), ids.flatten().to_numpy()))
+            size += len(word)
+            if size >= PACKED_REFS:
+                yield _packed_rows(held)
+                held, size = [], 0
+        if size:
+            yield _packed_rows(held)
+    return run
+
+
+def _packed_rows(held: list) -> pa.RecordBatch:
+    refs = np.concatenate([r for r, _, _, _ in held])
+    flat = np.concatenate([f for _, _, _, f in held])
+    shifts = np.cumsum([0, *(len(f) for _, _, _, f in held[:-1])])
+    starts = np.concatenate([s + shift for (_, s, _, _), shift in zip(held, shifts, strict=True)])
+    lengths = np.concatenate([n for _, _, n, _ in held])
+    order = np.argsort(refs, kind="stable")
+    refs, starts, lengths = refs[order], starts[order], lengths[order]
+    blocks = refs >> BLOCK_SHIFT
+    local = refs & ((1 << BLOCK_SHIFT) - 1)
+    cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(refs)]
+    out = []
+    for a, b in pairwise(cuts):
+        ids = flat[_spread(starts[a:b], lengths[a:b])]
+        out.append((int(blocks[a]), b - a, len(ids), _packed(np.diff(local[a:b], prepend=0), lengths[a:b], ids)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+        ["_block", "words", "pieces", "packed"])
 
 
 def _assemble(path: str, names: list[str]):
@@ -522,8 +523,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", merges: bool = False)
     many = max(rows.rdd.getNumPartitions() * WORD_TASKS, 8)
     words = rows.mapInArrow(_words(path, at), "word string, ref bigint").filter("word <> ''").repartition(many, "word").groupBy("word").agg(
         F.collect_list("ref").alias("refs")).filter(F.size("refs") > 0)  # kept in both uses below, so that they share one exchange
-    coded = words.join(encode_words(words.select("word"), model, merges=merges), "word")
-    local = coded.select("refs", "ids").mapInArrow(_back, "_block bigint, words bigint, pieces bigint, packed binary")
+    coded = words.join(encode_words(words.select("word"), model, merges=merges), "word", "left")
+    # A word is asked for only where it got no ids.
+    asked = coded.select(F.when(F.col("ids").isNull(), F.col("word")).alias("word"), "refs", "ids")
+    local = asked.mapInArrow(_back(path, merges), "_block bigint, words bigint, pieces bigint, packed binary")
     inner = ", ".join(["_block bigint, _row bigint", *[f"_own{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])],
                        "_crc bigint, _n bigint, _codes binary"])
     blocks = rows.mapInArrow(_documents(path, at), inner)
