@@ -53,7 +53,8 @@ class Tree:
             if parent >= 0:
                 (right if side else left)[parent] = node
             width = high[node].astype(np.int64) - low[node]
-            if b - a > leaf:
+            # Vectors of no components are all alike and stay in one leaf.
+            if b - a > leaf and vectors.shape[1]:
                 # Half of the rows go to each side, also where all values are equal; ids then decide.
                 axis = int(width.argmax())
                 rows = order[a:b]
@@ -141,8 +142,9 @@ def build_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(dim, shard, tree): one row per shard of about ``shard_rows`` vectors of one length."""
     counts = vectors.groupBy(F.size("_v").alias("_dim")).count().withColumn(
         "_shards", F.ceil(F.col("count") / shard_rows).cast("int")).drop("count")
-    dealt = vectors.withColumn("_dim", F.size("_v")).join(counts, "_dim").withColumn(
-        "_shard", F.pmod(F.xxhash64("_id", "_v"), F.col("_shards")).cast("int"))
+    # With the row's number, so that equal rows, however many, are dealt out too; the trees are written once.
+    dealt = vectors.withColumns({"_dim": F.size("_v"), "_row": F.monotonically_increasing_id()}).join(counts, "_dim").withColumn(
+        "_shard", F.pmod(F.xxhash64("_id", "_row"), F.col("_shards")).cast("int")).drop("_row")
 
     def grow(key, table):
         vectors = _matrix(table["_v"].combine_chunks(), len(table))
@@ -165,7 +167,7 @@ def _search_blocks(k: int):
                 queries = batch.column("queries")[row].values
                 ids = queries.field("_id").to_pylist()
                 matrix = _matrix(queries.field("_v"), len(ids))
-                both = _exact(np.concatenate((tree.vectors.reshape(-1, dim), matrix.reshape(-1, dim))))
+                both = _exact(np.concatenate((tree.vectors.reshape(len(tree.ids), dim), matrix.reshape(len(ids), dim))))
                 tree.vectors, matrix = both[: len(tree.ids)], both[len(tree.ids) :]
                 tree.low, tree.high = tree.low.astype(both.dtype), tree.high.astype(both.dtype)
                 out = []
@@ -194,8 +196,9 @@ def top_k(
 
     Queries are the rows of ``df`` for which ``is_query`` holds; candidates are all rows but those with the query's own id. Ties
     go to the smaller id. With fewer candidates than k, all are returned; a query without any has no row. A repeated
-    id is repeated among candidates and asked once as a query (with its smallest vector). Results are exact: bounds only skip what
-    cannot be among the k.
+    id is repeated among candidates and asked once as a query (with its smallest vector). Vectors of no components score 0 with each
+    other. Results are exact: bounds only skip what cannot be among the k. Other columns of ``df`` are not looked at, whatever their
+    names; an empty table, or one without queries, gives an empty one.
     """
     vectors = written(integer_vectors(df, id_col, vector, scale), "kd-vectors")
     asked = integer_vectors(df.filter(is_query), id_col, vector, scale).groupBy("_id").agg(F.min("_v").alias("_v"))
