@@ -1,9 +1,9 @@
 """Token counts through a digest cache.
 
 A count depends on two things only: the content and the tokenizer file. Both are named by
-SHA-256 digests, and a table of (tokenizer, content) -> count serves as cache. Documents are
-joined to it by digest; only distinct contents without an entry are encoded, and their
-counts are appended, so the next run over a grown corpus encodes what is new.
+SHA-256 digests, and a table of (tokenizer, content) -> count serves as cache. Digests are
+joined to it first; the texts of distinct contents without an entry, and only they, are shuffled and encoded, and their
+counts are appended, so the next run over a grown corpus encodes what is new, and one over a known corpus moves no text at all.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import job_folder
+from voxframe.llm.common import job_folder, written
 
 CACHE_SCHEMA = "tokenizer string, content string, n_tokens bigint"
 #: Texts handed to the library in one call, which bounds the ids in memory.
@@ -79,33 +79,38 @@ def count_tokens(
     ``cache`` names the folder of the cache table; None takes a new one. A null text counts as
     the empty text (0 bytes, 0 tokens if the tokenizer adds none). Every row is returned,
     repeated rows as often as they come; equal contents are encoded once. Columns of ``docs`` named like
-    a result are replaced.
+    a result are replaced, all others are kept. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     cache = cache or job_folder(spark, "token-counts")
     version = tokenizer_digest(tokenizer)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    digest = F.sha2(body.cast("binary"), 256)
-
-    # Copies meet on the map side first, so a content of many copies is one row per task.
-    distinct = docs.select(digest.alias("content"), body.alias("text")).dropDuplicates(["content"])
+    # The caller's columns travel in one struct, so none of them can clash with the names used here.
+    kept = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), body.alias("text"),
+        F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("content"))
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
-    misses = distinct.join(stored.select("content"), "content", "left_anti")
-    (
-        misses.mapInArrow(_count_batches(tokenizer), "content string, n_tokens bigint")
-        .select(F.lit(version).alias("tokenizer"), "content", "n_tokens")
-        .write.mode("append").parquet(cache)
-    )
-    counts = (
+    # Two runs at a time may both append a content: one row of each counts.
+    stored = (
         spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
-        .select(F.col("content").alias("_content"), F.col("n_tokens").alias("_n"))
-    )
-    kept = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    return (
-        docs.select(*[F.col(c) for c in kept], F.octet_length(body).cast("long").alias("n_bytes"), digest.alias("_content"))
-        .join(counts, "_content", "left")
-        .select(
-            *kept, "n_bytes", F.col("_n").alias("n_tokens"), (F.col("_n") > limit).alias("over_limit")
+        .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
+
+    # Digests find what is missing, so a text travels only if its content has no count yet. Copies meet on the map side first.
+    missing = written(
+        rows.select("content").distinct().join(stored.select("content"), "content", "left_anti"), "token-misses")
+    if not missing.isEmpty():
+        misses = rows.select("content", "text").join(missing, "content", "left_semi").dropDuplicates(["content"])
+        (
+            misses.mapInArrow(_count_batches(tokenizer), "content string, n_tokens bigint")
+            .select(F.lit(version).alias("tokenizer"), "content", "n_tokens")
+            .write.mode("append").parquet(cache)
         )
+        # A plan keeps the files that it listed when it was made.
+        stored = (
+            spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
+            .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
+    return (
+        rows.drop("text").join(stored, "content", "left")
+        .select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
