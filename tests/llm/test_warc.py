@@ -90,3 +90,38 @@ def test_broken_bytes():
     with pytest.raises(ValueError):
         list(warc.members(warc.member(b"x" * 100)[:-9]))
     assert warc.base32_sha1(b"").isupper() and zlib.crc32(b"") == 0
+
+
+def test_references_name_a_response(spark):
+    data = [(i, f"http://h/{i}", f"body {i % 4}") for i in range(20)] + [(50, "u", "twice"), (50, "u", "twice"), (51, "u", "twice"), (None, "u", "body 1")]
+    ids = []
+    for _ in range(2):
+        folder = job_folder(spark, "warc-test")
+        warc.write_archives(rows(spark, data), folder, segment_bytes=60).count()
+        records = []
+        for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).collect():
+            records += [f for m in warc.members(bytes(r.content)) for f, _ in warc.parse(m)]
+        own = [f["warc-record-id"] for f in records]
+        assert len(own) == len(set(own))
+        ids += own
+        by = {f["warc-record-id"]: f for f in records}
+        revisits = [f for f in records if f["warc-type"] == "revisit"]
+        assert len(revisits) == 18 and sum("warc-refers-to" in f for f in revisits) == 17
+        for f in revisits:
+            if "warc-refers-to" in f:
+                to = by[f["warc-refers-to"]]
+                assert to["warc-type"] == "response" and to["x-page-id"] == f["x-refers-to-page-id"]
+                assert to["warc-payload-digest"] == f["warc-payload-digest"]
+    assert len(ids) == len(set(ids))
+
+
+def test_reading_goes_on_behind_a_broken_record(spark):
+    body = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    good = lambda n: warc.record("response", f"urn:{n}", body, [])
+    broken = [good(1).replace(b"Content-Length", b"Content-Width"), warc.record("response", "urn:x", body, [("WARC-Segment-Number", "two")]), b"noise\r\n\r\n"]
+    folder = job_folder(spark, "warc-test")
+    put_file(folder, "plain.warc", b"".join([good(2), broken[0], good(3), broken[1], good(4), broken[2], good(5)]))
+    put_file(folder, "packed.warc.gz", [warc.member(x) for x in (good(6), broken[0], good(7), broken[1], good(8))])
+    out = warc.read_records(spark, folder).collect()
+    assert {r.record_id for r in out if r.error is None} == {f"urn:{n}" for n in range(2, 9)}
+    assert sum(r.error is not None for r in out) == 5

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,9 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
+#: Fields whose value is a whole number; a page id may be negative.
+NUMBERS = ("warc-segment-number", "warc-segment-total-length")
+
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
 ARCHIVE_BYTES = 32 << 20
@@ -99,23 +103,35 @@ def members(data) -> Iterator[bytes]:
         at = min(end, len(view)) - len(z.unused_data)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record in unpacked bytes."""
+def parse(data: bytes) -> Iterator[tuple[dict[str, str] | str, bytes]]:
+    """(fields with lower-case names, block) of each record in unpacked bytes; (fault, what is left out) for a broken one.
+
+    Reading goes on with the next thing that begins like a record.
+    """
     at = 0
     while at < len(data):
+        fields, fault = {}, None
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError("no WARC record here")
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError("record is cut off")
-        yield fields, block
-        at = end + 4 + size + 4
+            fault = "no WARC record here"
+        else:
+            for line in data[at:end].split(b"\r\n")[1:]:
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            size = int(fields["content-length"]) if fields.get("content-length", "").isdecimal() else -1
+            if size < 0:
+                fault = "no content length"
+            elif end + 4 + size > len(data):
+                fault = "record is cut off"
+            elif not all(fields[k].isdecimal() for k in NUMBERS if k in fields):
+                fault = "a field that should be a number is none"
+        if fault is None:
+            yield fields, data[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
+            continue
+        after = data.find(b"\r\n\r\nWARC/", at + 1)
+        yield fault, data[at : after if after >= 0 else len(data)]
+        at = after + 4 if after >= 0 else len(data)
 
 
 def http_payload(block: bytes) -> tuple[bytes, int]:
@@ -134,19 +150,26 @@ def http_payload(block: bytes) -> tuple[bytes, int]:
 # --- writing ------------------------------------------------------------------------------------
 
 def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds body and _first: the smallest page_id with an equal payload of at least ``min_bytes`` bytes.
+    """Adds _body, _first (the smallest page_id with an equal payload of at least ``min_bytes`` bytes) and _alone (whether one row has that id).
 
-    Shorter payloads, and rows whose group has no page_id at all, have null there. The smallest id comes
-    from a partial aggregate, so a payload that most pages share is one row per task in that shuffle.
+    Payloads are equal if length, SHA-1 and SHA-256 are. Shorter ones, and rows whose group has no page_id at all, have null there. The
+    smallest id comes from partial aggregates, so a payload that most pages share is one row per task in that shuffle.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    keyed = pages.withColumn("_body", body).withColumn("_sha", F.sha1("_body"))
+    key = F.concat(F.sha1("_body"), F.lit(":"), F.sha2("_body", 256), F.lit(":"), F.octet_length("_body").cast("string"))
+    keyed = pages.withColumn("_body", body).withColumn("_key", key)
     first = written(
         keyed.filter((F.octet_length("_body") >= min_bytes) & F.col("page_id").isNotNull())
-        .groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .groupBy("_key", "page_id").agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("_key").agg(F.min(F.struct("page_id", "_n")).alias("_least"), F.sum("_n").alias("_n"))
         # A payload that comes once refers to nothing.
-        .filter("_n > 1").select("_sha", "_first"), "warc-first")
-    return keyed.join(first, "_sha", "left")
+        .filter("_n > 1").select("_key", F.col("_least.page_id").alias("_first"), (F.col("_least._n") == 1).alias("_alone")), "warc-first")
+    return keyed.join(first, "_key", "left")
+
+
+def record_name(job: str, page_id: int, digest: str) -> str:
+    """Id of the record that holds a payload for others to refer to."""
+    return f"urn:x-record:{job}:{page_id}:{digest}"
 
 
 def write_archives(
@@ -156,14 +179,17 @@ def write_archives(
     """Write ``pages`` (page_id, url, html) as ``*.warc.gz`` below ``folder``; one row per archive.
 
     A null html is an empty payload, a null url an empty target, a null page_id a record without a page id. A row with
-    the smallest page_id of its payload is a response, also when that row is repeated. An archive is
+    the smallest page_id of its payload is a response, also when that row is repeated. ``WARC-Refers-To`` of a revisit is the record id of that
+    response, which no other record of any job has; where repeated rows make several such responses, no one of them is named, only the page. Other
+    columns are not looked at, whatever their names; texts may be of any length (a long one is segments); an empty table gives no archives. An archive is
     closed at ``archive_bytes`` packed bytes; names depend on partition and number only, and a file is moved into place whole, so a
     task that runs twice does no harm.
     """
     spark = pages.sparkSession
     rows = with_references(pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"), min_bytes
-    ).select("page_id", "url", "_body", "_first")
+    ).select("page_id", "url", "_body", "_first", "_alone")
+    job = uuid.uuid4().hex[:16]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -179,10 +205,11 @@ def write_archives(
                 out, size, number = [], 0, number + 1
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for page_id, url, body, first in zip(*columns, strict=True):
+            columns = [batch.column(i) for i in range(5)]
+            for page_id, url, body, first, alone in zip(*columns, strict=True):
                 page_id, url, body, first = page_id.as_py(), url.as_py() or "", body.as_py(), first.as_py()
-                for data in _records(page_id, url, body, first, f"urn:x-row:{part}-{row}", segment_bytes, chunk_bytes):
+                named = record_name(job, first, base32_sha1(body)) if alone.as_py() else None
+                for data in _records(page_id, url, body, first, f"urn:x-row:{job}:{part}-{row}", named, segment_bytes, chunk_bytes):
                     out.append(member(data))
                     size += len(out[-1])
                     if size >= archive_bytes:
@@ -200,7 +227,8 @@ def write_archives(
     return spark.read.schema(schema).parquet(f"{folder}/files")
 
 
-def _records(page_id, url, body, first, record_id, segment_bytes, chunk_bytes) -> Iterator[bytes]:
+def _records(page_id, url, body, first, record_id, named, segment_bytes, chunk_bytes) -> Iterator[bytes]:
+    """``named``: the id of the response with this payload, if there is one alone."""
     digest = base32_sha1(body)
     fields = [("WARC-Target-URI", "".join(c if c > " " else "%%%02X" % ord(c) for c in url)),
               ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
@@ -211,8 +239,10 @@ def _records(page_id, url, body, first, record_id, segment_bytes, chunk_bytes) -
     if first is not None and page_id != first:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
         yield record("revisit", record_id, head, [
-            *fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:x-page:{first}>"), ("X-Refers-To-Page-ID", str(first))])
+            *fields, ("WARC-Profile", PROFILE), *([("WARC-Refers-To", f"<{named}>")] if named else []), ("X-Refers-To-Page-ID", str(first))])
         return
+    if named:
+        record_id = named
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + coding + b"\r\n\r\n"
     block = head + (chunked(body, chunk_bytes) if framed else body)
     if len(block) <= segment_bytes:
@@ -238,7 +268,7 @@ PAGE = ("record_id string, page_id bigint, target string, record_type string, re
 
 
 def _row(file: str, fields: dict[str, str], block: bytes) -> tuple:
-    number = lambda k: int(fields[k]) if k in fields else None
+    number = lambda k: int(fields[k]) if fields.get(k, "").removeprefix("-").isdecimal() else None
     return (
         file, fields.get("warc-segment-origin-id", fields.get("warc-record-id", "")).strip("<>"), fields.get("warc-type"),
         number("warc-segment-number"), number("warc-segment-total-length"), fields.get("warc-target-uri"), number("x-page-id"),
@@ -247,7 +277,7 @@ def _row(file: str, fields: dict[str, str], block: bytes) -> tuple:
 
 
 def read_records(spark, folder: str, pattern: str = "*.warc*") -> DataFrame:
-    """One row per record of the archives: ``RAW``. An archive that breaks off ends with a row that has ``error``.
+    """One row per record of the archives: ``RAW``. A broken record is a row with ``error``, and reading goes on behind it.
 
     ``record_id`` of a continuation is that of its origin.
     """
@@ -267,13 +297,14 @@ def read_records(spark, folder: str, pattern: str = "*.warc*") -> DataFrame:
                 try:
                     for unpacked in members(raw) if bytes(raw[:2]) == b"\x1f\x8b" else [bytes(raw)]:
                         for fields, block in parse(unpacked):
-                            rows.append(_row(file, fields, block))
+                            rows.append(_row(file, fields, block) if isinstance(fields, dict) else (file, *[None] * 9, fields))
                             size += len(block)
                             if size > 8 << 20:
                                 yield batch(rows)
                                 rows, size = [], 0
-                except (ValueError, KeyError, zlib.error) as e:
-                    rows.append((file, None, None, None, None, None, None, None, None, None, str(e) or type(e).__name__))
+                except (ValueError, zlib.error) as e:
+                    # Packed bytes that cannot be read on hide where the next member begins.
+                    rows.append((file, *[None] * 9, str(e) or type(e).__name__))
                 if rows:
                     yield batch(rows)
 
