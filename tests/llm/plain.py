@@ -36,10 +36,38 @@ def components(rows, k, percent=80):
     return [find(i) for i in range(len(rows))]
 
 
+FURNITURE = (
+    "cookie cookies subscribe copyright impressum anmelden abonnieren abonnez-vous suscríbase datenschutzerklärung nutzungsbedingungen".split()
+    + ["privacy policy", "terms of use", "terms of service", "all rights reserved", "licensed under", "enable javascript", "lorem ipsum",
+       "click here", "sign up", "log in", "powered by", "politique de confidentialité", "mentions légales", "conditions d'utilisation",
+       "tous droits réservés", "cliquez ici", "se connecter", "alle rechte vorbehalten", "hier klicken", "política de privacidad", "aviso legal",
+       "términos de uso", "todos los derechos reservados", "haga clic aquí", "iniciar sesión"])
+
+
+def phrases(line):
+    """How many phrases of page furniture stand in a line, each behind the one before, with a sign in between of its own."""
+    low, n, at = line.translate(LOWER), 0, 0
+    while at <= len(low):
+        for phrase in sorted(FURNITURE, key=len, reverse=True):
+            for lead in (0, 1):
+                start = at + lead
+                if (lead == 0 and at != 0) or (lead and (at >= len(low) or low[at].isalnum())) or not low.startswith(phrase, start):
+                    continue
+                end = start + len(phrase)
+                if end < len(low) and low[end].isalnum():
+                    continue
+                break
+            else:
+                continue
+            n, at = n + 1, end + 1
+            break
+        else:
+            at += 1
+    return n
+
+
 def quality(text):
     """(figures..., base_failed, kept, cleaned)"""
-    from voxframe.llm.quality import BOILERPLATE
-
     w = words(text)
     windows, covered = {}, set()
     for i in range(len(w) - 2):
@@ -56,7 +84,7 @@ def quality(text):
         marks = len(re.findall(r"[#*$%&|<>]", x)) > n * 0.2 or len(re.findall("!!", x)) > n * 0.2
         stops = n >= 30 and not re.search(r"[.!?:;…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)", x)
         navigation = len(re.findall(r"[|»›•·→]", x)) * 4 > n
-        if not (marks or stops or navigation or any(p in x.translate(LOWER) for p in BOILERPLATE)):
+        if not (marks or stops or navigation or 0 < phrases(x) * 8 >= n):
             good.append(x)
     failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
     lost = len("".join(lines)) - len("".join(good))
@@ -82,32 +110,48 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     return out
 
 
+def probabilities(sizes, missing):
+    """Inclusion of documents in proportion to size, certain ones first, so that ``missing`` words are included on average."""
+    out, left = [0.0] * len(sizes), missing
+    open_ = [i for i, n in enumerate(sizes) if n > 0] if missing > 0 else []
+    while open_:
+        most = max(sizes[i] for i in open_)
+        squares = sum(sizes[i] ** 2 for i in open_)
+        if left * most < squares:
+            for i in open_:
+                out[i] = left / squares * sizes[i]
+            break
+        for i in [i for i in open_ if sizes[i] == most]:
+            out[i] = 1.0
+            left -= sizes[i]
+        open_ = [i for i in open_ if sizes[i] < most]
+    return out
+
+
 def mix(rows, seed="mix"):
-    """Copies of each (doc_id, text, source) row."""
+    """Copies of each (doc_id, text, source) row; of equal rows any may be the ones that are drawn."""
     size = [len(words(t)) for _, t, _ in rows]
     sums = {}
     for (_, _, s), n in zip(rows, size, strict=True):
         sums[s] = sums.get(s, 0) + n
     goal, copies = targets(sums), [0] * len(rows)
     for s, total in sums.items():
-        ratio = goal[s] / total if total else 0.0
-        sure, p = math.floor(ratio), ratio - math.floor(ratio)
-        left, ranked = goal[s] - sure * total, {}
-        for i, (d, t, own) in enumerate(rows):
-            if own == s:
-                copies[i] = sure
-                body = f"{'' if d is None else d}:{t or ''}"
-                u = int(hashlib.md5(f"{seed}:{body}".encode()).hexdigest()[:13], 16) / 2**52
-                if p > 0:
-                    rank = u * (1 - p) / (u * (1 - p) + (1 - u) * p)
-                    ranked.setdefault((rank, hashlib.md5(body.encode()).hexdigest()), []).append(i)
+        sure = math.floor(goal[s] / total) if total else 0
+        left = goal[s] - sure * total
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        seen, ranked = {}, []
+        for i, p in zip(own, probabilities([size[i] for i in own], left), strict=True):
+            copies[i] = sure
+            key = hashlib.md5(f"{'' if rows[i][0] is None else rows[i][0]}:{rows[i][1] or ''}".encode()).hexdigest()
+            n = seen[key] = seen.get(key, -1) + 1
+            u = int(hashlib.md5(f"{seed}:{key}:{n}".encode()).hexdigest()[:13], 16) / 2**52
+            if p > 0:
+                ranked.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p), key, n, i))
         run = 0
-        for _, same in sorted(ranked.items()):
-            own = sum(size[i] for i in same)
-            if left > 0 and (run + own <= left or (run < left and run + own - left < left - run)):
-                for i in same:
-                    copies[i] += 1
-            run += own
+        for *_, i in sorted(ranked):
+            if run + size[i] <= left or (run < left and run + size[i] - left < left - run):
+                copies[i] += 1
+            run += size[i]
     return copies
 
 

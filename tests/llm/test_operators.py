@@ -141,6 +141,21 @@ def test_token_counts_and_cache(spark):
     assert tokencount.count_tokens(frame(spark, []), PIECES, job_folder(spark, "cache")).count() == 0
 
 
+def test_token_counts_edges(spark):
+    """Columns named like internals, a content that two runs appended, and a known corpus that moves no text."""
+    rows = [(i, t, "c", "r", 5) for i, t in enumerate(["one two", "one two", None, "three"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _content string, content string, `row` int")
+    cache = job_folder(spark, "cache")
+    first = tokencount.count_tokens(docs, PIECES, cache).collect()
+    assert [r._content + r.content + str(r.row) for r in first] == ["cr5"] * 4
+    spark.read.parquet(cache).write.mode("append").parquet(cache)
+    again = tokencount.count_tokens(docs, PIECES, cache)
+    assert multiset(map(tuple, again.collect())) == multiset(map(tuple, first))
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "left_semi" not in plan.lower()
+    assert spark.read.parquet(cache).count() == 6
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 def toxic_rows(n=240):
@@ -304,6 +319,16 @@ def test_top_k(spark):
     assert kdtree.top_k(df.limit(0), F.col("vec_id") == 2).count() == 0
 
 
+def test_top_k_many_vectors_without_components(spark):
+    rows = [(i, []) for i in range(100)] + [(200, [1.0]), (201, [2.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, "d") for i, v in rows], "vec_id long, embedding array<float>, _id int, _shard int, dim string")
+    got = kdtree.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=16)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 5, [0, 50, 200])
+    same = [(i // 40, [1.0, -1.0]) for i in range(400)]
+    got = kdtree.top_k(spark.createDataFrame(same, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, shard_rows=16)
+    assert sorted(map(tuple, got.collect())) == brute_top(same, 5, [0, 5])
+
+
 def test_top_k_repeated_rows(spark):
     # The query is id 0; identical rows, and two vectors of one id with the same score, each count as often as they come.
     rows = [(0, [1.0, 0.0]), (7, [10.0, 0.0]), (7, [10.0, 0.0]), (9, [9.0, 1.0]), (9, [9.0, 2.0]), (9, [9.0, 3.0]), (2, [8.0, 0.0]), (3, [7.0, 0.0])]

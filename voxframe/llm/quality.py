@@ -16,23 +16,31 @@ from voxframe.llm.common import SPACE, ascii_lower, words
 SYMBOL = r"[#*$%&|<>]"
 #: The end of a sentence: one of these marks behind a word, closing quotes and brackets aside.
 END = r"[.!?:;…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
-#: Phrases of page furniture, lower case.
+#: Phrases of page furniture in English, French, German and Spanish, lower case.
 BOILERPLATE = [
-    "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright ",
-    "licensed under", "javascript", "lorem ipsum", "click here", "sign up", "log in", "subscribe",
-    "powered by",
+    "cookie", "cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright", "licensed under",
+    "enable javascript", "lorem ipsum", "click here", "sign up", "log in", "subscribe", "powered by",
+    "politique de confidentialité", "mentions légales", "conditions d'utilisation", "tous droits réservés", "cliquez ici", "se connecter",
+    "abonnez-vous",
+    "datenschutzerklärung", "nutzungsbedingungen", "impressum", "alle rechte vorbehalten", "hier klicken", "anmelden", "abonnieren",
+    "política de privacidad", "aviso legal", "términos de uso", "todos los derechos reservados", "haga clic aquí", "iniciar sesión",
+    "suscríbase",
 ]
+#: A phrase with no letter or digit on either side.
+PHRASE = r"(^|[^\p{L}\p{N}])(" + "|".join(BOILERPLATE) + r")($|[^\p{L}\p{N}])"
+#: A line is boilerplate if it has a phrase for every so many words: a sentence that mentions one is not.
+WORDS_A_PHRASE = 8
 #: Separators between menu entries.
 NAVIGATION = r"[|»›•·→]"
 
 
-def _base(df: DataFrame, text: str) -> DataFrame:
-    """Adds _words, _lines (those with a word), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def _base(df: DataFrame) -> DataFrame:
+    """Adds _words, _lines (those with a word), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the column _text."""
+    body = F.col("_text")
     three = lambda w, i: F.get(F.col("_words"), i + 1)
     four = lambda w, i: F.get(F.col("_words"), i + 2)
     df = df.withColumns({
-        "_words": words(F.col(text)),
+        "_words": words(body),
         "_lines": F.filter(F.split(body, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))),
         "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
     })
@@ -68,7 +76,7 @@ def line_fails(line: Column, n: Column, max_symbols: float, min_line_words: int)
         | ((n >= min_line_words) & ~F.regexp_like(line, F.lit(END)))
     )
     navigation = F.regexp_count(line, F.lit(NAVIGATION)) * 4 > n
-    boilerplate = F.regexp_like(low, F.lit("|".join(BOILERPLATE)))
+    boilerplate = (F.regexp_count(low, F.lit(PHRASE)) * WORDS_A_PHRASE >= n) & F.regexp_like(low, F.lit(PHRASE))
     return navigation | boilerplate | punctuation
 
 
@@ -81,11 +89,15 @@ def judge_quality(
     ``cleaned`` is the text of the lines that pass, each kept once where lines repeat. A document is kept if
     the base rules hold (at least ``min_words`` words, repeated windows cover at most ``max_repeat`` of them)
     and the lost lines hold at most ``max_loss`` of its characters in lines. A null text is a text without words: figures 0,
-    base_failed, not kept. Rows do not depend on each other; repeated rows are judged alike.
+    base_failed, not kept. Rows do not depend on each other; repeated rows are judged alike. Columns named like a result are replaced, all
+    others are kept, whatever their names; an empty table gives an empty one.
     """
     own = [c for c in docs.columns if c not in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned", "lost_chars")]
-    df = _base(docs.select(*own), text).withColumn(
+    # The caller's columns travel in one struct, so none of them can clash with the names used here.
+    packed = docs.select(
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    df = _base(packed).withColumn(
         "base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeat))
     # Words of a line are counted once, not in each rule.
     df = df.withColumn("_counted", F.transform(F.array_distinct("_lines"), lambda x: F.struct(
@@ -96,7 +108,7 @@ def judge_quality(
         "cleaned": F.array_join("_good", "\n"), "_all": F.length(F.array_join("_lines", "")),
     }).withColumn("lost_chars", (F.col("_all") - F.length(F.array_join("_good", ""))).cast("long"))
     return df.select(
-        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "cleaned",
+        *[F.col(f"row.`{c}`").alias(c) for c in own], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "cleaned",
         # The row number makes no difference to the verdict, but keeps a filter on it above the steps: pushed below, the
         # optimizer would write every step out in full for each of its uses.
         (~F.col("base_failed") & (F.col("lost_chars") <= F.col("_all") * max_loss)

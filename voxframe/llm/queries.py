@@ -102,7 +102,9 @@ rep as (
 good as (
   select r, list_filter(list_distinct(lines), lambda x: not (
       len(regexp_extract_all(x, '[|»›•·→]')) * 4 > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
-      or regexp_matches(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '@@BOILERPLATE@@')
+      or (len(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '@@PHRASE@@')) > 0
+          and len(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '@@PHRASE@@')) * 8
+            >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
       or len(regexp_extract_all(x, '[#*$%&|<>]')) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 0.2::double
       or len(regexp_extract_all(x, '!!')) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 0.2::double
       or (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 30
@@ -120,7 +122,11 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and all_chars - good_chars <= all_chars * 0.5::double as kept,
   (all_chars - good_chars)::bigint as lost_chars
 from s
-""".replace("@@BOILERPLATE@@", "|".join(quality.BOILERPLATE))
+""".replace("@@PHRASE@@", r"(?:^|[^\p{L}\p{N}])(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|copyright|licensed under"
+           r"|enable javascript|lorem ipsum|click here|sign up|log in|subscribe|powered by|politique de confidentialité|mentions légales"
+           r"|conditions d''utilisation|tous droits réservés|cliquez ici|se connecter|abonnez-vous|datenschutzerklärung"
+           r"|nutzungsbedingungen|impressum|alle rechte vorbehalten|hier klicken|anmelden|abonnieren|política de privacidad|aviso legal"
+           r"|términos de uso|todos los derechos reservados|haga clic aquí|iniciar sesión|suscríbase)(?:$|[^\p{L}\p{N}])")
 
 
 @query
@@ -137,12 +143,11 @@ def op8_mixing(spark, sf_dir):
 
 
 ORACLES["op8_mixing"] = r"""
-with d as (
+with raw as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 13))::bigint::double
-      / 4503599627370496::double as u,
     md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key
   from documents),
+d as (select *, row_number() over (partition by source, key) - 1 as copy from raw),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (
   select *, source_size * 2.0::double as cap,
@@ -159,20 +164,36 @@ t as (
   select source, source_size, case when f.pos is null or r.pos < f.pos then cap else f.rate * w end as target
   from r cross join f),
 p as (
-  select *, case when source_size > 0 then target / source_size else 0 end as ratio from t),
+  select *, floor(case when source_size > 0 then target / source_size else 0 end) as sure,
+    target - floor(case when source_size > 0 then target / source_size else 0 end) * source_size as missing
+  from t),
+-- Inclusion in proportion to size: from the largest size down, sizes are certain while their share would be 1 or more.
+sizes as (
+  select d.source, size, missing, sum(size) as words, sum(size::hugeint * size) as squares
+  from d join p on d.source is not distinct from p.source where size > 0 and missing > 0 group by d.source, size, missing),
+runs as (
+  select *, missing - coalesce(sum(words) over bigger, 0)::double as before,
+    (sum(squares) over (partition by source) - coalesce(sum(squares) over bigger, 0))::double as rest
+  from sizes window bigger as (partition by source order by size desc rows between unbounded preceding and 1 preceding)),
+full_to as (
+  select *, min(before * size >= rest) over (partition by source order by size desc rows between unbounded preceding and current row) as is_full
+  from runs),
+rates as (
+  select source, min(size) filter (is_full) as certain, arg_max(before / rest, size) filter (not is_full) as c from full_to group by source),
 ranked as (
-  select doc_id, d.source, size, key, source_size, target, floor(ratio) as sure, ratio - floor(ratio) as p,
-    target - floor(ratio) * source_size as missing,
-    case when ratio - floor(ratio) > 0
-      then u * (1 - (ratio - floor(ratio))) / (u * (1 - (ratio - floor(ratio))) + (1 - u) * (ratio - floor(ratio)))
-      else 0 end as rank
-  from d join p on d.source is not distinct from p.source),
+  select *, case when p > 0 then u * (1 - p) / (u * (1 - p) + (1 - u) * p) else 0 end as rank
+  from (
+    select doc_id, d.source, size, key, copy, source_size, target, sure, missing,
+      case when size <= 0 or missing <= 0 then 0 when size >= certain then 1 else coalesce(c * size, 0) end as p,
+      ('0x' || substr(md5('mix:' || key || ':' || copy), 1, 13))::bigint::double / 4503599627370496::double as u
+    from d join p on d.source is not distinct from p.source left join rates on d.source is not distinct from rates.source)),
 cum as (
-  select *, sum(size) over (partition by source order by rank, key range unbounded preceding) as cum,
-    sum(size) over (partition by source, rank, key) as own
-  from ranked)
+  select *, sum(size) over (partition by source order by rank, key, copy rows between unbounded preceding and current row) as cum
+  from ranked where p > 0
+  union all
+  select *, 0 from ranked where p <= 0)
 select doc_id, size, source_size, target,
-  ((sure + (p > 0 and missing > 0 and (cum <= missing or (cum - own < missing and cum - missing < missing - (cum - own))))::int)
+  ((sure + (p > 0 and missing > 0 and (cum <= missing or (cum - size < missing and cum - missing < missing - (cum - size))))::int)
     * size)::bigint as taken
 from cum
 """
