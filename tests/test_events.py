@@ -63,3 +63,36 @@ def test_base_name(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "i int, s string")
     got = [r.n for r in df.select("i", events.base_name(F.col("s")).alias("n")).orderBy("i").collect()]
     assert got == [os.path.splitext(os.path.basename(s))[0] for s in sources]
+
+
+def test_log_in_folders_by_stream(spark, tmp_path):
+    """One evaluation, and folders in name order are the log of a stream."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from voxframe.operators import events
+    from voxframe.sources import jsonl
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(s, i, i * 2.0, 1.5) for s, n in (("a/b", 25), ("c", 3)) for i in range(n)]
+    segments = spark.createDataFrame(rows, "stream_id string, segment_idx bigint, start_s double, duration_s double")
+    log = events.event_log(segments.select("stream_id"), segments.withColumn("start_s", counted("start_s")))
+    path = str(tmp_path / "log")
+    jsonl.write_jsonl_by_stream(log, path, folder_segments=10)
+    assert seen.value == len(rows)
+    want = {}
+    for r in events.json_lines(log).orderBy(*events.SORT_KEYS).collect():
+        want.setdefault(r.stream_id, []).append(r.value)
+    folders = sorted(glob.glob(path + "/stream_id=*"))
+    assert len(folders) == 2
+    for folder, stream in zip(folders, sorted(want)):
+        lines = [x.rstrip("\n") for p in sorted(glob.glob(folder + "/part=*/part-*")) for x in open(p)]
+        assert lines == want[stream]
+    assert len(glob.glob(folders[0] + "/part=1-*")) == 3

@@ -76,3 +76,11 @@ def test_detokenize(spark):
     t = spark.createDataFrame([(i, ids) for i, ids in enumerate(tokens)], "stream_id int, tokens array<int>")
     v = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate(vocab)], "token_id int, token binary")
     assert [r.text for r in lookups.detokenize(t, v).orderBy("stream_id").collect()] == want
+
+
+def test_detokenize_keeps_rows_of_one_key_apart(spark):
+    v = spark.createDataFrame([(0, bytearray(b"a")), (1, bytearray(b"b"))], "token_id int, token binary")
+    rows = [("k", [0, 1]), ("k", [1]), ("k", [1]), ("k", None), (None, [0]), ("e", [])]
+    t = spark.createDataFrame(rows, "stream_id string, tokens array<int>")
+    got = sorted(((r.stream_id, r.text) for r in lookups.detokenize(t, v).collect()), key=repr)
+    assert got == sorted([("k", "ab"), ("k", "b"), ("k", "b"), ("k", ""), (None, "a"), ("e", "")], key=repr)

@@ -110,8 +110,9 @@ def test_missing_windows_are_silence(spark):
     assert collect(G.segment_activity(full.filter("is_speech"), o, block_windows=16)) == {"a": direct(flags, o)}
 
 
-def test_live_state(spark):
-    rnd = random.Random(9)
+@pytest.mark.parametrize("seed", [9, 10, 11, 12])
+def test_live_state(spark, seed):
+    rnd = random.Random(seed)
     flags, o = random_case(rnd)
     got = G.live_state(windows(spark, {"a": flags}), o, block_windows=32).orderBy("window_idx").collect()
     from voxframe.operators.fold import SegmentFold
@@ -176,3 +177,67 @@ def test_carry_and_running_total(spark):
             if s == k:
                 assert got[(s, i)] == last and tot[(s, i)] == total
                 last, total = (v if v is not None else last), total + (v or 0)
+
+
+def with_resets(flags, resets, o):
+    """The fold, cleared before each reset."""
+    from voxframe.operators.fold import SegmentFold
+
+    f = SegmentFold(o)
+    for i, c in enumerate(flags):
+        if i in resets:
+            f.clear()
+        f.feed(i, 1, c == "S")
+    f.finish()
+    return [(i, s, n, max(0, s - sh) / o.rate, why) for i, (s, n, sh, why) in enumerate(f.out)]
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_resets(spark, block):
+    rnd = random.Random(block)
+    o = SegmentOptions(min_speech_s=0.2, soft_limit_s=0.6, hard_limit_s=1.37, min_silence_ms=200, look_back_s=0.1)
+    streams = {f"s{k}": random_case(rnd)[0][:260] + "S" for k in range(5)} | {"solid": "S" * 200}
+    resets = {k: {rnd.randrange(len(f)) for _ in range(rnd.choice((0, 1, 4)))} for k, f in streams.items()} | {"solid": {0, 50, 51, 199}}
+    rows = [(k, i, c == "S", i in resets[k]) for k, f in streams.items() for i, c in enumerate(f)]
+    # Windows that are not speech need no row, and a control row no window.
+    rows = [(k, i, s if s or i % 2 else None, r) for k, i, s, r in rows if s or r or i == len(streams[k]) - 1 or rnd.random() < 0.5]
+    table = spark.createDataFrame(rows, "stream_id string, window_idx bigint, is_speech boolean, is_reset boolean")
+    got = collect(G.segment_activity_with_resets(table, o, block_windows=block))
+    want = {k: with_resets(f, resets[k], o) for k, f in streams.items()}
+    assert got.keys() == {k for k, v in want.items() if v}
+    for k, segments in got.items():
+        assert [(i, s, n, pytest.approx(t), why) for i, s, n, t, why in segments] == want[k], k
+
+
+def test_sessions_in_event_time(spark, tmp_path):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rnd = random.Random(2)
+    marks = {k: sorted(rnd.randrange(4000) for _ in range(60)) for k in "ab"} | {"c": [0, 60, 120, 181]}
+    rows = [(k, start + datetime.timedelta(seconds=s)) for k, own in marks.items() for s in own] + [("a", None)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "stream_id string, ts timestamp")
+    want = []
+    for k, own in marks.items():
+        runs = []
+        for s in own:
+            if runs and s - runs[-1][1] <= 60:
+                runs[-1][1], runs[-1][2] = s, runs[-1][2] + 1
+            else:
+                runs.append([s, s, 1])
+        want += [(k, a, b, n) for a, b, n in runs]
+    at = lambda t: int((t - start).total_seconds())
+    got = [(r.stream_id, at(r.first_ts), at(r.last_ts), r.marks) for r in G.activity_sessions(df, "60 seconds").collect()]
+    assert sorted(got) == sorted(want)
+    # As a stream: what the watermark has passed, which a late mark of a far time brings about.
+    far = [("z", start + datetime.timedelta(days=1))]
+    for n, some in enumerate((rows[:70], rows[70:], far, [("z", start + datetime.timedelta(days=2))])):
+        spark.createDataFrame(some, "stream_id string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/f{n}")
+    stream = spark.readStream.schema("stream_id string, ts timestamp").option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = (G.activity_sessions(stream, "60 seconds", watermark="2 hours").writeStream.outputMode("append").format("memory").queryName("sessions1")
+         .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
+    q.awaitTermination(240)
+    streamed = [(r.stream_id, at(r.first_ts), at(r.last_ts), r.marks) for r in spark.sql("select * from sessions1 where stream_id <> 'z'").collect()]
+    assert sorted(streamed) == sorted(want)

@@ -362,3 +362,17 @@ def test_live_state_and_clock_of_open_streams(spark, tmp_path):
         last = next(r for r in batch if r.stream_id == s and r.window_idx == len(f) - 1)
         assert (got[s].window_idx, got[s].in_speech, got[s].segment_seconds) == (last.window_idx, last.in_speech, last.segment_seconds)
         assert got[s].clock_s == len(f) * 512 / 16000
+
+
+def test_resets_in_a_stream(spark, tmp_path):
+    from tests.test_segmentation import with_resets
+
+    rnd = random.Random(23)
+    o = SegmentOptions(min_speech_s=0.2, soft_limit_s=0.6, hard_limit_s=1.37, min_silence_ms=200, look_back_s=0.1)
+    flags = random_case(rnd)[0][:300] + "S" * 40
+    resets = {0, 17, 18, 120, 299, 320}
+    rows = [("a", i, c == "S", False, i in resets) for i, c in enumerate(flags)]
+    mixed = [r for i in range(0, len(rows), 20) for r in rnd.sample(rows[i : i + 20], len(rows[i : i + 20]))]
+    got = replay(spark, tmp_path, [mixed[:130], mixed[130:], [("a", None, None, True, None)]], SCHEMA + ", is_reset boolean",
+                 lambda d: processors.segment_activity_stream(d, o), "reset1")
+    assert sorted((r.segment_idx, r.start_sample, r.n_samples) for r in got) == [x[:3] for x in with_resets(flags, resets, o)]

@@ -115,3 +115,26 @@ def test_script_and_cjk_spaces(spark):
     by_language = column(spark, [("你 好", "zh"), ("你 好", "en"), ("你 好", None)],
                          X.strip_cjk_spaces(F.col("t"), F.col("l")), "t string, l string")
     assert by_language == ["你好", "你 好", "你 好"]
+
+
+def test_character_bound_loses_no_near_duplicate(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    from voxframe.functions import text as T
+
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(400):
+        a = "".join(rnd.choice("abcdé 😀") for _ in range(rnd.randint(0, 40)))
+        b = "".join(c if rnd.random() < 0.93 else rnd.choice("xyz") for c in a) if rnd.random() < 0.7 else a[::-1]
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", T.shared_characters(F.col("a"), F.col("b")).alias("n"), T.may_be_near_duplicate(F.col("a"), F.col("b")).alias("may")).collect()
+    for r in got:
+        quick = SequenceMatcher(None, r.a, r.b).quick_ratio()
+        assert 2 * r.n == round(quick * (len(r.a) + len(r.b))) or not (r.a and r.b)
+        if r.a and r.b:
+            assert r.may == (quick >= T.NEAR_DUPLICATE_RATIO or r.a == r.b)

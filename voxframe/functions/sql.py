@@ -1,7 +1,7 @@
 """The functions under SQL names, for ``spark.sql`` users.
 
-All but two are SQL functions, which the planner inlines as native expressions. The two
-that need Python are vectorized.
+They are SQL functions, which the planner inlines as native expressions. Two need Python behind a native gate: only pairs that can reach the
+ratio, and lines that are long enough, travel to it, in batches.
 """
 
 from __future__ import annotations
@@ -60,22 +60,41 @@ FUNCTIONS = {
         "transform(samples, x -> cast(greatest(-1F, least(1F, x)) * 32767F AS smallint))",
 }
 
+_A, _B = f"lower(btrim(a, {_WS}))", f"lower(btrim(b, {_WS}))"
+_SHARED = (f"aggregate(array_distinct(filter(split({_A}, ''), c -> c <> '')), 0, (n, c) -> n + least(length({_A}) - length(replace({_A}, c, '')), "
+           f"length({_B}) - length(replace({_B}, c, ''))))")
+# Equal texts need no ratio, and others only where lengths and shared characters allow it.
+_POSSIBLE = (f"CASE WHEN length({_A}) > 0 AND length({_B}) > 0 AND {_A} <> {_B} "
+             f"AND 2.0D * least(length({_A}), length({_B})) / (length({_A}) + length({_B})) >= {text.NEAR_DUPLICATE_RATIO}D "
+             f"THEN 2.0D * {_SHARED} / (length({_A}) + length({_B})) >= {text.NEAR_DUPLICATE_RATIO}D ELSE false END")
+GATED = {
+    "vf_is_near_duplicate(a STRING, b STRING) RETURNS BOOLEAN":
+        f"coalesce({_A} <> '' AND {_A} = {_B}, false) OR vf_reaches_ratio(IF({_POSSIBLE}, {_A}, NULL), IF({_POSSIBLE}, {_B}, NULL))",
+    "vf_clip_repetitions(line STRING) RETURNS STRUCT<text: STRING, patterns: ARRAY<STRING>>":
+        f"IF(length(line) >= {text.CLIP_MIN_TEXT_LEN}, vf_clip_long(IF(length(line) >= {text.CLIP_MIN_TEXT_LEN}, line, NULL)), "
+        "named_struct('text', line, 'patterns', cast(array() AS array<string>)))",
+}
+
 
 def register_functions(spark: SparkSession) -> list[str]:
     """Create the session's temporary functions and return their names."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
-    similar = text.similar_texts(text.NEAR_DUPLICATE_RATIO)
-
     @F.pandas_udf(T.BooleanType())
-    def near_duplicate(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y) for x, y in zip(a, b)], dtype="bool")
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        ratio = text.NEAR_DUPLICATE_RATIO
+        return pd.Series([x is not None and y is not None and text.reaches_ratio(x, y, ratio) for x, y in zip(a, b)], dtype="bool")
 
     @F.pandas_udf("text string, patterns array<string>")
     def clip(lines: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text.clip_text(t) for t in lines], columns=["text", "patterns"])
-
-    spark.udf.register("vf_is_near_duplicate", near_duplicate)
-    spark.udf.register("vf_clip_repetitions", clip)
-    return [head.split("(")[0] for head in FUNCTIONS] + ["vf_is_near_duplicate", "vf_clip_repetitions"]
+        out = [(t, []) for t in lines]
+        for i, (cut, pattern) in text.clip_texts(lines).items():
+            out[i] = cut, [pattern]
+        return pd.DataFrame(out, columns=["text", "patterns"])
+
+    spark.udf.register("vf_reaches_ratio", reaches)
+    spark.udf.register("vf_clip_long", clip)
+    for head, body in GATED.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    return [head.split("(")[0] for head in (*FUNCTIONS, *GATED)]

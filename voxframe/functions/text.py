@@ -71,9 +71,7 @@ def is_repetitive(text: Column) -> Column:
 
 
 def reaches_ratio(a: str, b: str, threshold: float) -> bool:
-    m = SequenceMatcher(None, a, b)
-    # quick_ratio is an upper bound of ratio, so it never loses a match.
-    return m.quick_ratio() >= threshold and m.ratio() >= threshold
+    return SequenceMatcher(None, a, b).ratio() >= threshold
 
 
 def similar_texts(threshold: float) -> Callable[[str | None, str | None], bool]:
@@ -81,7 +79,10 @@ def similar_texts(threshold: float) -> Callable[[str | None, str | None], bool]:
 
     def test(current, prior):
         a, b = (current or "").strip().lower(), (prior or "").strip().lower()
-        return bool(a and b) and (a == b or reaches_ratio(a, b, threshold))
+        if not (a and b):
+            return False
+        # quick_ratio is an upper bound of ratio, so it never loses a match.
+        return a == b or (SequenceMatcher(None, a, b).quick_ratio() >= threshold and reaches_ratio(a, b, threshold))
 
     return test
 
@@ -101,12 +102,23 @@ def folded(text: Column) -> Column:
     return F.lower(strip(text))
 
 
+def shared_characters(a: Column, b: Column) -> Column:
+    """Size of the multiset of characters that two texts share: no common blocks can have more."""
+
+    def count(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
+    return F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+
+
 def _tests(a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
-    """For folded texts: whether they are equal, and whether their lengths allow the ratio."""
+    """For folded texts: whether they are equal, and whether their lengths, then their characters, allow the ratio."""
     la, lb = F.length(a), F.length(b)
     filled = (la > 0) & (lb > 0)
     equal = F.coalesce(filled & (a == b), F.lit(False))
-    possible = filled & (2.0 * F.least(la, lb) / (la + lb) >= threshold) & (a != b)
+    near = filled & (2.0 * F.least(la, lb) / (la + lb) >= threshold) & (a != b)
+    possible = F.when(near, 2.0 * shared_characters(a, b) / (la + lb) >= threshold)
     return equal, F.coalesce(possible, F.lit(False))
 
 
@@ -128,7 +140,7 @@ def is_near_duplicate(
 ) -> Column:
     """Same text after strip and lower-casing, or a matching-block ratio of at least ``threshold``.
 
-    Equality and the length bound run in the JVM; only pairs that can still reach the
+    Equality and the bounds by length and by shared characters run in the JVM; only pairs that can still reach the
     threshold travel to Python (the others go as nulls). With ``threshold=1.0`` the
     ratio equals plain equality and no Python stage is planned.
     """
@@ -204,6 +216,16 @@ def _groups(texts, limit: int = CLIP_GROUP_CHARS):
     yield rows, chosen
 
 
+def clip_texts(texts) -> dict[int, tuple[str, str]]:
+    """Row -> (clipped text, pattern) of the texts of a batch that have a run to cut, by the default clipping."""
+    out = {}
+    for rows, chosen in _groups([t if t is not None and len(t) >= CLIP_MIN_TEXT_LEN else None for t in texts]):
+        for i, (period, start, end) in periodic_runs(chosen, CLIP_MIN_REPEATS, CLIP_MAX_PERIOD).items():
+            t = chosen[i]
+            out[rows[i]] = t[: start + period] + CLIP_PLACEHOLDER + t[end:], t[start : start + period]
+    return out
+
+
 def clip_text(text: str | None) -> tuple[str | None, list[str]]:
     """The default clipping of one Python string."""
     long_enough = [text] if text is not None and len(text) >= CLIP_MIN_TEXT_LEN else []

@@ -125,7 +125,8 @@ def resample_series(chunks: DataFrame, source_rate: int, target_rate: int) -> Da
 
     Positions are computed on one index per stream, so chunk borders cause no drift. Each
     chunk borrows the first sample of its successor, found by an equi-join on the position
-    where the chunk ends.
+    where the chunk ends. What a chunk has to know of the others is put together in narrow rows first, so
+    samples are shuffled once.
     """
     if source_rate == target_rate:
         return chunks.select("stream_id", "start_sample", "samples")
@@ -134,12 +135,10 @@ def resample_series(chunks: DataFrame, source_rate: int, target_rate: int) -> Da
     heads = full.select(
         "stream_id", F.col("start_sample").alias("_end"), F.col("samples")[0].alias("_next")
     )
-    totals = full.groupBy("stream_id").agg(F.max(start + F.size("samples")).alias("_n"))
-    padded = (
-        full.withColumn("_end", start + F.size("samples"))
-        .join(heads, ["stream_id", "_end"], "left")
-        .join(totals, "stream_id")
-    )
+    ends = full.select("stream_id", (start + F.size("samples")).alias("_end")).distinct()
+    totals = ends.groupBy("stream_id").agg(F.max("_end").alias("_n"))
+    edges = ends.join(heads, ["stream_id", "_end"], "left").join(totals, "stream_id")
+    padded = full.withColumn("_end", start + F.size("samples")).join(edges, ["stream_id", "_end"])
 
     def first_output(position: Column) -> Column:
         """Smallest output index whose source position is not before ``position``."""

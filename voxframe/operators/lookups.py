@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe import dims
 from voxframe.functions.text import strip
+from voxframe.session import materialize
 
 
 def with_limits(jobs: DataFrame) -> DataFrame:
@@ -119,18 +120,20 @@ def map_languages(jobs: DataFrame) -> DataFrame:
 
 
 def detokenize(tokens: DataFrame, vocab: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Text of each row of ``key, tokens``.
+    """Text of each row of ``key, tokens``; rows of one key stay apart.
 
     Ids outside the vocabulary and tokens of the form ``<...>`` are skipped; the rest are
-    joined as bytes, decoded with replacement, word marks become spaces.
+    joined as bytes, decoded with replacement, word marks become spaces. A null array has the empty text. The rows are numbered in a
+    table of their own, so that their tokens meet again by row, in one shuffle.
     """
     text_like = F.decode(F.col("token"), "ISO-8859-1")
     special = (F.octet_length("token") >= 2) & text_like.startswith("<") & text_like.endswith(">")
     known = vocab.filter(F.col("token").isNotNull() & ~special).select("token_id", F.hex("token").alias("_hex"))
-    placed = tokens.select(key, F.posexplode("tokens").alias("_pos", "token_id"))
-    joined = placed.join(known, "token_id").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_hex"))).alias("_t")
-    )
+    numbered = materialize(tokens.select(key, "tokens", F.monotonically_increasing_id().alias("_row")))
+    placed = numbered.select(key, "_row", F.posexplode_outer("tokens").alias("_pos", "token_id"))
+    texts = placed.join(known, "token_id", "left").groupBy("_row").agg(
+        F.first(key).alias(key),
+        F.array_sort(F.collect_list(F.when(F.col("_hex").isNotNull(), F.struct("_pos", "_hex")))).alias("_t"))
     data = F.unhex(F.array_join(F.transform("_t", lambda t: t["_hex"]), ""))
     text = strip(F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\u2581"), F.lit(" ")))
-    return tokens.select(key).join(joined, key, "left").select(key, F.coalesce(text, F.lit("")).alias("text"))
+    return texts.select(key, F.coalesce(text, F.lit("")).alias("text"))

@@ -33,11 +33,11 @@ from voxframe.session import materialize
 BLOCK = 32768
 # At most this many adjacent blocks of pure speech become one row.
 SOLID_BLOCKS = 1024
-# Rows per output batch of the per-window state.
+# Rows per output batch of the live state, each a stretch of windows.
 LIVE_ROWS = 20000
 
 # What the struct column ``options`` may have; what it has not, or null, is the default.
-OPTION_FIELDS = ("rate", "window", "min_speech_s", "soft_limit_s", "hard_limit_s", "min_silence_ms", "look_back_s")
+OPTION_FIELDS = ("rate", "window", "min_speech_s", "soft_limit_s", "hard_limit_s", "min_silence_ms", "look_back_s", "discard_open")
 # A soft limit that is null means none, so that the default has to be asked for by this value.
 DEFAULT_SOFT = -1.0
 
@@ -281,8 +281,41 @@ def _fold_blocks(options: SegmentOptions, block_windows: int):
     return run
 
 
+def _live_pieces(fold: SegmentFold, first: int, n: int, speech: bool):
+    """(first window, windows, in speech, samples behind the first one, samples more per window, idle) for a run: stretches in which
+    the state grows window by window."""
+    w, left = fold.o.window, n
+    while left:
+        if not speech and not fold.in_speech:
+            fold.feed(first, left, False)
+            yield first, left, False, 0, 0, True
+            return
+        base = transitions.entering(fold)[0]
+        if speech:
+            # As long as the hard limit is not reached.
+            taken = min(left, max(0, (fold.hard - base - 1) // w))
+            fold.feed(first, taken, True)
+        else:
+            taken = 0
+            while taken < left:
+                fold.feed(first + taken, 1, False)
+                if fold.out:
+                    break
+                taken += 1
+        if taken:
+            yield first, taken, True, base + w, w, False
+            first, left = first + taken, left - taken
+        if speech and left:
+            fold.feed(first, 1, True)
+        if left:
+            # The window at which something closed.
+            fold.out.clear()
+            yield first, 1, fold.in_speech, fold.speech + fold.silence, 0, False
+            first, left = first + 1, left - 1
+
+
 def _live_blocks(options: SegmentOptions, block_windows: int):
-    names = ["stream_id", "window_idx", "in_speech", "segment_seconds", "pending_window_s"]
+    names = ["stream_id", "first", "n", "in_speech", "samples", "step", "idle", "rate", "window"]
 
     def run(batches):
         for pdf in batches:
@@ -291,18 +324,12 @@ def _live_blocks(options: SegmentOptions, block_windows: int):
                 own = row_options(row.options, options)
                 fold = SegmentFold(own, _state_of(row.entry))
                 fold.feed(row.prev_end, row.first - row.prev_end, False)
-                for first, n, speech in _runs(
-                    row.first, row.end, np.asarray(row.offsets, dtype=np.int64), block_windows
-                ):
-                    for i in range(first, first + n):
-                        idle = not fold.in_speech and not speech
-                        fold.feed(i, 1, speech)
-                        fold.out.clear()
-                        rows.append((row.stream_id, i, fold.in_speech, fold.seconds,
-                                     own.window_s if idle else np.nan))
-                        if len(rows) >= LIVE_ROWS:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
+                fold.out.clear()
+                for part in _runs(row.first, row.end, np.asarray(row.offsets, dtype=np.int64), block_windows):
+                    rows += [(row.stream_id, *piece, own.rate, own.window) for piece in _live_pieces(fold, *part)]
+                    if len(rows) >= LIVE_ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -398,6 +425,42 @@ def segment_activity(
     )
 
 
+def segment_activity_with_resets(
+    windows: DataFrame, options: SegmentOptions | None = None, block_windows: int = BLOCK, **named
+) -> DataFrame:
+    """Segments of streams with control rows: before a window with ``is_reset`` the detector forgets everything.
+
+    An open segment is discarded there, look-back and silence start anew; numbering and positions go on. Each stretch
+    between resets is a stream of its own for ``segment_activity``, so resets cost one value carried along the windows. A control row may
+    stand for a window (``is_speech`` true or false) or for none (null); it counts as one that is not speech then.
+    """
+    options = options or SegmentOptions(**named)
+    w = options.window
+    marked = windows.select("stream_id", "window_idx", F.coalesce("is_speech", F.lit(False)).alias("is_speech"),
+                            F.when(F.col("is_reset"), F.col("window_idx")).alias("_reset"))
+    placed = materialize(carry_forward(marked, "stream_id", "window_idx", {"_reset": "_before"}).select(
+        "stream_id", "window_idx", "is_speech", F.coalesce("_reset", "_before", F.lit(0).cast("long")).alias("origin"), "_reset",
+        F.coalesce("_before", F.lit(0).cast("long")).alias("_before")))
+    # The windows up to a reset belong to the stretch before it, those without a row too.
+    ends = placed.filter("_reset is not null and _reset > _before").select(
+        "stream_id", (F.col("_reset") - 1).alias("window_idx"), F.lit(False).alias("is_speech"), F.col("_before").alias("origin"))
+    last = placed.groupBy("stream_id").agg(F.max("origin").alias("_last"))
+    stretches = placed.select("stream_id", "window_idx", "is_speech", "origin").unionByName(ends).join(last, "stream_id")
+    key = F.struct("stream_id", "origin")
+    cut = segment_activity(stretches.select(
+        key.alias("stream_id"), (F.col("window_idx") - F.col("origin")).alias("window_idx"), "is_speech",
+        F.struct((F.col("origin") < F.col("_last")).alias("discard_open")).alias("options")), options, block_windows)
+    own = cut.select("stream_id.*", "segment_idx", "start_sample", "n_samples", "start_s", "duration_s", "end_reason")
+    counts = own.groupBy("stream_id", "origin").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("stream_id").orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("stream_id", "origin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
+    return own.join(before, ["stream_id", "origin"]).select(
+        "stream_id", (F.col("_earlier") + F.col("segment_idx")).alias("segment_idx"),
+        (F.col("origin") * w + F.col("start_sample")).alias("start_sample"), "n_samples",
+        # In whole samples, as one division.
+        ((F.col("origin") * w + F.rint(F.col("start_s") * options.rate)) / options.rate).alias("start_s"), "duration_s", "end_reason")
+
+
 def segment_activity_with_scorer(
     windows: DataFrame, scorer, options: SegmentOptions | None = None, threshold: float = 0.5, **named
 ) -> DataFrame:
@@ -458,18 +521,20 @@ def segment_activity_with_scorer(
 def live_state(
     windows: DataFrame, options: SegmentOptions | None = None, block_windows: int = BLOCK, **named
 ) -> DataFrame:
-    """Detector state after each window.
+    """Detector state after each window. Tasks tell stretches in which it grows evenly; windows are made of them natively.
 
     ``pending_window_s`` is one window while idle and null otherwise, as the historic
     counter kept it; ``gap_metrics`` gives the true length of a pause.
     """
     options = options or SegmentOptions(**named)
     stream_type = windows.schema["stream_id"].dataType.simpleString()
-    return _linked_blocks(windows, options, block_windows).mapInPandas(
+    pieces = _linked_blocks(windows, options, block_windows).mapInPandas(
         _live_blocks(options, block_windows),
-        f"stream_id {stream_type}, window_idx bigint, in_speech boolean, segment_seconds double, "
-        "pending_window_s double",
-    ).withColumn("pending_window_s", F.nanvl("pending_window_s", F.lit(None).cast("double")))
+        f"stream_id {stream_type}, first bigint, n bigint, in_speech boolean, samples bigint, step bigint, idle boolean, rate int, window int")
+    return pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(
+        "stream_id", (F.col("first") + F.col("i")).alias("window_idx"), "in_speech",
+        ((F.col("samples") + F.col("i") * F.col("step")) / F.col("rate")).alias("segment_seconds"),
+        F.when(F.col("idle"), F.col("window") / F.col("rate")).alias("pending_window_s"))
 
 
 def activity_runs(
@@ -515,6 +580,26 @@ def activity_runs(
     )
 
 
+def activity_sessions(
+    marks: DataFrame, gap: str, key: str = "stream_id", ts: str = "ts", watermark: str | None = None
+) -> DataFrame:
+    """Runs of activity in event time: per key, marks at most ``gap`` apart, as ``session_window`` joins them.
+
+    ``marks`` has one row per moment of activity. The form of ``activity_runs`` for rows that have a time and no number: batch, or a
+    stream with ``watermark`` (a delay such as "10 minutes"), where a run comes out when the watermark has passed its end. A run is
+    summed up per task before it travels; marks without a time belong to none.
+    """
+    rows = marks.filter(F.col(ts).isNotNull())
+    if watermark is not None:
+        rows = rows.withWatermark(ts, watermark)
+    return (
+        rows.groupBy(F.col(key), F.session_window(F.col(ts), gap).alias("_session"))
+        .agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("marks"))
+        .select(key, "first_ts", "last_ts", "marks",
+                (F.timestamp_diff("MICROSECOND", "first_ts", "last_ts") / 1_000_000).alias("duration_s"))
+    )
+
+
 def segment_counts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("stream_id").agg(
         F.count(F.lit(1)).alias("segments"), F.sum("duration_s").alias("speech_s")

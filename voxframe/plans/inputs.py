@@ -56,15 +56,29 @@ HEADER_COLUMNS = [
 ]
 
 
+#: What resets the detector in the query on control rows.
+RESET_EVENT = "signup"
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events in time order as the windows of a stream, ``value`` in percent as score."""
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return event_controls(spark, sf_dir).drop("is_reset")
+
+
+def event_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with a control flag."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
     return index_rows(events, "user_id", ["ts", "event_id"], "window_idx").select(
         F.col("user_id").alias("stream_id"), "window_idx", (F.col("value") / 100).alias("speech_prob"),
-        flag_speech(F.col("value") / 100, EVENT_THRESHOLD).alias("is_speech"),
+        flag_speech(F.col("value") / 100, EVENT_THRESHOLD).alias("is_speech"), (F.col("event_type") == RESET_EVENT).alias("is_reset"),
     )
 
 
+def event_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments of a user's events that count as activity."""
+    return table(spark, sf_dir, "events").filter(F.col("value") / 100 > EVENT_THRESHOLD).select(F.col("user_id").alias("stream_id"), "ts")
+
+
 # The lines of orders as streams without pauses; a third of all rows is one stream.
 LINE_STREAM = "CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 20 END"
 LINE_FLAG = "l_linenumber % 2 = 1"

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from voxframe import dims
-from voxframe.functions.text import CJK_WIDE_CLASS, IDEOGRAPH_CLASS, WHITESPACE_CHARS
-from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS, LINE_FLAG, LINE_LOUD, LINE_STREAM
-from voxframe.plans.queries import SCRIPT_SOURCE, SCRIPT_TARGET
+from voxframe.functions.text import CJK_WIDE_CLASS, IDEOGRAPH_CLASS, NEAR_DUPLICATE_RATIO, WHITESPACE_CHARS
+from voxframe.plans.inputs import HEADER_COLUMNS, JOB_COLUMNS, LINE_FLAG, LINE_LOUD, LINE_STREAM, RESET_EVENT
+from voxframe.plans.queries import SCRIPT_SOURCE, SCRIPT_TARGET, SESSION_GAP_S
 
 
 def _quoted(value: str) -> str:
@@ -32,6 +32,81 @@ def _same(a: str, b: str) -> str:
     return f"({_strip(a)} <> '' AND {_strip(b)} <> '' AND lower({_strip(a)}) = lower({_strip(b)}))"
 
 
+def _near(a: str, b: str) -> str:
+    """Near duplicates, with the table ``near_pairs`` of folded pairs that reach the ratio."""
+    return f"({_same(a, b)} OR (lower({_strip(a)}), lower({_strip(b)})) IN (SELECT a, b FROM near_pairs))"
+
+
+def _similar(pairs: str) -> str:
+    """CTEs up to ``near_pairs``: the folded (a, b) of ``pairs`` whose matching blocks reach the ratio.
+
+    Longest common block first, then left and right of it, each in its part of both texts. Characters that a long second text is full
+    of start no block, but blocks grow over them. Pairs without enough characters in common are left out before.
+    """
+    fold = "lower(trim({x}, " + SPACE + "))"
+    return f"""
+cand AS (
+  SELECT DISTINCT {fold.format(x="p")} AS a, {fold.format(x="q")} AS b FROM ({pairs})
+),
+kept AS (
+  SELECT row_number() OVER () AS id, a, b, string_split(a, '') AS x, string_split(b, '') AS y, length(a) AS la, length(b) AS lb
+  FROM cand
+  WHERE a <> '' AND b <> '' AND a <> b AND 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= {NEAR_DUPLICATE_RATIO}
+    AND 2.0 * list_sum([least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))
+                        for c in list_distinct(string_split(a, ''))]) / (length(a) + length(b)) >= {NEAR_DUPLICATE_RATIO}
+),
+left_at AS (SELECT id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM kept),
+right_at AS (SELECT id, lb, unnest(y) AS c, generate_subscripts(y, 1) AS j FROM kept),
+rare AS (
+  SELECT id, c, j FROM (SELECT *, count(*) OVER (PARTITION BY id, c) AS n FROM right_at) WHERE lb < 200 OR n <= lb // 100 + 1
+),
+cells AS (
+  SELECT id, i, j, row_number() OVER (PARTITION BY id, i - j, g ORDER BY i) AS k
+  FROM (
+    SELECT l.id, i, j, i - row_number() OVER (PARTITION BY l.id, i - j ORDER BY i) AS g
+    FROM left_at l JOIN rare r ON r.id = l.id AND r.c = l.c
+  )
+),
+blocks AS (
+  SELECT id, CAST(1 AS BIGINT) AS ia, CAST(la AS BIGINT) AS ib, CAST(1 AS BIGINT) AS ja, CAST(lb AS BIGINT) AS jb, CAST(NULL AS BIGINT) AS n FROM kept
+  UNION ALL
+  SELECT id, part.ia, part.ib, part.ja, part.jb, part.n
+  FROM (
+    SELECT id, unnest([
+      {{'ia': ia, 'ib': ib, 'ja': ja, 'jb': jb, 'n': size}},
+      {{'ia': ia, 'ib': i - 1, 'ja': ja, 'jb': j - 1, 'n': NULL}},
+      {{'ia': i + size, 'ib': ib, 'ja': j + size, 'jb': jb, 'n': NULL}}]) AS part
+    FROM (
+      -- The block, grown to both sides over equal characters.
+      SELECT id, ia, ib, ja, jb, i - back AS i, j - back AS j, size + back + ahead AS size
+      FROM (
+        SELECT *,
+          CASE WHEN size = 0 THEN 0 ELSE coalesce(list_position(
+            [x[i - t] <> y[j - t] for t in range(1, least(i - ia, j - ja) + 1)], true) - 1, least(i - ia, j - ja)) END AS back,
+          coalesce(list_position([x[i + size + t] <> y[j + size + t] for t in range(0, least(ib - i - size, jb - j - size) + 1)], true) - 1,
+            least(ib - i - size, jb - j - size) + 1) AS ahead
+        FROM (
+          SELECT id, ia, ib, ja, jb, coalesce(-best.minus, 0) AS size, coalesce(best.i + best.minus + 1, ia) AS i,
+                 coalesce(best.j + best.minus + 1, ja) AS j
+          FROM (
+            SELECT r.id, r.ia, r.ib, r.ja, r.jb,
+              min({{'minus': -least(k, c.i - r.ia + 1, c.j - r.ja + 1), 'i': c.i, 'j': c.j}}) AS best
+            FROM blocks r LEFT JOIN cells c ON c.id = r.id AND c.i BETWEEN r.ia AND r.ib AND c.j BETWEEN r.ja AND r.jb
+            WHERE r.n IS NULL
+            GROUP BY r.id, r.ia, r.ib, r.ja, r.jb
+          )
+        ) JOIN (SELECT id AS kid, x, y FROM kept) ON kid = id
+      )
+    ) WHERE size > 0
+  )
+  WHERE part.n IS NOT NULL OR (part.ia <= part.ib AND part.ja <= part.jb)
+),
+near_pairs AS (
+  SELECT a, b FROM kept JOIN (SELECT id, sum(n) AS m FROM blocks WHERE n IS NOT NULL GROUP BY id) USING (id)
+  WHERE 2.0 * m / (la + lb) >= {NEAR_DUPLICATE_RATIO}
+)"""
+
+
 def _fmt(ms: str) -> str:
     return (f"printf('%02d:%02d:%02d.%03d', {ms} // 3600000, {ms} % 3600000 // 60000, "
             f"{ms} % 60000 // 1000, {ms} % 1000)")
@@ -58,8 +133,24 @@ w AS (
 )"""
 
 
-def _machine(lowest: int, soft: int, hard: int, silence: int, back: int, windows: str = WINDOWS) -> str:
+CONTROLS = f"""
+w AS (
+  SELECT user_id AS stream_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS window_idx,
+         value / 100 > 0.4 AS is_speech, event_type = {_quoted(RESET_EVENT)} AS is_reset
+  FROM events
+)"""
+
+
+def _machine(lowest: int, soft: int, hard: int, silence: int, back: int, windows: str = WINDOWS, resets: bool = False) -> str:
     """The state machine window by window; all lengths in windows."""
+    joined = "step q JOIN w ON w.stream_id = q.stream_id AND w.window_idx = q.idx + 1"
+    if resets:
+        # A reset clears the state that comes in.
+        joined = f"""(
+          SELECT q.stream_id, q.idx, w.is_speech, q.act AND NOT is_reset AS act, CASE WHEN is_reset THEN 0 ELSE q.s END AS s,
+            CASE WHEN is_reset THEN 0 ELSE q.z END AS z, CASE WHEN is_reset THEN 0 ELSE q.back END AS back, q.start
+          FROM {joined}) q"""
     return f"""
 RECURSIVE {windows.strip()},
 step AS (
@@ -76,16 +167,16 @@ step AS (
       act AND (s + z >= {hard} OR (z > 0 AND z >= eff)) AS emits,
       CASE WHEN s + z >= {hard} THEN 'hard_limit' ELSE 'silence' END AS why
     FROM (
-      SELECT q.stream_id, q.idx + 1 AS idx, q.act OR w.is_speech AS act,
-        CASE WHEN NOT q.act AND NOT w.is_speech THEN 0
+      SELECT q.stream_id, q.idx + 1 AS idx, q.act OR is_speech AS act,
+        CASE WHEN NOT q.act AND NOT is_speech THEN 0
              WHEN NOT q.act THEN q.back + 1
-             WHEN w.is_speech OR q.s + q.z < {lowest} THEN q.s + q.z + 1 ELSE q.s END AS s,
-        CASE WHEN q.act AND NOT w.is_speech AND q.s + q.z >= {lowest} THEN q.z + 1 ELSE 0 END AS z,
-        CASE WHEN q.act OR w.is_speech THEN 0 ELSE least({back}, q.back + 1) END AS back,
-        CASE WHEN NOT q.act AND w.is_speech THEN q.idx + 1 - q.back ELSE q.start END AS start,
+             WHEN is_speech OR q.s + q.z < {lowest} THEN q.s + q.z + 1 ELSE q.s END AS s,
+        CASE WHEN q.act AND NOT is_speech AND q.s + q.z >= {lowest} THEN q.z + 1 ELSE 0 END AS z,
+        CASE WHEN q.act OR is_speech THEN 0 ELSE least({back}, q.back + 1) END AS back,
+        CASE WHEN NOT q.act AND is_speech THEN q.idx + 1 - q.back ELSE q.start END AS start,
         CASE WHEN q.s + q.z > {soft} THEN 1 ELSE {silence} END AS eff,
-        NOT q.act AND NOT w.is_speech AS idle_silent
-      FROM step q JOIN w ON w.stream_id = q.stream_id AND w.window_idx = q.idx + 1
+        NOT q.act AND NOT is_speech AS idle_silent
+      FROM {joined}
     )
   )
 ),
@@ -106,6 +197,7 @@ segments AS (
 MACHINE = _machine(3, 10, 16, 2, 2)
 # Defaults: 3 s = 93.75 windows, 60 s, an hour, 2 s = 62.5 windows, 0.5 s = 15 windows.
 MACHINE_DEFAULT = _machine(94, 1875, 112500, 63, 15)
+MACHINE_RESETS = _machine(3, 10, 16, 2, 2, CONTROLS, resets=True)
 MACHINE_LINES = _machine(3, 40, 100, 4, 2, LINE_WINDOWS)
 
 SAMPLES = """
@@ -177,7 +269,7 @@ chunks AS (
   )
 )"""
 _BY_STREAM = "OVER (PARTITION BY stream_id ORDER BY segment_idx)"
-STATE = CHUNKS + f""",
+STATES = CHUNKS + f""",
 joined AS (
   SELECT stream_id, segment_idx, string_agg(text, ' ' ORDER BY chunk_idx) AS line,
          {_strip("arg_max(text, chunk_idx)")} AS last_chunk
@@ -187,17 +279,22 @@ state AS (
   SELECT *, coalesce(lag({_strip("line")}) {_BY_STREAM}, '') AS prior_line,
          coalesce(lag(last_chunk) {_BY_STREAM}, '') AS prior_last_chunk
   FROM joined
-),
-prompted AS (
+)"""
+
+
+def _prompted(near) -> str:
+    return f"""prompted AS (
   SELECT *, coalesce(lag(ctx) {_BY_STREAM}, '') AS prompt
   FROM (
-    SELECT *, CASE WHEN {_few_distinct(_words("line"))} OR {_same("line", "prior_line")} THEN ''
+    SELECT *, CASE WHEN {_few_distinct(_words("line"))} OR {near("line", "prior_line")} THEN ''
               ELSE {_strip("line")} END AS ctx
     FROM state
   )
 )"""
-PLANS = STATE + f""",
-plans AS (
+
+
+def _planned(near) -> str:
+    return f"""plans AS (
   SELECT stream_id, segment_idx, min(chunk_idx) AS repeat_idx, min(t0) AS trim_start_s,
          CAST(floor(min(t0) * 16000) AS BIGINT) AS trim_start_samples
   FROM (
@@ -205,10 +302,19 @@ plans AS (
       coalesce(lag(c.text) OVER (PARTITION BY c.stream_id, c.segment_idx ORDER BY chunk_idx), prior_last_chunk) AS before
     FROM chunks c JOIN prompted p ON c.stream_id = p.stream_id AND c.segment_idx = p.segment_idx
   )
-  WHERE {_same("text", "before")}
+  WHERE {near("text", "before")}
   GROUP BY stream_id, segment_idx, prompt
   HAVING min(chunk_idx) >= 1 OR prompt <> ''
 )"""
+
+
+STATE = STATES + ",\n" + _prompted(_same)
+PLANS = STATE + ",\n" + _planned(_same)
+_LINE_PAIRS = "SELECT line AS p, prior_line AS q FROM state"
+_CHUNK_PAIRS = """SELECT c.text AS p, coalesce(lag(c.text) OVER (PARTITION BY c.stream_id, c.segment_idx ORDER BY chunk_idx), prior_last_chunk) AS q
+  FROM chunks c JOIN state s ON c.stream_id = s.stream_id AND c.segment_idx = s.segment_idx"""
+STATE_NEAR = STATES + "," + _similar(_LINE_PAIRS) + ",\n" + _prompted(_near)
+PLANS_NEAR = STATES + "," + _similar(f"{_LINE_PAIRS} UNION ALL {_CHUNK_PAIRS}") + ",\n" + _prompted(_near) + ",\n" + _planned(_near)
 SPLICED = PLANS + """,
 spliced AS (
   SELECT c.stream_id, c.segment_idx, c.chunk_idx,
@@ -391,6 +497,14 @@ ORACLES: dict[str, str] = {
     "activity_segments": f"WITH {MACHINE} SELECT * FROM segments",
     "activity_segments_default": f"WITH {MACHINE_DEFAULT} SELECT * FROM segments",
     "activity_segments_unpaused": f"WITH {MACHINE_LINES} SELECT * FROM segments",
+    "activity_segments_resets": f"WITH {MACHINE_RESETS} SELECT * FROM segments",
+    "activity_sessions": f"""
+        WITH marks AS (SELECT user_id AS stream_id, ts, epoch_us(ts) AS us FROM events WHERE value / 100 > 0.4),
+        runs AS (
+          SELECT *, sum(CASE WHEN gap > {SESSION_GAP_S * 1000000} THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY us) AS run
+          FROM (SELECT *, us - lag(us) OVER (PARTITION BY stream_id ORDER BY us) AS gap FROM marks))
+        SELECT stream_id, min(us) AS first_us, max(us) AS last_us, count(*) AS marks, round((max(us) - min(us)) / 1000000, 6) AS duration_s
+        FROM runs GROUP BY stream_id, run""",
     "live_state": f"""WITH {MACHINE}
         SELECT stream_id, idx AS window_idx, act AS in_speech,
                round(CASE WHEN act THEN s + z ELSE 0 END * 512 / 16000, 6) AS segment_seconds,
@@ -517,6 +631,15 @@ ORACLES: dict[str, str] = {
           coalesce(last_value(last_chunk IGNORE NULLS) OVER before, '') AS prior_last_chunk
         FROM lines l LEFT JOIN joined j ON j.stream_id = l.stream_id AND j.segment_idx = l.segment_idx
         WINDOW before AS (PARTITION BY l.stream_id ORDER BY l.segment_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "conditioning_prompts": f"WITH RECURSIVE {STATE_NEAR} SELECT stream_id, segment_idx, prior_line, prompt FROM prompted",
+    "retry_plan_single": f"""WITH RECURSIVE {STATE_NEAR} SELECT stream_id, segment_idx, line, prior_line, prompt
+        FROM prompted WHERE prompt <> '' AND {_near("line", "prior_line")}""",
+    "retry_plan_chunks": f"WITH RECURSIVE {PLANS_NEAR} SELECT * FROM plans",
+    "near_dup_lines": f"""WITH RECURSIVE {LINES}, p AS (
+          SELECT stream_id, segment_idx, text AS line,
+                 coalesce(lag({_strip("text")}) {_BY_STREAM}, '') AS prior_line FROM lines),
+        {_similar("SELECT line AS p, prior_line AS q FROM p")}
+        SELECT * FROM p WHERE {_near("line", "prior_line")}""",
     "conditioning_prompts_equal": f"WITH {STATE} SELECT stream_id, segment_idx, prior_line, prompt FROM prompted",
     "retry_plan_single_equal": f"""WITH {STATE} SELECT stream_id, segment_idx, line, prior_line, prompt
         FROM prompted WHERE prompt <> '' AND {_same("line", "prior_line")}""",

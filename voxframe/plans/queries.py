@@ -69,6 +69,22 @@ def activity_runs(spark, sf_dir):
     return segmentation.activity_runs(inputs.event_windows(spark, sf_dir), max_gap_windows=2)
 
 
+@query
+def activity_segments_resets(spark, sf_dir):
+    return segmentation.segment_activity_with_resets(inputs.event_controls(spark, sf_dir), EVENT_OPTIONS)
+
+
+#: Activity in event time: events at most six hours apart are one run.
+SESSION_GAP_S = 21600
+
+
+@query
+def activity_sessions(spark, sf_dir):
+    return segmentation.activity_sessions(inputs.event_marks(spark, sf_dir), f"{SESSION_GAP_S} seconds").select(
+        "stream_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(n) for c, n in (("first_ts", "first_us"), ("last_ts", "last_us"))], "marks",
+        F.round("duration_s", 6).alias("duration_s"))
+
+
 @query
 def segment_gaps(spark, sf_dir):
     return segmentation.gap_metrics(activity_segments(spark, sf_dir))

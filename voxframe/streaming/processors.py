@@ -72,7 +72,7 @@ class SegmentProcessor(_Timed):
 
     def open(self, handle) -> None:
         self.head = handle.getValueState("head", _HEAD, self.ttl_ms)
-        self.waiting = self.map_state("waiting", "block bigint", "present binary, speech binary")
+        self.waiting = self.map_state("waiting", "block bigint", "present binary, speech binary, reset binary")
 
     # --- state --------------------------------------------------------------------------
 
@@ -81,35 +81,37 @@ class SegmentProcessor(_Timed):
         n = len(STATE_FIELDS)
         self.fold = SegmentFold(self.options, values[:n])
         self.next, self.last, self.segments, self.late, self.hole_at, self.idle_at = values[n:]
-        self.blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # Per block, by window: whether it waits, whether it is speech, whether the detector is reset before it.
+        self.blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def _store(self) -> None:
-        for block, (present, speech) in self.blocks.items():
-            if present.any():
-                self.waiting.updateValue((block,), (np.packbits(present).tobytes(), np.packbits(speech).tobytes()))
+        for block, planes in self.blocks.items():
+            if planes[0].any():
+                self.waiting.updateValue((block,), tuple(np.packbits(x).tobytes() for x in planes))
             elif self.waiting.containsKey((block,)):
                 self.waiting.removeKey((block,))
         self.head.update((*self.fold.state(), self.next, self.last, self.segments, self.late, self.hole_at, self.idle_at))
         if self.hole_timeout_ms is not None or self.idle_timeout_ms is not None:
             self.set_timers(self.hole_at, self.idle_at)
 
-    def _block(self, block: int, create: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    def _block(self, block: int, create: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         if block not in self.blocks:
             if self.waiting.containsKey((block,)):
                 self.blocks[block] = tuple(
                     np.unpackbits(np.frombuffer(bytes(x), np.uint8)).astype(bool) for x in self.waiting.getValue((block,)))
             elif create:
-                self.blocks[block] = np.zeros(WAITING_BLOCK, bool), np.zeros(WAITING_BLOCK, bool)
+                self.blocks[block] = tuple(np.zeros(WAITING_BLOCK, bool) for _ in range(3))
         return self.blocks.get(block)
 
-    def _put(self, index: np.ndarray, speech: np.ndarray) -> None:
+    def _put(self, index: np.ndarray, speech: np.ndarray, reset: np.ndarray) -> None:
         blocks = index // WAITING_BLOCK
         for block in np.unique(blocks).tolist():
             own = blocks == block
-            present, flags = self._block(block, create=True)
+            present, flags, resets = self._block(block, create=True)
             at = index[own] % WAITING_BLOCK
             present[at] = True
             flags[at] = speech[own]
+            resets[at] = reset[own]
 
     def _first_waiting(self) -> int | None:
         """The first window that waits at or behind the position."""
@@ -130,14 +132,17 @@ class SegmentProcessor(_Timed):
             offset = self.next % WAITING_BLOCK
             if found is None or not found[0][offset]:
                 return
-            present, speech = found
+            present, speech, reset = found
             gaps = np.flatnonzero(~present[offset:])
             end = offset + int(gaps[0]) if len(gaps) else WAITING_BLOCK
-            cuts = np.flatnonzero(np.diff(speech[offset:end])) + offset + 1
+            turns = np.diff(speech[offset:end]) | reset[offset + 1 : end]
+            cuts = np.flatnonzero(turns) + offset + 1
             for a, b in zip([offset, *cuts], [*cuts, end], strict=True):
+                if reset[a]:
+                    self.fold.clear()
                 self.fold.feed(self.next, int(b - a), bool(speech[a]))
                 self.next += int(b - a)
-            present[offset:end] = False
+            present[offset:end] = reset[offset:end] = False
 
     def _drain(self, everything: bool, pass_hole: bool = False) -> None:
         while True:
@@ -180,12 +185,13 @@ class SegmentProcessor(_Timed):
             end = pdf["is_end"].fillna(False).to_numpy(bool)
             ended |= bool(end.any())
             index = pdf["window_idx"].to_numpy()[~end].astype(np.int64)
-            speech = pdf["is_speech"].to_numpy()[~end].astype(bool)
+            speech = pdf["is_speech"].fillna(False).to_numpy()[~end].astype(bool)
+            reset = pdf["is_reset"].fillna(False).to_numpy()[~end].astype(bool) if "is_reset" in pdf else np.zeros(len(index), bool)
             behind = index < self.next
             self.late += int(behind.sum())
             late += index[behind].tolist()
             if len(index) > behind.sum():
-                self._put(index[~behind], speech[~behind])
+                self._put(index[~behind], speech[~behind], reset[~behind])
                 self.last = max(self.last, int(index.max()))
         before = self.next
         self._drain(ended)
@@ -235,7 +241,7 @@ def segment_activity_stream(
 ) -> DataFrame:
     """Segments of a stream of ``stream_id, window_idx, is_speech, is_end`` rows, as they close.
 
-    With ``late_rows`` each late window is a row of its own: ``late_window_idx`` and no segment.
+    Before a window with ``is_reset`` (if there is such a column) the detector forgets everything, an open segment too. With ``late_rows`` each late window is a row of its own: ``late_window_idx`` and no segment.
     """
     options = options or SegmentOptions(**named)
     stream_type = windows.schema["stream_id"].dataType.simpleString()
