@@ -65,7 +65,7 @@ def _chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about GROUP_BYTES of text each."""
-    to = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(batch):
         base = int(to[first - 1]) if first else 0
@@ -117,33 +117,38 @@ def _document_counts(vocabulary: dict[str, int]):
                 for x in sparse_counts(batch.column(0), vocabulary):
                     for t, _ in x:
                         sums[t] += 1
+            pa.default_memory_pool().release_unused()
         sums[-1] = rows
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.int64())], ["term", "n"])
     return run
 
 
-def _score_rows(vocabulary: dict[str, int], shared, k: int, remember: int = 5_000):
-    """Rows with the text as last column -> rows with score and evidence in its place; equal vectors are searched once."""
+def _score_rows(vocabulary: dict[str, int], shared, k: int, at: int, remember: int = 5_000):
+    """Rows with the text as column ``at`` -> the same rows with score and evidence; equal vectors are searched once."""
+    def scored(whole: pa.RecordBatch, index, seen: dict) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(whole, at):
+            rows = []
+            for x in sparse_counts(pc.fill_null(batch.column(at), ""), vocabulary):
+                if x not in seen:
+                    if len(seen) >= remember:
+                        seen.clear()
+                    score, found = index.score([t for t, _ in x], [n for _, n in x], k)
+                    seen[x] = score, index.ids[np.array([i for _, i in found], np.int64)], np.array([c for c, _ in found], np.float64)
+                rows.append(seen[x])
+            ends = np.cumsum([0, *(len(ids) for _, ids, _ in rows)])
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([ids for _, ids, _ in rows])), pa.array(np.concatenate([c for _, _, c in rows]))], ["doc_id", "cosine"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([s for s, _, _ in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                [*batch.schema.names, "score", "evidence"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, seen = shared.value, {}
         for whole in batches:
-            last = whole.num_columns - 1
-            for batch in _slices(whole, last):
-                rows = []
-                for x in sparse_counts(batch.column(last), vocabulary):
-                    if x not in seen:
-                        if len(seen) >= remember:
-                            seen.clear()
-                        score, found = index.score([t for t, _ in x], [n for _, n in x], k)
-                        seen[x] = score, index.ids[np.array([at for _, at in found], np.int64)], np.array([c for c, _ in found], np.float64)
-                    rows.append(seen[x])
-                ends = np.cumsum([0, *(len(ids) for _, ids, _ in rows)])
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([ids for _, ids, _ in rows])), pa.array(np.concatenate([c for _, _, c in rows]))], ["doc_id", "cosine"])
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:last], pa.array([s for s, _, _ in rows], pa.float64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
-                    [*batch.schema.names[:last], "score", "evidence"])
+            yield from scored(whole, index, seen)
+            # What the allocator keeps of a batch counts against the executor.
+            del whole
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -321,11 +326,12 @@ def score_toxicity(
         [r._id for r in examples], [r.terms for r in examples], [r.counts for r in examples], [r.toxic for r in examples],
         [totals.get(r.toxic, 0) / seen[r.toxic] for r in examples], idf, k=k)
     shared = spark.sparkContext.broadcast(index)
-    rows = docs.select(*own, body.alias("_text"))
-    schema = T.StructType(rows.schema.fields[:-1])
+    # The text travels once, as the caller's own column if it is one.
+    rows = docs.select(*own) if docs.schema["text"].dataType == T.StringType() else docs.select(*[c for c in own if c != "text"], body.alias("text"))
+    schema = T.StructType(list(rows.schema.fields))
     schema = schema.add("score", "double").add("evidence", T.ArrayType(
         T.StructType().add("doc_id", "long").add("cosine", "double")))
-    return rows.mapInArrow(_score_rows(vocabulary, shared, k), schema).select(
+    return rows.mapInArrow(_score_rows(vocabulary, shared, k, rows.columns.index("text")), schema).select(
         *own, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
