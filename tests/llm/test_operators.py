@@ -141,6 +141,15 @@ def test_token_counts_and_cache(spark):
     assert tokencount.count_tokens(frame(spark, []), PIECES, job_folder(spark, "cache")).count() == 0
 
 
+def test_token_counts_of_many_misses(spark, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(tokencount, "FEW_MISSES", 3)
+    got = [(r.doc_id, r.n_tokens) for r in tokencount.count_tokens(frame(spark), PIECES).collect()]
+    assert multiset(got) == multiset((d, len(sp.encode(t or ""))) for d, t in texts())
+
+
 def test_token_counts_edges(spark):
     """Columns named like internals, a content that two runs appended, and a known corpus that moves no text."""
     rows = [(i, t, "c", "r", 5) for i, t in enumerate(["one two", "one two", None, "three"])]

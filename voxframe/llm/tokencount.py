@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import job_folder, written
 
 CACHE_SCHEMA = "tokenizer string, content string, n_tokens bigint"
+#: Digests that are few enough to go to all tasks (about 10 MB).
+FEW_MISSES = 100_000
 #: Texts handed to the library in one call, which bounds the ids in memory.
 GROUP = 64
 
@@ -96,11 +98,17 @@ def count_tokens(
         spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
         .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
 
-    # Digests find what is missing, so a text travels only if its content has no count yet. Copies meet on the map side first.
+    # Digests find what is missing, so a text travels only if its content has no count yet.
     missing = written(
         rows.select("content").distinct().join(stored.select("content"), "content", "left_anti"), "token-misses")
-    if not missing.isEmpty():
-        misses = rows.select("content", "text").join(missing, "content", "left_semi").dropDuplicates(["content"])
+    n_missing = missing.count()
+    if n_missing:
+        texts = rows.select("content", "text")
+        # Few misses are picked where the texts lie. Else copies meet on the map side before anything is joined: they are one row per task.
+        if n_missing <= FEW_MISSES:
+            misses = texts.join(F.broadcast(missing), "content", "left_semi").dropDuplicates(["content"])
+        else:
+            misses = texts.dropDuplicates(["content"]).join(missing, "content", "left_semi")
         (
             misses.mapInArrow(_count_batches(tokenizer), "content string, n_tokens bigint")
             .select(F.lit(version).alias("tokenizer"), "content", "n_tokens")
