@@ -89,6 +89,21 @@ def test_token_shards(spark):
     assert wavelet.token_shards(frame(spark, []), WORD_BPE, end_id=2).count() == 0
 
 
+def test_find_tokens(spark):
+    folder = job_folder(spark, "wavelet")
+    wavelet.write_shards(frame(spark).select("doc_id", "text"), WORD_BPE, folder, end_id=2, shard_ids=200, docs_per_range=7).count()
+    encoder = wavelet.WholeEncoder(WORD_BPE)
+    ids = [(d, [*encoder.ids([t or ""])[0], 2]) for d, t in texts()]
+    some = [2, ids[0][1][0], ids[3][1][1], 49_000]
+    counts = {}
+    for r in wavelet.find_tokens(spark, folder, some).collect():
+        counts[r.token] = counts.get(r.token, 0) + r.n
+    assert counts == {t: n for t in some if (n := sum(own.count(t) for _, own in ids))}
+    places = wavelet.find_tokens(spark, folder, some, places=True).collect()
+    assert multiset((r.token, r.doc_id, r.position) for r in places) == multiset(
+        (t, d, i) for d, own in ids for i, t in enumerate(own) if t in some)
+
+
 def test_part_encoder_only_where_the_file_allows(spark):
     from tokenizers import Tokenizer
 
@@ -473,3 +488,17 @@ def test_url_rules(spark):
     assert multiset(map(tuple, got)) == multiset(want)
     assert urlfilter.judge_urls(df.limit(0), spark.createDataFrame(rules, urlfilter.RULE_SCHEMA)).count() == 0
     assert {r.verdict for r in urlfilter.judge_urls(df, spark.createDataFrame([], urlfilter.RULE_SCHEMA)).collect()} == {"allow"}
+
+
+def test_job_folders_can_be_cleared(spark):
+    import os
+
+    from voxframe.llm import common
+
+    df = common.written(spark.range(5), "some")
+    assert df.count() == 5
+    folder = common.job_folder(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.clear_job_folders(spark)
+    assert not os.path.exists(folder)
+    assert common.filesystem("file:/tmp")[1] == common.filesystem("/tmp")[1] == "/tmp"

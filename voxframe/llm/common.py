@@ -36,6 +36,20 @@ def job_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_job_folders(spark: SparkSession) -> None:
+    """Delete what this application's operators have written for themselves, when their results are no longer read.
+
+    Tables that operators return may lie there, so this is for the end of a job.
+    """
+    base = job_folder(spark, "x").rsplit("/", 1)[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Names that the file reader has for schemes of Spark.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfss": "abfs"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage."""
     spark = df.sparkSession
@@ -61,6 +75,8 @@ def filesystem(uri: str):
         uri = "file://" + os.path.abspath(uri)
     elif uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    scheme, _, rest = uri.partition("://")
+    uri = f"{SCHEMES.get(scheme, scheme)}://{rest}"
     return fs.FileSystem.from_uri(uri)
 
 
