@@ -237,6 +237,23 @@ def test_block_max_search_is_exact(seed, k):
 
 # --- sentencepiece -------------------------------------------------------------------------------
 
+def test_sentencepiece_numbers_a_block_in_bounded_memory():
+    """Numbers of words take four bytes each, and temporary arrays do not grow with the block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = sentencepiece_lattice.pieces_of(PIECES)
+    texts = pa.array(["one two, three four five six seven " * 5000, "", " two  one"] * 20)
+    tracemalloc.start()
+    words, codes, ends = sentencepiece_lattice._coded(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(codes) == ends[-1] > 800_000 and peak < 20 * len(codes)
+    assert "".join(words[i] for i in codes[ends[0] : ends[1]]) == "▁" + texts[0].as_py().replace(" ", "▁")
+    assert ends[1] == ends[2] and "".join(words[i] for i in codes[ends[2] : ends[3]]) == "▁▁two▁▁one"
+
+
 def test_lattice_against_plain_viterbi(spark):
     model = sentencepiece_lattice.pieces_of(PIECES)
     out = sentencepiece_lattice.encode(frame(spark).coalesce(2), PIECES)

@@ -45,6 +45,8 @@ PACKED_REFS = 400_000
 BLOCK_BYTES = 16_000_000
 #: A reference packs partition, block in it and word in that: 24, 12 and 28 bits.
 BLOCK_SHIFT, PART_SHIFT = 28, 40
+#: Chunks of a block that are numbered together: temporary arrays are bounded by it.
+CODE_STEP = 1 << 18
 UNKNOWN_PENALTY = 10.0
 #: The order of a merge packs the rank of its piece, where it starts, its length and whether it is late: 18, 37, 7 and 1 bits.
 RANK_SHIFT, START_SHIFT = 45, 8
@@ -342,21 +344,30 @@ def _coded(texts: pa.Array, model: Pieces) -> tuple[list[str], np.ndarray, np.nd
             runs = pc.replace_substring_regex(marked, f"{SPACE_MARK}({SPACE_MARK}*)", r" \1")
             texts = pc.replace_with_mask(texts, odd, pc.utf8_slice_codeunits(runs, 1))
         lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del lists
+        at, chunks = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del coded
         parts = list(map(model.atoms, chunks))
         del chunks
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        sizes = np.fromiter(map(len, parts), np.int32, len(parts))
         numbers = dict.fromkeys(chain.from_iterable(parts))
         numbers.update(zip(list(numbers), range(len(numbers)), strict=True))
-        of_chunk = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        of_chunk = np.fromiter(map(numbers.__getitem__, chain.from_iterable(parts)), np.int32, int(sizes.sum()))
         del parts
     finally:
         gc.enable()
-    at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
-    lengths = sizes[at]
-    codes = of_chunk[_spread((np.cumsum(sizes) - sizes)[at], lengths)]
-    ends = np.concatenate(([0], np.cumsum(lengths)))[bounds - bounds[0]]
+    # The numbers of a block fit 32 bits, as its bytes do; what takes 64 on the way is made for CODE_STEP chunks at a time.
+    firsts = np.cumsum(sizes) - sizes
+    to = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(sizes[at], out=to[1:])
+    codes = np.empty(int(to[-1]), np.int32)
+    for i in range(0, len(at), CODE_STEP):
+        step = at[i : i + CODE_STEP]
+        codes[to[i] : to[i + len(step)]] = of_chunk[_spread(firsts[step], sizes[step])]
+    ends = to[bounds - bounds[0]].astype(np.int64)
+    del at, to, of_chunk
     # The empty text has no pieces, though it splits into one empty chunk.
     empty = np.flatnonzero(pc.equal(texts, "").to_numpy(zero_copy_only=False))
     if len(empty):
@@ -367,10 +378,16 @@ def _coded(texts: pa.Array, model: Pieces) -> tuple[list[str], np.ndarray, np.nd
         codes = codes[keep]
     # The most frequent words get the smallest numbers, which pack best.
     names = list(numbers)
-    order = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
-    rank = np.empty(len(order), np.int64)
+    del numbers
+    counts = np.zeros(len(names), np.int64)
+    for i in range(0, len(codes), CODE_STEP):
+        counts += np.bincount(codes[i : i + CODE_STEP], minlength=len(names))
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
-    return [names[i] for i in order.tolist()], rank[codes], ends
+    for i in range(0, len(codes), CODE_STEP):
+        codes[i : i + CODE_STEP] = rank[codes[i : i + CODE_STEP]]
+    return [names[i] for i in order.tolist()], codes, ends
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -403,6 +420,7 @@ def _words(path: str, column: int):
         model = pieces_of(path)
         for number, batch in _blocks(batches, column):
             words, _, _ = _coded(batch.column(column), model)
+            pa.default_memory_pool().release_unused()
             refs = (np.int64(number) << BLOCK_SHIFT) + np.arange(len(words))
             for i in range(0, len(words), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string()), pa.array(refs[i : i + 50_000])], ["word", "ref"])
@@ -415,7 +433,8 @@ def _documents(path: str, column: int):
         model = pieces_of(path)
         for number, batch in _blocks(batches, column):
             texts = batch.column(column)
-            _, codes, ends = _coded(texts, model)
+            codes, ends = _coded(texts, model)[1:]
+            pa.default_memory_pool().release_unused()
             n = len(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n), pa.int64()), *batch.columns[:column],
