@@ -218,3 +218,32 @@ def test_split_corpus(spark, tmp_path):
             import wave
             with wave.open(r.path.removeprefix("file://")) as f:
                 assert (f.getframerate(), f.getnframes()) == (r.rate, r.n_samples)
+
+
+def test_jobs_share_segments_and_cuts(spark, monkeypatch):
+    """Jobs with one source and the same limits are segmented and cut once, and each gets its own log."""
+    asked, packed = [], []
+    whole, pack = actions.cut.cut_segments, actions.segmentation._pack
+
+    def cut_segments(segments, *args, **named):
+        asked.append(segments.count())
+        return whole(segments, *args, **named)
+
+    def pack_windows(windows, *args):
+        packed.append(windows.count())
+        return pack(windows, *args)
+
+    monkeypatch.setattr(actions.cut, "cut_segments", cut_segments)
+    monkeypatch.setattr(actions.segmentation, "_pack", pack_windows)
+    flags = ("S" * 60 + "." * 60) * 3
+    chunks = spark.createDataFrame(
+        [("x", i * 512, [0.9 if c == "S" else 0.0] * 512) for i, c in enumerate(flags)], "stream_id string, start_sample bigint, samples array<float>")
+    rows = [(name, "x", 1.0, backend, "en", None, None, None, None, None) for name, backend in
+            (("a", "whisper"), ("b", "whisper"), ("c", "whisper"), ("d", "qwen-asr-rs"))]
+    log, _ = actions.transcribe_jobs(
+        spark.createDataFrame(rows, JOBS), actions.ChunkTable(chunks, aligned=True), lambda x: np.abs(x).max(axis=1), talker, epoch_ms=F.lit(0))
+    starts = {}
+    for r in log.filter("type = 'segment_start'").collect():
+        starts.setdefault(r.stream_id, set()).add((r.segment_idx, r.timestamp_ms))
+    assert packed == [len(flags)] and sorted(starts) == list("abcd")
+    assert starts["a"] == starts["b"] == starts["c"] and 3 <= asked[0] <= len(starts["a"]) + len(starts["d"])

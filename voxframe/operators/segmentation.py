@@ -342,12 +342,15 @@ def _with_entry(blocks: DataFrame, states: DataFrame) -> DataFrame:
     return blocks.join(before, ["stream_id", "prev_block"], "left")
 
 
-def _linked_blocks(windows: DataFrame, options: SegmentOptions, block_windows: int) -> DataFrame:
+def _linked_blocks(windows: DataFrame, options: SegmentOptions, block_windows: int, plans: DataFrame | None = None) -> DataFrame:
     """Blocks with their final entry state."""
-    stream_type = windows.schema["stream_id"].dataType.simpleString()
+    linked = _link(materialize(_pack(windows, block_windows)), block_windows)
+    if plans is not None:
+        own = plans.select("stream_id", F.col("plan").alias("_plan"), F.col("options").alias("_options"))
+        linked = linked.join(own, "stream_id").withColumns({"stream_id": F.col("_plan"), "options": F.col("_options")}).drop("_plan", "_options")
+    blocks = materialize(linked)
+    stream_type = blocks.schema["stream_id"].dataType.simpleString()
     key = f"stream_id {stream_type}, block bigint"
-    packed = materialize(_pack(windows, block_windows))
-    blocks = materialize(_link(packed, block_windows))
 
     def each(df: DataFrame, work, names: list[str], ddl: str) -> DataFrame:
         return df.mapInPandas(_per_block(work, names, options, block_windows), f"{key}, {ddl}")
@@ -391,16 +394,20 @@ def _linked_blocks(windows: DataFrame, options: SegmentOptions, block_windows: i
 
 
 def segment_activity(
-    windows: DataFrame, options: SegmentOptions | None = None, block_windows: int = BLOCK, **named
+    windows: DataFrame, options: SegmentOptions | None = None, block_windows: int = BLOCK,
+    plans: DataFrame | None = None, **named
 ) -> DataFrame:
     """Segments of each stream: ``segment_idx, start_sample, n_samples, start_s, duration_s, end_reason``.
 
     ``options`` (or ``named`` ones) hold for all streams; a struct column ``options`` of ``windows`` takes their place
     where its fields (OPTION_FIELDS) are not null. A soft limit of null means none, one of DEFAULT_SOFT the default.
+
+    ``plans`` (stream_id, plan, options) has the streams segmented by several options each: the windows are packed once per stream, and
+    the results have the plan in the place of the stream.
     """
     options = options or SegmentOptions(**named)
-    stream_type = windows.schema["stream_id"].dataType.simpleString()
-    blocks = _linked_blocks(windows, options, block_windows)
+    blocks = _linked_blocks(windows, options, block_windows, plans)
+    stream_type = blocks.schema["stream_id"].dataType.simpleString()
     folded = materialize(blocks.mapInPandas(
         _fold_blocks(options, block_windows), f"stream_id {stream_type}, block bigint, rate int, segments array<{_SEGMENT_DDL}>"
     ))

@@ -99,11 +99,11 @@ class ChunkTable:
         return self.rows
 
     def cut(self, segments: DataFrame, rate: int, source: str, deal) -> DataFrame:
-        """Segments with their samples; a sample range may belong to segments of several jobs."""
-        key = ["stream_id", "segment_idx"]
-        asked = segments.select(F.col(source).alias("stream_id"), F.struct(*key).alias("segment_idx"), "start_sample", "n_samples")
-        samples = cut.cut_segments(asked, self.rows).select("segment_idx.*", "samples")
-        return deal(segments.join(samples, key))
+        """Segments with their samples; a sample range that belongs to segments of several jobs is cut once."""
+        place = ["start_sample", "n_samples"]
+        asked = segments.select(F.col(source).alias("stream_id"), *place).distinct().withColumn("segment_idx", F.struct(*place))
+        samples = cut.cut_segments(asked, self.rows).select(F.col("stream_id").alias(source), "segment_idx.*", "samples")
+        return deal(segments.join(samples, [source, *place]))
 
 
 def plan_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,8 +136,8 @@ def transcribe_jobs(
 ) -> tuple[DataFrame, DataFrame]:
     """(event log, rejected jobs) of a manifest ``job_id, source, backend, ...``; the streams of the log are the jobs.
 
-    Every source is framed and scored once, however many jobs name it. Its flags meet the jobs, and one
-    segmentation carries the limits of each job's family as data. Then each job's segments are cut and recognized, once: the
+    Every source is framed, scored and packed once, however many jobs name it. Its blocks of flags meet the limits that its jobs have, as
+    data of one segmentation: jobs with the same source and limits share their segments. A sample range is cut once, and recognized for each job: the
     transcripts are a table before the log is put together. Jobs whose source has no samples get an empty log of their own.
     ``scorer`` and ``recognizer`` are as in ``framing.score_windows`` and ``recognize.transcribe_jobs``; ``options`` are further
     fields of ``SegmentOptions``, the same for all jobs.
@@ -145,16 +145,17 @@ def transcribe_jobs(
     default = SegmentOptions(rate=rate, **options)
     accepted, rejected = plan_jobs(jobs)
     accepted = materialize(accepted)
+    plans = materialize(accepted.select("source", "options").distinct().withColumn("plan", F.monotonically_increasing_id()))
+    same = (F.col("a.source") == F.col("p.source")) & F.col("a.options").eqNullSafe(F.col("p.options"))
+    planned = materialize(accepted.alias("a").join(plans.alias("p"), same).select("plan", F.col("job_id").alias("stream_id"), "a.source", "job"))
     aligned = samples.aligned if isinstance(samples, ChunkTable) else True
     named = accepted.select(F.col("source").alias("stream_id")).distinct()
     chunks = samples.only(named).chunks(rate, _aligned_chunk(default.window))
     frames = framing.score_windows(framing.frame(chunks, default.window, rate, aligned=aligned), scorer, default.window)
-    flags = frames.select(
-        F.col("stream_id").alias("source"), "window_idx", flag_speech(F.col("speech_prob"), threshold).alias("is_speech"))
-    windows = flags.join(accepted.select(F.col("job_id").alias("stream_id"), "source", "options"), "source").drop("source")
-    segments = segmentation.segment_activity(windows, default)
-    placed = segments.join(accepted.select(F.col("job_id").alias("stream_id"), "source", "job"), "stream_id").select(
-        "stream_id", "segment_idx", "start_s", "start_sample", "n_samples", "source", "job")
+    flags = frames.select("stream_id", "window_idx", flag_speech(F.col("speech_prob"), threshold).alias("is_speech"))
+    shared = segmentation.segment_activity(flags, default, plans=plans.withColumnRenamed("source", "stream_id"))
+    segments = shared.withColumnRenamed("stream_id", "plan").join(planned, "plan").drop("plan")
+    placed = segments.select("stream_id", "segment_idx", "start_s", "start_sample", "n_samples", "source", "job")
     read = samples.cut(placed, rate, source="source", deal=recognize.dealt)
     transcripts = materialize(recognize.transcribe_jobs(read, recognizer, rate, scripts))
     streams = accepted.select(F.col("job_id").alias("stream_id"))
