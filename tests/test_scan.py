@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,33 @@ def test_raw_or_converted_memory():
         memory = recognize.Conversation()
         one(Staged([("upper", 0.0, None)]), memory, convert=str.upper, raw_memory=raw)
         assert memory.prior_line == want and memory.prior_last_chunk == "upper"
+
+
+def test_plans_from_lists_equal_plans_from_chunks(spark):
+    texts = [["go", "Go ", "stop"], ["stop", "on"], [None, "on"], ["on", "on", "on"], ["a whole line of text", "a whole line of texts"]]
+    rows = [("s", i, k, t, None if (i, k) == (1, 0) else 2.0 * k, None) for i, part in enumerate(texts) for k, t in enumerate(part)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    for threshold in (0.9, 1.0):
+        for condition in (True, False):
+            state = scan.prior_state(scan.segment_line(chunks, keep=["t0"]))
+            want = scan.plan_retries_chunks(chunks, state, condition, threshold).collect()
+            assert want and sorted(scan.plan_retries_chunks(None, state, condition, threshold).collect()) == sorted(want)
+
+
+def test_prior_state_filters_both_reads_alike(spark):
+    """Both sides of the block join read one shuffle: the same filters stand below it on either."""
+    chunks = chunk_df(spark, HELLO).withColumn("text", F.explode(F.split("text", " ")))
+    plan = scan.prior_state(scan.segment_line(chunks))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isnotnull(FLOOR") + plan.count("isnotnull(block") != 1
+    filters = [line.split("Filter", 1)[1] for line in plan.split("\n") if "Filter" in line and "segment_idx" in line]
+    assert len({re.sub(r"#\d+L?", "", f) for f in filters}) <= 1 and len(filters) != 1
+
+
+def test_prompts_in_steps_equal_the_function(spark):
+    lines = ["", None, "go go go go", "hello there", "Hello there ", "hello their", "x" * 150 + "abc", "x" * 150 + "abd"]
+    rows = [("s", i * 10 + j, "x", "", "", "", a, b) for i, a in enumerate(lines) for j, b in enumerate(lines)]
+    for threshold in (0.9, 1.0):
+        state = state_df(spark, rows)
+        want = {r.segment_idx: r.p for r in state.select(
+            "segment_idx", scan.conditioning_context(F.col("before_line"), F.col("before_prior"), threshold).alias("p")).collect()}
+        assert {r.segment_idx: r.prompt for r in scan.conditioning_prompts(state, threshold=threshold).collect()} == want

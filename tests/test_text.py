@@ -138,3 +138,19 @@ def test_character_bound_loses_no_near_duplicate(spark):
         assert 2 * r.n == round(quick * (len(r.a) + len(r.b))) or not (r.a and r.b)
         if r.a and r.b:
             assert r.may == (quick >= T.NEAR_DUPLICATE_RATIO or r.a == r.b)
+
+
+def test_trigrams_never_lose_a_match():
+    """The bound holds for whatever the matching-block ratio accepts, and keeps unlike prose from that search."""
+    rnd = random.Random(4)
+    hits = 0
+    for _ in range(1500):
+        a = "".join(rnd.choice("ab c") for _ in range(rnd.randint(1, 60)))
+        b = "".join(rnd.choice("ab c") if rnd.random() < 0.08 else c for c in a if rnd.random() > 0.05)
+        for threshold in (0.8, 0.9, 0.95):
+            if b and SequenceMatcher(None, a, b).ratio() >= threshold:
+                hits += 1
+                assert X.shares_trigrams(a, b, threshold)
+    assert hits > 500
+    prose = "the quick brown fox jumps over the lazy dog and the cat"
+    assert not X.shares_trigrams(prose, "".join(sorted(prose)), 0.9)

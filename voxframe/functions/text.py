@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,8 +71,23 @@ def is_repetitive(text: Column) -> Column:
     return is_repetitive_words(text) | is_repetitive_cjk(text)
 
 
+def shares_trigrams(a: str, b: str, threshold: float) -> bool:
+    """Whether two texts share as many runs of three characters as the ratio takes.
+
+    With m characters in matching blocks, len(a) + len(b) - 2m are in none, and each border between blocks has one of those. So there are at
+    most that many blocks and one more, and each has two runs less than characters.
+    """
+    both = len(a) + len(b)
+    least = 5 * threshold * both / 2 - 2 * both - 2
+    if least <= 0:
+        return True
+    ours = Counter(map("".join, zip(a, a[1:], a[2:], strict=False)))
+    theirs = Counter(map("".join, zip(b, b[1:], b[2:], strict=False)))
+    return sum(min(n, theirs[t]) for t, n in ours.items() if t in theirs) >= least - 1e-6
+
+
 def reaches_ratio(a: str, b: str, threshold: float) -> bool:
-    return SequenceMatcher(None, a, b).ratio() >= threshold
+    return shares_trigrams(a, b, threshold) and SequenceMatcher(None, a, b).ratio() >= threshold
 
 
 def similar_texts(threshold: float) -> Callable[[str | None, str | None], bool]:
@@ -135,6 +151,16 @@ def is_near_duplicate_folded(a: Column, b: Column, threshold: float = NEAR_DUPLI
     return equal | _similar(threshold)(F.when(possible, a), F.when(possible, b))
 
 
+def with_near_duplicate(df: DataFrame, a: str, b: str, threshold: float, name: str) -> DataFrame:
+    """Add ``name``: whether two columns of folded texts are near duplicates. The bounds are tested once for both arguments."""
+    equal, possible = _tests(F.col(a), F.col(b), threshold)
+    if threshold >= 1.0:
+        return df.withColumn(name, equal)
+    tested = df.withColumns({"_equal": equal, "_possible": possible})
+    similar = _similar(threshold)(F.when(F.col("_possible"), F.col(a)), F.when(F.col("_possible"), F.col(b)))
+    return tested.withColumn(name, F.col("_equal") | similar).drop("_equal", "_possible")
+
+
 def is_near_duplicate(
     current: Column, prior: Column, threshold: float = NEAR_DUPLICATE_RATIO
 ) -> Column:

@@ -6,12 +6,14 @@ The rows of one segment are bounded by its hard limit, so windows and lists over
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions.text import (
     NEAR_DUPLICATE_RATIO, conditioning_context, convert_script, folded, is_near_duplicate_folded,
-    may_be_near_duplicate, strip,
+    is_repetitive, may_be_near_duplicate, strip, with_near_duplicate,
 )
 from voxframe.operators.ordering import CARRY_BLOCK
 
@@ -24,18 +26,22 @@ def _blocked(df: DataFrame, block_size: int) -> DataFrame:
     return df.withColumn("block", F.floor(F.col("segment_idx") / block_size)).repartition("stream_id", "block")
 
 
-def segment_line(chunks: DataFrame, separator: str = " ", block_size: int = CARRY_BLOCK) -> DataFrame:
+def segment_line(
+    chunks: DataFrame, separator: str = " ", block_size: int = CARRY_BLOCK, keep: Sequence[str] = ()
+) -> DataFrame:
     """Texts of a segment's chunks in order, and the stripped last one.
 
-    ``block`` names the partition group, which the scans over segments use again.
+    ``block`` names the partition group, which the scans over segments use again. With ``keep`` the chunks come along as a
+    list ``chunks`` of chunk_idx, text and these columns, so that what follows need not shuffle them a second time.
     """
+    last = F.element_at("_c", -1)["text"]
     return (
         _blocked(chunks, block_size).groupBy("stream_id", "block", "segment_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.coalesce("text", F.lit("")).alias("text")))).alias("_c"))
+        .agg(F.array_sort(F.collect_list(F.struct("chunk_idx", F.coalesce("text", F.lit("")).alias("text"), *keep))).alias("_c"))
         .select(
             "stream_id", "block", "segment_idx",
             F.array_join(F.transform("_c", lambda c: c["text"]), separator).alias("line"),
-            strip(F.element_at("_c", -1)["text"]).alias("last_chunk"),
+            strip(last).alias("last_chunk"), *([F.col("_c").alias("chunks")] if keep else []),
         )
     )
 
@@ -50,12 +56,15 @@ def prior_state(
     text and ``before_prior`` what that segment itself found as its prior line.
 
     Inside a block this is a window; what enters a block comes from a table of one row per
-    block. Both are fed by the same shuffle.
+    block. Both are fed by the same shuffle. A list ``chunks`` of ``segment_line`` is kept.
     """
+    kept = ["chunks"] if "chunks" in lines.columns else []
     if segments is not None:
         lines = segments.select(*_SEGMENT).join(lines.drop("block"), _SEGMENT, "left")
     if "block" not in lines.columns:
         lines = _blocked(lines, block_size)
+    # The join below asks for this on one of its sides only, and then their shuffles would be two.
+    lines = lines.filter("stream_id is not null and block is not null")
     inner = Window.partitionBy("stream_id", "block").orderBy("segment_idx").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -84,7 +93,7 @@ def prior_state(
     ).otherwise(F.col("_in_pair.prior"))
     empty = F.lit("")
     return joined.select(
-        *_SEGMENT, "line", "last_chunk",
+        *_SEGMENT, "line", "last_chunk", *kept,
         F.coalesce(strip(F.coalesce("_own", "_in")), empty).alias("prior_line"),
         F.coalesce("_own_chunk", "_in_chunk", empty).alias("prior_last_chunk"),
         F.coalesce("_own_pair.line", "_in_pair.line").alias("before_line"),
@@ -99,12 +108,20 @@ def conditioning_prompts(
 
     The prompt of a segment is the conditioning context of the latest earlier segment that
     had text. ``prior_state`` delivers that segment's line and prior line, so the prompt is
-    a row-local expression and each text is compared once.
+    local to the row. It is ``conditioning_context`` in steps: what several tests use is made once, and
+    texts that an earlier test rules out are not compared.
     """
-    prompt = F.lit("")
+    state = state.withColumn("prompt", F.lit(""))
     if condition:
-        prompt = conditioning_context(F.col("before_line"), F.col("before_prior"), threshold)
-    return state.select(*_SEGMENT, "line", "last_chunk", "prior_line", "prior_last_chunk", prompt.alias("prompt"))
+        text = strip(F.coalesce("before_line", F.lit("")))
+        state = (
+            state.withColumn("_text", text)
+            .withColumn("_a", F.when((F.col("_text") != "") & ~is_repetitive(F.col("_text")), F.lower("_text")))
+            .withColumn("_b", F.when(F.col("_a").isNotNull(), folded(F.col("before_prior"))))
+        )
+        near = with_near_duplicate(state, "_a", "_b", threshold, "_near")
+        state = near.withColumn("prompt", F.when(F.col("_a").isNull() | F.col("_near"), F.lit("")).otherwise(F.col("_text")))
+    return state.select(*_SEGMENT, "line", "last_chunk", "prior_line", "prior_last_chunk", "prompt")
 
 
 def _near_duplicates(df: DataFrame, current: str, prior: str, threshold: float) -> DataFrame:
@@ -134,8 +151,20 @@ def plan_retries_single(state: DataFrame, threshold: float = NEAR_DUPLICATE_RATI
     )
 
 
+def _chunk_pairs(state: DataFrame, threshold: float) -> DataFrame:
+    """The chunks of each segment's list that may repeat the one before: folded texts of both, with the segment's prior state."""
+    own = state.withColumn("_c", F.transform("chunks", lambda c: F.struct(
+        c["chunk_idx"].alias("chunk_idx"), c["t0"].alias("t0"), folded(c["text"]).alias("_a"))))
+    pairs = F.transform("_c", lambda c, i: F.struct(
+        c["chunk_idx"].alias("chunk_idx"), c["t0"].alias("t0"), c["_a"].alias("_a"),
+        F.when(i == 0, folded(F.col("prior_last_chunk"))).otherwise(F.get(F.col("_c"), i - 1)["_a"]).alias("_b")))
+    some = own.withColumn("_p", pairs).withColumn("_p", F.filter("_p", lambda p: may_be_near_duplicate(p["_a"], p["_b"], threshold)))
+    return some.select(*_SEGMENT, "before_line", "before_prior", F.explode("_p").alias("_p")).select(
+        *_SEGMENT, "before_line", "before_prior", "_p.*")
+
+
 def plan_retries_chunks(
-    chunks: DataFrame,
+    chunks: DataFrame | None,
     state: DataFrame,
     condition: bool = True,
     threshold: float = NEAR_DUPLICATE_RATIO,
@@ -145,13 +174,14 @@ def plan_retries_chunks(
 
     Chunk 0 is compared with the last chunk of the prior segment and counts only if a
     prompt was used; later chunks always count. No plan is made without a start time.
-    Prompts are derived for the segments found, not for all.
+    Prompts are derived for the segments found, not for all. Without ``chunks`` the state has them as its list ``chunks``
+    (``segment_line`` with ``keep=["t0"]``): then only what was found is shuffled.
     """
     order = Window.partitionBy(*_SEGMENT).orderBy("chunk_idx")
-    before = state.select(*_SEGMENT, *[
+    before = state.select(*_SEGMENT, *([] if chunks is not None else ["chunks"]), *[
         F.col(c) if condition else F.lit("").alias(c) for c in ("prior_last_chunk", "before_line", "before_prior")
     ])
-    compared = (
+    compared = _chunk_pairs(before, threshold) if chunks is None else (
         chunks.select(*_SEGMENT, "chunk_idx", "t0", folded(F.col("text")).alias("_a"))
         .join(before, _SEGMENT)
         .withColumn("_b", F.when(F.row_number().over(order) == 1, folded(F.col("prior_last_chunk"))).otherwise(F.lag("_a").over(order)))
