@@ -11,7 +11,7 @@ from voxframe.functions import signal, text, timefmt
 from voxframe.operators import cut, events, framing, lookups, recognize, scan, segmentation
 from voxframe.plans import actions, inputs
 from voxframe.plans.inputs import EVENT_OPTIONS, FRAME_SIZE
-from voxframe.session import table
+from voxframe.session import materialize, table
 from voxframe.sources import jobs as job_source
 from voxframe.sources import tables, wav
 
@@ -318,9 +318,8 @@ def retry_plan_single_equal(spark, sf_dir):
 
 
 def _chunk_plans(spark, sf_dir, threshold):
-    return scan.plan_retries_chunks(
-        inputs.doc_chunks(spark, sf_dir), _state(spark, sf_dir), threshold=threshold
-    )
+    state = scan.prior_state(scan.segment_line(inputs.doc_chunks(spark, sf_dir), keep=["t0"]))
+    return scan.plan_retries_chunks(None, state, threshold=threshold)
 
 
 @query
@@ -336,7 +335,7 @@ def retry_plan_chunks_equal(spark, sf_dir):
 def _spliced(spark, sf_dir):
     """Splicing where the planned rest of a segment came back as other text, one second per chunk."""
     chunks = inputs.doc_chunks(spark, sf_dir)
-    plans = _chunk_plans(spark, sf_dir, 1.0)
+    plans = materialize(_chunk_plans(spark, sf_dir, 1.0))  # narrow, and read three times
     again = chunks.join(plans, ["stream_id", "segment_idx"]).filter("chunk_idx >= repeat_idx").select(
         "stream_id", "segment_idx", (F.col("chunk_idx") - F.col("repeat_idx")).alias("chunk_idx"),
         F.concat(F.lit("again "), "text").alias("text"),
