@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -135,6 +136,33 @@ def test_part_encoder_forgets():
         assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_part_encoder_words_skip_normalizer_and_split():
+    """Words of small letters go to the model once for all groups of a call; what stands beside them does not change."""
+    encoder, given_texts = wavelet.PartEncoder(WORD_BPE), []
+    library = encoder.ids
+    encoder.ids = lambda some: given_texts.extend(some) or library(some)
+    groups = [pa.array(["sandig großer été, latte!! (no", "", "latte. sandig"]), pa.array([" \n"]), pa.array(["été großer? latte"])]
+    got = [(ids.tolist(), counts.tolist()) for ids, counts in encoder.encode_groups(groups)]
+    assert {w for t in given_texts for w in t.split() if w.isalpha()} == {"no"}  # of "(no", which does not begin with letters
+    for (ids, counts), group in zip(got, groups, strict=True):
+        want = library(group.to_pylist())
+        assert counts == list(map(len, want)) and ids == [i for x in want for i in x]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.text("abzßéÿ÷ªµÉAİΣς's<|>.,!?-`^\\_~ \n\t\x1c\x85\xa0\u0301\u0338½2中", max_size=25), min_size=1, max_size=4), min_size=1, max_size=4))
+def test_part_encoder_any_text(groups):
+    encoder = part_encoder()
+    for (ids, counts), group in zip(encoder.encode_groups([pa.array(g, pa.string()) for g in groups]), groups, strict=True):
+        want = encoder.ids(group)
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+@functools.cache
+def part_encoder():
+    return wavelet.PartEncoder(WORD_BPE)
+
+
 # --- token counts --------------------------------------------------------------------------------
 
 def test_token_counts_and_cache(spark):
